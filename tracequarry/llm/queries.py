@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm import line_dedup, source_mix, token_counts, url_lists
+from tracequarry.llm import line_dedup, pii, source_mix, token_counts, toxicity, url_lists
 
 #: Dated list entries of the production URL query: (key, since, action).
 URL_LIST = [
@@ -35,6 +35,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(histogram)
 
 
+#: Key of the production query; give your own where pseudonyms must not be recomputed by others.
+PII_KEY = b"tracequarry production query"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise_documents(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
+    """Low quality first, then toxicity, then both together; toxicity decides."""
+    bad, toxic = F.col("quality") == 0, F.col("toxic") == 1
+    return toxicity.fit_chain(docs, labels, {"low_quality": bad, "toxic": toxic, "toxic_low_quality": bad & toxic}, "toxic")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_chain(docs, toxicity_chain(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -155,6 +174,8 @@ FROM caps c LEFT JOIN hits h ON h.rn = 1 AND c.page_id IS NOT DISTINCT FROM h.pa
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_pii": op3_pii,
+    "op8_toxicity": op8_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mix": op5_source_mix,
     "op10_url_lists": op10_url_lists,
