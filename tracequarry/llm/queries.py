@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm import line_dedup, pii, source_mix, token_counts, toxicity, url_lists
+from tracequarry.llm import line_dedup, media_avi, pii, source_mix, token_counts, toxicity, url_lists
 
 #: Dated list entries of the production URL query: (key, since, action).
 URL_LIST = [
@@ -123,6 +123,10 @@ FROM ordered
 OP5_SQL = "WITH " + mix_sql("documents")
 
 
+def op6_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_avi.text_digests(table(spark, sf_dir, "documents"))
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a fetch time: the table has none, so page ids are dealt over the hours of 2024."""
     hours = F.pmod(F.coalesce(F.col("page_id"), F.lit(0)) * 37, F.lit(8784))
@@ -178,6 +182,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mix": op5_source_mix,
+    "op6_media_avi": op6_media_avi,
     "op10_url_lists": op10_url_lists,
 }
 
