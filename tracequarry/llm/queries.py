@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm import line_dedup, media_avi, pii, source_mix, token_counts, toxicity, url_lists
+from tracequarry.llm import html_text, line_dedup, media_avi, pii, source_mix, token_counts, toxicity, url_lists
 
 #: Dated list entries of the production URL query: (key, since, action).
 URL_LIST = [
@@ -35,6 +35,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(histogram)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 #: Key of the production query; give your own where pseudonyms must not be recomputed by others.
 PII_KEY = b"tracequarry production query"
 
@@ -178,6 +182,7 @@ FROM caps c LEFT JOIN hits h ON h.rn = 1 AND c.page_id IS NOT DISTINCT FROM h.pa
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_html_text": op2_html_text,
     "op3_pii": op3_pii,
     "op8_toxicity": op8_toxicity,
     "op4_line_dedup": op4_line_dedup,
