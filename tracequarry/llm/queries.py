@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm import html_text, line_dedup, media_avi, pii, source_mix, token_counts, toxicity, url_lists
+from tracequarry.llm import (
+    decontam,
+    html_text,
+    line_dedup,
+    media_avi,
+    near_dups,
+    pii,
+    source_mix,
+    token_counts,
+    toxicity,
+    url_lists,
+)
 
 #: Dated list entries of the production URL query: (key, since, action).
 URL_LIST = [
@@ -39,6 +50,15 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("version")
+
+
+def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents")).drop("version")
+
+
 #: Key of the production query; give your own where pseudonyms must not be recomputed by others.
 PII_KEY = b"tracequarry production query"
 
@@ -188,6 +208,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mix": op5_source_mix,
     "op6_media_avi": op6_media_avi,
+    "op7_decontam": op7_decontam,
+    "op9_near_dups": op9_near_dups,
     "op10_url_lists": op10_url_lists,
 }
 
