@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracequarry.plans import ledgers, manifests, runs, steps, texts, vectors
+
 FLAGSHIP = "longitudinal_pairs"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _modules() -> list:
-    return []
+MODULES = (runs, steps, manifests, ledgers, vectors, texts)
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for m in _modules() for name, f in m.QUERIES.items()}
+    return {name: f for m in MODULES for name, f in m.P.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _modules() for name, sql in m.ORACLE_SQL.items()}
+    return {name: sql for m in MODULES for name, sql in m.P.sql.items()}
