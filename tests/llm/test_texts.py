@@ -1,0 +1,293 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.tables import WORDS, documents, prose
+from tracequarry.llm import html_text, media_avi, pii, token_counts, toxicity, url_lists
+
+KEY = b"test key"
+
+
+# token counts
+
+
+def test_histogram_answers_every_limit(spark):
+    rows = [(i, prose(1 + i % 40, i), None) for i in range(120)] + [(900, None, None), (901, "", None), (902, " " * 200_000, None), (903, "<|endoftext|>", None)]
+    rows += [rows[5], (904, "x" * 300_000, None)]
+    lengths = [token_counts.count_tokens(t or "") for _, t, _ in rows]
+    sums = token_counts.suffix_sums(token_counts.length_histogram(documents(spark, rows)))
+    for r in sums.collect():
+        n = r["n_tokens"]
+        assert r["n_docs"] == lengths.count(n)
+        assert r["docs_ge"] == sum(x >= n for x in lengths) and r["tokens_ge"] == sum(x for x in lengths if x >= n)
+        assert r["docs_le"] == sum(x <= n for x in lengths)
+        assert r["truncated_tokens"] == sum(min(x, n) for x in lengths)
+        assert (r["total_docs"], r["total_tokens"]) == (len(lengths), sum(lengths))
+    for r in token_counts.at_limits(sums, [0, 7, 10**9]).collect():
+        assert r["kept_tokens"] == sum(min(x, r["context"]) for x in lengths)
+        assert r["docs_cut"] == sum(x > r["context"] for x in lengths)
+    half = token_counts.quantiles(sums, [0.5]).first()["n_tokens"]
+    assert half == sorted(lengths)[len(lengths) // 2 - 1 + len(lengths) % 2]
+
+
+def test_histogram_by_group_and_of_nothing(spark):
+    rows = [(i, prose(5, i), f"s{i % 2}" if i % 5 else None) for i in range(20)]
+    got = token_counts.suffix_sums(token_counts.length_histogram(documents(spark, rows), by=("source",)), ("source",))
+    assert {r["source"]: r["n"] for r in got.groupBy("source").agg(F.max("total_docs").alias("n")).collect()} == {"s0": 8, "s1": 8, None: 4}
+    assert token_counts.suffix_sums(token_counts.length_histogram(documents(spark, []))).count() == 0
+
+
+# pages
+
+
+def test_blocks():
+    page = """<html><head><title>t</title><style>p{}</style></head><body><p>One&amp;two
+      <b>bold</b><br>three<p>Four &eacute;&nbsp;x<!-- <p>no</p> --><script>var a="</p>";</script><ul><li><a href=">">L1</a><li>L2</ul>tail"""
+    assert [b.text for b in html_text.blocks(page)] == ["One&two bold three", "Four é x", "L1", "L2", "tail"]
+    assert html_text.blocks(page)[2].linked == 1.0
+    for odd in (None, "", "plain", "<", "<p", "</p>", "<!--", "<script>x", "<div>" * 5000 + "deep", "&#xZZ; &bogus;"):
+        html_text.blocks(odd)
+
+
+def test_held_out_accuracy():
+    model = html_text.fitted()
+    pages, labels = html_text.sample_pages(200, 4242)
+    found = model.label(pages)
+    right = sum(int(((a == 0) == (b == 0)).sum()) for a, b in zip(found, labels, strict=True))
+    assert right / sum(map(len, labels)) > 0.98
+
+
+def test_gradient():
+    lstm = html_text.Lstm(np.random.default_rng(0), 5, 3)
+    x = np.random.default_rng(1).standard_normal((4, 2, 5)).astype(np.float32)
+    out, saved = lstm.forward(x, True)
+    grads = lstm.backward(x, saved, np.ones_like(out))
+    for w, g in zip(lstm.params(), grads, strict=True):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old = w[at]
+        w[at] = old + 1e-2
+        up = lstm.forward(x)[0].sum()
+        w[at] = old - 1e-2
+        down = lstm.forward(x)[0].sum()
+        w[at] = old
+        assert (up - down) / 2e-2 == pytest.approx(g[at], rel=0.05)
+
+
+def test_extraction(spark):
+    page = "<html><body><nav><ul><li><a>Home</a></li><li><a>News</a></li></ul></nav><div class='ad'>Buy now</div><article><h1>Title</h1><p>{}</p><p>End.</p></article><section class='comments'><p>Great article</p></section><footer>&copy; x</footer></body></html>"
+    text = "Words and more words " * 3
+    rows = [(1, "u", page.format(text), 1), (1, "u", page.format(text), 1), (2, None, None, 2), (None, "v", "", 3), (3, "w", page.format("long words " * 30_000), 4)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()
+    found = [r for r in got if r["page_id"] == 1]
+    assert len(got) == 5 and found[0] == found[1]
+    assert found[0]["text"] == f"Title\n{text.strip()}\nEnd." and found[0]["n_chars"] == len(found[0]["text"])
+    assert [(r["text"], r["n_chars"]) for r in got if r["page_id"] in (2, None)] == [("", 0)] * 2
+    assert next(r for r in got if r["page_id"] == 3)["n_chars"] > 300_000
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract_text(none).count() == 0
+
+
+# pseudonyms
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
+def test_permutation(size):
+    assert sorted(pii.permute(i, size, KEY, "k") for i in range(size)) == list(range(size))
+
+
+CASES = {
+    "card": ["4539148803436467", "4539 1488 0343 6467", "4539-1488-0343-6467"],
+    "phone": ["+1 (476) 555-5473", "(476) 555-5473", "+49 30 1234567"],
+    "ip": ["61.131.143.218"],
+    "date": ["2001-02-03", "03.02.2001", "2/3/2001"],
+    "ssn": ["078-05-1120"],
+    "iban": ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"],
+    "email": ["a.b.42@mail8.example.com"],
+}
+
+
+@pytest.mark.parametrize("kind", CASES)
+def test_pseudonyms_keep_format_and_links(kind):
+    for value in CASES[kind]:
+        text, spans = pii.pseudonymise(f"see {value}, then {value}.", KEY)
+        assert [s[0] for s in spans] == [kind, kind], text
+        assert value not in text
+        new = pii.pseudonym(kind, value, KEY)
+        assert text == f"see {new}, then {new}."
+        assert pii.pseudonym(kind, new, KEY) is not None  # still valid
+        assert pii.pseudonym(kind, value, b"other") != new
+
+
+def test_equal_values_are_linked_across_spellings():
+    digits = {"".join(filter(str.isdigit, pii.pseudonym("card", v, KEY))) for v in CASES["card"]}
+    assert len(digits) == 1 and pii.luhn(digits.pop()) == 0
+    days = [pii.pseudonym("date", v, KEY) for v in CASES["date"]]
+    y, m, d = days[0].split("-")
+    assert days[1] == f"{d}.{m}.{y}" and days[2] == f"{m}/{d}/{y}"
+
+
+@pytest.mark.parametrize("text", ["no values here", "version 2.0.4", "4539148803436468 fails", "999.1.2.3", "2001-02-30", "000-12-3456", "12345", "a@b", None, "", "1,234,567 people", "pages 10-20"])
+def test_clean_texts_stay(text):
+    assert pii.pseudonymise(text, KEY) == (text, [])
+
+
+def test_ssn_is_a_permutation_of_valid_ones():
+    for area in (1, 665, 667, 899):
+        got = pii.pseudonym("ssn", f"{area:03d}-01-0001", KEY)
+        assert pii.as_ssn(got, KEY) is not None
+
+
+def test_pseudonymised_table(spark):
+    rows = [(1, "mail a.b@c.org", None), (1, "mail a.b@c.org", None), (2, None, None), (3, "", None), (None, "x " * 400_000 + "61.131.143.218", None), (2**60 + 1, "t", None)]
+    got = pii.pseudonymise_documents(documents(spark, rows), KEY).collect()
+    assert sorted((str(r["doc_id"]), r["n_values"]) for r in got) == sorted([("1", 1), ("1", 1), ("2", 0), ("3", 0), ("None", 1), (str(2**60 + 1), 0)])
+    assert {r["doc_id"]: r["text"] for r in got}[2] is None
+    assert [tuple(s) for s in got[0]["spans"]] == [("email", 5, 14)]
+    assert pii.pseudonymise_documents(documents(spark, []), KEY).count() == 0
+
+
+# media
+
+
+@pytest.mark.parametrize("text", [None, "", "abc", "x" * 192, "é" * 5000, prose(4000, 1), "\x00\x7f" * 100])
+def test_media_round_trip(text):
+    data = media_avi.text_media(text)
+    raw = (text or "").encode()
+    payload = media_avi.media_payload(media_avi.read_avi(data))
+    assert payload == raw + b" " * (-len(raw) % 192 or 192 * (not raw))
+    assert data == media_avi.text_media(text)
+
+
+def test_all_bytes_survive():
+    payload = np.random.default_rng(0).integers(0, 256, 192 * 40, dtype=np.uint8).tobytes()
+    frames = media_avi.text_frames(payload)
+    assert media_avi.carried(media_avi.text_coefficients(frames))[: len(payload)] == payload
+
+
+def test_general_decoder_agrees():
+    frames = media_avi.text_frames(prose(600, 2).encode()[:3072])
+    fast = media_avi.text_coefficients(frames)
+    for f, k in zip(frames, fast, strict=True):
+        planes, blocks = media_avi.decode_jpeg(f)
+        for c in range(3):
+            assert (blocks[c].reshape(-1, 64) == k[:, c]).all()
+        assert (planes[0][:8, :8] == media_avi.pictures(k[:1, 0])[0]).all() and planes[0].shape == (16, 32)
+    with pytest.raises(ValueError):
+        media_avi.decode_jpeg(media_avi.HEAD + b"\x00\xff\xd9")
+    with pytest.raises(ValueError):
+        media_avi.read_avi(b"nothing")
+
+
+def test_a_flat_picture():
+    blocks = np.zeros((1, 64), np.int32)
+    blocks[0, 0] = 8 * (200 - 128)
+    assert (media_avi.pictures(blocks) == 200).all()
+
+
+def test_shots():
+    flat = np.eye(4)[[0] * 20 + [1] * 20 + [2]]
+    assert media_avi.find_shots(flat) == [(0, 20), (20, 40), (40, 41)]
+    assert media_avi.find_shots(flat[:1]) == [(0, 1)] and media_avi.find_shots(flat[:0]) == []
+    noisy = np.random.default_rng(0).dirichlet(np.ones(8), 60)
+    assert len(media_avi.find_shots(noisy)) <= 3  # constant change is no cut
+
+
+def test_media_tables(spark):
+    rows = [(1, prose(2000, 1), None), (1, prose(2000, 1), None), (2, None, None), (None, "", None), (3, prose(40_000, 2), None)]
+    docs = documents(spark, rows)
+    got = media_avi.text_digests(docs).collect()
+    assert len(got) == 5
+    for r in got:
+        raw = (dict((i, t) for i, t, _ in rows)[r["doc_id"]] or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 or 192 * (not raw))
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-16:])
+        assert r["media_bytes"] > 0 and len(r["media_sha256"]) == 64 and r["feature"]
+    media = media_avi.encode_texts(docs)
+    clips = media_avi.media_clips(media).where("doc_id = 3").orderBy("clip").collect()
+    assert clips[0]["first_frame"] == 0 and all(a["end_s"] == b["start_s"] for a, b in zip(clips, clips[1:]))
+    assert media_avi.text_digests(documents(spark, [])).count() == 0
+
+
+# toxicity
+
+
+def labelled(n, seed):
+    rng = random.Random(seed)
+    docs, labels = [], []
+    for i in range(n):
+        toxic = rng.random() < 0.3
+        words = [rng.choice(WORDS) for _ in range(30)] + (["grubl" + rng.choice(["a", "en", "ity"])] if toxic else [])
+        rng.shuffle(words)
+        docs.append((i, " ".join(words), None))
+        labels.append((i, int(rng.random() < 0.8), int(toxic)))
+    return docs, labels
+
+
+def chain_of(spark, docs, labels, **options):
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kinds = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1, "both": (F.col("quality") == 0) & (F.col("toxic") == 1)}
+    return toxicity.fit_chain(docs, table, kinds, "toxic", **options)
+
+
+def test_chain_on_held_out_documents(spark):
+    docs, labels = labelled(500, 1)
+    chain = chain_of(spark, documents(spark, docs), [*labels, labels[0], (None, 1, 1), (7777, None, 1)], max_per_class=80)
+    assert [len(x) for x in chain.links] == [0, 1, 2]
+    fresh, truth = labelled(300, 2)
+    fresh += [(900, None, None), (901, "", None), (None, "alpha beta", None), (902, "alpha " * 200_000 + "grubla", None), (902, "alpha " * 200_000 + "grubla", None)]
+    got = toxicity.score_chain(documents(spark, fresh), chain).collect()
+    found = {r["doc_id"]: r["toxic"] for r in got}
+    assert len(got) == len(fresh)
+    assert sum(found[i] == bool(t) for i, _, t in truth) >= 294
+    assert found[902] and not found[900] and not found[901] and not found[None]
+    assert all(0 <= r["p_both"] <= 1 for r in got)
+
+
+def test_chain_without_labels(spark):
+    docs = documents(spark, labelled(20, 1)[0])
+    chain = chain_of(spark, docs, [])
+    assert not any(r["toxic"] for r in toxicity.score_chain(docs, chain).collect())
+    clean = chain_of(spark, docs, [(i, 1, 0) for i in range(20)])
+    assert not any(r["toxic"] for r in toxicity.score_chain(docs, clean).collect())
+    assert toxicity.score_chain(documents(spark, []), chain).count() == 0
+
+
+# url lists
+
+
+def verdicts(spark, rows, entries):
+    captures = spark.createDataFrame(rows, "url string, t string, key string, since int").withColumn("fetched", F.to_timestamp("t"))
+    table = spark.createDataFrame(entries, "key string, since string, action string").withColumn("since", F.to_timestamp("since"))
+    return [(r["url"], r["t"], r["verdict"], r["list_key"]) for r in url_lists.judge(captures, table).select("*").collect()]
+
+
+def test_as_of_join(spark):
+    entries = [
+        ("Example.org", "2024-01-10", "block"), ("example.org", "2024-02-10", "withdraw"), ("example.org", "2024-03-10", "review"),
+        ("www.example.org/a", "2024-01-01", "allow"), ("org", "2024-06-01", "block"), (None, "2024-01-01", "block"), ("x.com", None, "block"),
+        ("tie.com", "2024-01-01", "allow"), ("tie.com", "2024-01-01", "block"), ("tie.com", "2024-01-01", "block"),
+    ]
+    cases = [
+        ("http://example.org/x", "2024-01-09", "none"), ("http://example.org/x", "2024-01-10", "block"), ("HTTP://USER@www.EXAMPLE.org.:80/b?q#f", "2024-02-09", "block"),
+        ("http://example.org", "2024-02-10", "none"), ("http://example.org", "2024-04-01", "review"), ("http://www.example.org/a/b", "2024-01-20", "allow"),
+        ("http://www.example.org/ab", "2024-01-20", "block"), ("http://notexample.org/", "2024-01-20", "none"), ("http://notexample.org/", "2024-06-02", "block"),
+        ("http://tie.com", "2024-01-01", "block"), ("no url", "2024-06-02", "none"), (None, "2024-06-02", "none"), ("http://example.org", None, "none"), ("", "2024-06-02", "none"),
+        ("http://deep.org/" + "a/" * 3000, "2024-07-01", "block"),
+    ]
+    rows = [(u, t, "k", 1) for u, t, _ in cases] + [("http://tie.com", "2024-01-01", "k", 1)]
+    got = verdicts(spark, rows, entries)
+    assert len(got) == len(rows)
+    want = {(u, t): v for u, t, v in cases}
+    assert all(v == want[u, t] for u, t, v, _ in got)
+
+
+def test_no_lists_and_no_captures(spark):
+    assert verdicts(spark, [("http://a.b", "2024-01-01", "k", 1)], [("x", None, "block")])[0][2] == "none"
+    none = spark.createDataFrame([], "url string, fetched timestamp")
+    entries = spark.createDataFrame([], "key string, since timestamp, action string")
+    assert url_lists.judge(none, entries).count() == 0
