@@ -77,3 +77,34 @@ def redacted(value: Any, name: str = "") -> Any:
     if isinstance(value, list):
         return [redacted(v, name) for v in value]
     return "[REDACTED]" if SECRET.search(name) and value not in (None, "") else value
+
+
+def resolve_profile(raw: dict, profile: str, variables: dict[str, str], folder: str = "") -> dict:
+    """A profile's arguments: defaults, then paths, then its own, with variables expanded.
+
+    The environment section extends the variables in its order. Names of secrets are refused
+    there, and keys other than 'local' in arguments: credentials belong to the process.
+    """
+    profiles = raw.get("profiles") or {}
+    if profile not in profiles:
+        raise ValueError(f"unknown profile {profile!r}; known: {', '.join(sorted(profiles))}")
+    known = dict(variables)
+    environment: dict[str, str] = {}
+    for name, value in (raw.get("environment") or {}).items():
+        if SECRET.search(name):
+            raise ValueError(f"secret {name!r} in the environment section")
+        environment[name] = known[name] = str(expand(value, known))
+    defaults, own = raw.get("defaults") or {}, profiles[profile] or {}
+    arguments = merge(merge(defaults.get("arguments") or {}, raw.get("paths") or {}), own.get("arguments") or {})
+    arguments = expand(arguments, known | {"CONFIG_DIR": folder, "PROFILE": profile})
+    for name, value in arguments.items():
+        if name.endswith("_api_key") and value not in (None, "local"):
+            raise ValueError(f"{name} must come from the process environment")
+    watcher = merge(expand(defaults.get("watcher") or {}, known), expand(own.get("watcher") or {}, known))
+    return {"profile": profile, "environment": environment, "arguments": arguments, "watcher": watcher}
+
+
+def role_table(spark: SparkSession, common: dict[str, str], overrides: dict[str, dict[str, str]]) -> DataFrame:
+    """(dataset, role, prompt): common prompts per dataset, replaced by the dataset's own."""
+    rows = [(d, role, own.get(role, text)) for d, own in overrides.items() for role, text in (common | own).items()]
+    return spark.createDataFrame(rows, "dataset string, role string, prompt string")
