@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracequarry.session import staged
+
 
 def overlaps(rows: DataFrame, split: str, key: str) -> DataFrame:
     """(key, split_a, split_b) for keys that two splits share; splits per key are few, so no self-join."""
@@ -30,9 +32,24 @@ def fingerprint(rows: DataFrame, line: Column, order: list[str], by: list[str] |
 
 
 def positions(rows: DataFrame, key: str, order: list[str], by: str | None = None) -> DataFrame:
-    """Position of each row from 0, in order."""
-    w = Window.partitionBy(by).orderBy(*order) if by else Window.orderBy(*order)
-    return rows.select(*([by] if by else []), F.col(key).alias("value"), (F.row_number().over(w) - 1).alias("pos"))
+    """(value, pos) with the position of each row from 0, in order, within ``by`` where given.
+
+    Over a whole table rows are dealt into ranges of the order, ranked there, and moved up by what
+    the ranges before hold, so no task sorts the table.
+    """
+    if by:
+        w = Window.partitionBy(by).orderBy(*order)
+        return rows.select(by, F.col(key).alias("value"), (F.row_number().over(w) - 1).alias("pos"))
+    dealt = staged(
+        rows.select(F.col(key).alias("value"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)))
+        .repartitionByRange(*(f"__o{i}" for i in range(len(order))))
+        .withColumn("__part", F.spark_partition_id()),
+        "positions",
+    )
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*(f"__o{i}" for i in range(len(order)))))
+    return dealt.join(offsets, "__part").select("value", (F.col("__ahead") + inside - 1).alias("pos"))
 
 
 def order_mismatch(have: DataFrame, want: DataFrame, by: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -36,7 +38,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     folder = context.getCheckpointDir()
     if not folder:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tracequarry-"))
+        own = tempfile.mkdtemp(prefix="tracequarry-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir("file://" + own)
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
