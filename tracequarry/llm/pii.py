@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-SOME = re.compile(r"[0-9@]|[Pp]ass|[Ss]ecret|[Tt]oken")
+SOME = re.compile(r"[0-9@]|AKIA|(?i:passw|pwd|secret|token|key)")
 FIND = re.compile(
     r"(?P<email>(?<![\w.+\-])[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,63})@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})(?:\.[A-Za-z0-9\-]{1,63})+)"
     r"|(?P<secret>\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9+/_\-]{8,128}))"
