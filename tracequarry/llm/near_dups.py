@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.operators.graph import components
+from tracequarry.operators.membership import likely_members
 from tracequarry.session import staged
 
 WORDS = re.compile(r"\w+")
@@ -178,10 +179,11 @@ def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
     its members to its least member, unpruned.
     """
     banded = classes.select("k1", F.explode("bands").alias("bucket"))
-    shared = (
-        banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("k1").alias("least")).where(F.col("size") > 1)
+    shared = staged(
+        banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("k1").alias("least")).where(F.col("size") > 1),
+        "near-shared",
     )
-    met = staged(banded.join(shared, "bucket"), "near-buckets")
+    met = staged(likely_members(banded, "bucket", shared, shared.count()).join(shared, "bucket"), "near-buckets")
     ties = met.where((F.col("size") > SMALL) & (F.col("k1") != F.col("least"))).select(F.col("least").alias("a"), F.col("k1").alias("b")).distinct()
     held = met.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_set("k1")).alias("held"))  # at most SMALL each
     pairs = (
@@ -293,8 +295,10 @@ def near_duplicates(
         .withColumn("i", F.least("chunk", "other"))
         .withColumn("j", F.greatest("chunk", "other"))
     )
-    texts = docs.select(F.col(id_col).alias("__doc"), F.xxhash64(F.col(text_col)).alias("__version"), F.col(text_col).alias("text"))
-    wanted = members.select(F.col("doc"), F.col("version"), "k1", "k2")
+    version = F.xxhash64(F.col(text_col))
+    texts = docs.select(F.col(id_col).alias("__doc"), version.alias("__version"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), version).alias("__key"))
+    wanted = members.select("doc", "version", "k1", "k2", F.xxhash64("doc", "version").alias("__key"))
+    texts = likely_members(texts, "__key", wanted, members.count()).drop("__key")
     fetched = (
         texts.join(wanted, F.col("__doc").eqNullSafe(F.col("doc")) & (F.col("__version") == F.col("version")))
         .select("k1", "k2", "text")
