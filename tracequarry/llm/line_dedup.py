@@ -14,6 +14,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.operators.membership import likely_members
 from tracequarry.session import staged
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -69,7 +70,8 @@ def keep_bitmaps(
         found.repartitionByRange("h1", "h2", "doc", "pos").sortWithinPartitions("h1", "h2", F.desc("doc"), "pos"),
         "line-runs",
     )
-    repeated = (
+    # a table of its own: a join with an aggregate's output could not split a hot hash
+    repeated = staged(
         runs.groupBy("h1", "h2")
         .agg(
             F.count_distinct("doc").alias("n"),
@@ -77,10 +79,12 @@ def keep_bitmaps(
             F.max("doc").alias("keeper"),
         )
         .where(F.col("n") + F.col("unnamed") >= min_docs)
-        .select("h1", "h2", "keeper")
+        .select("h1", "h2", "keeper"),
+        "line-repeated",
     )
     dropped = (
-        runs.join(repeated, ["h1", "h2"])
+        likely_members(runs, "h1", repeated, repeated.count())
+        .join(repeated, ["h1", "h2"])
         .where(~F.col("doc").eqNullSafe(F.col("keeper")))
         .groupBy("doc", "version")
         .agg(F.sort_array(F.collect_set("pos")).alias("gone"))
