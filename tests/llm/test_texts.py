@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -141,6 +142,29 @@ def test_secrets_go(text):
     assert [s[0] for s in spans] == ["secret"] and len(got) == len(text) and "abcdefghij" not in got.lower()
 
 
+def test_secrets_go_to_their_end():
+    token = "aZ3" * 100
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NSJ9.SflKxwRJSMeKKF2QT4fwpM=="
+    for before, value, after in [("token = ", token, " x"), ('token = "', token, '" x'), ("token: ", jwt, ", x"), ("secret=", jwt, ". x"), ("pwd: '", "p@ss word! 12", "' x"), ('secret="', "f0" * 3000, '"'), ("mail ", "a1." * 30 + "b@c.org", " x")]:
+        got, spans = pii.pseudonymise(before + value + after, KEY)
+        assert [s[1:] for s in spans] == [(len(before), len(before + value))]
+        new = got[len(before) : len(before + value)]
+        assert got == before + new + after and sum(a == b for a, b in zip(new, value) if a.isalnum()) < len(value) / 2
+        assert pii.pseudonymise(before + value + after, b"other")[0] != got
+
+
+def test_long_permutation_loses_nothing():
+    bases = [10, 2, 3, 2, 3]
+    every = list(itertools.product(*map(range, bases)))
+    assert sorted(tuple(pii.permute_long(list(x), bases, KEY, "k")) for x in every) == every
+
+
+@pytest.mark.parametrize(("value", "rest"), [("4539 1488 0343 6467", " 12/27"), ("4539-1488-0343-6467", "-12"), ("4539-1488-0343-6467", "-1234-9"), ("BE68 5390 0754 7034", " ABCD")])
+def test_value_before_more_groups(value, rest):
+    got, spans = pii.pseudonymise(f"see {value}{rest}", KEY)
+    assert [s[1:] for s in spans] == [(4, 4 + len(value))] and value not in got and got.endswith(rest)
+
+
 def test_ssn_is_a_permutation_of_valid_ones():
     for area in (1, 665, 667, 899):
         got = pii.pseudonym("ssn", f"{area:03d}-01-0001", KEY)

@@ -19,15 +19,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: From so many characters on, texts are permuted in time linear in their length.
+LONG = 129
 SOME = re.compile(r"[0-9@]|AKIA|(?i:passw|pwd|secret|token|key)")
 FIND = re.compile(
     r"(?P<email>(?<![\w.+\-])[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,63})@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})(?:\.[A-Za-z0-9\-]{1,63})+)"
-    r"|(?P<secret>\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9+/_\-]{8,128}))"
+    # longer local parts: the run of their characters is read once, from its first possible start
+    r"|(?<![A-Za-z0-9._%+\-])(?>(?<!\w)(?=[A-Za-z0-9])|[A-Za-z0-9._%+\-]*?%(?=[A-Za-z0-9]))"
+    r"(?P<long>[A-Za-z0-9._%+\-]{65,}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})(?:\.[A-Za-z0-9\-]{1,63})+)"
+    # a quoted secret ends at its quote, another one with the characters of a bearer token
+    r"|(?P<secret>\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\b[\"']?\s{0,3}[=:]\s{0,3})"
+    r"(?:\"(?P<double>(?:[^\"\\\n]|\\.){8,}+)\"|'(?P<single>(?:[^'\\\n]|\\.){8,}+)'|[\"']?(?P<value>[A-Za-z0-9+/_\-][A-Za-z0-9+/_\-.=~]{6,}[A-Za-z0-9+/_\-=~])))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
     r"|(?P<date>(?<![\w./\-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/\-]|\.\d))"
     r"|(?P<ssn>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<card>(?<![\w\-.+])\d(?:[ \-]?\d){12,18}(?![\w\-]|\.\d))"
+    r"|(?P<card>(?<![\w\-.+])\d(?:[ \-]?\d){12,18}(?!\w|-(?!\d)|\.\d))"
     r"|(?P<phone>(?<![\w.\-])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?![\w\-]|\.\d)|(?<![\w.\-])\+\d{8,15}(?![\w\-]|\.\d))"
 )
 LOW, HIGH = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -50,14 +57,32 @@ def permute(rank: int, size: int, key: bytes, kind: str) -> int:
             return rank
 
 
+def permute_long(digits: list[int], bases: list[int], key: bytes, kind: str) -> list[int]:
+    """Keyed permutation of the strings of digits in the given bases: a Feistel network that adds to each digit of a half."""
+    prefix, half = key + b"\0" + kind.encode() + b"\0long" + bytes(bases) + b"\0", len(digits) // 2
+    left, right, low, high = digits[:half], digits[half:], bases[:half], bases[half:]
+    for r in range(ROUNDS):
+        mixed = hashlib.shake_256(prefix + bytes([r]) + bytes(right)).digest(8 * len(left))
+        left = [(d + int.from_bytes(mixed[8 * i : 8 * i + 8], "big")) % b for i, (d, b) in enumerate(zip(left, low, strict=True))]
+        left, right, low, high = right, left, high, low
+    return left + right
+
+
 def permute_text(text: str, key: bytes, kind: str) -> str:
     """Permute digits among digits and letters among letters of their case; the rest stays."""
     bases = [(48, 10) if "0" <= c <= "9" else (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else None for c in text]
+    out = list(text)
+    if len(text) >= LONG:
+        spots = [i for i, b in enumerate(bases) if b]
+        made = permute_long([ord(text[i]) - bases[i][0] for i in spots], [bases[i][1] for i in spots], key, kind)
+        for i, d in zip(spots, made, strict=True):
+            out[i] = chr(bases[i][0] + d)
+        return "".join(out)
     rank, size = 0, 1
     for c, b in zip(text, bases, strict=True):
         if b:
             rank, size = rank * b[1] + ord(c) - b[0], size * b[1]
-    rank, out = permute(rank, size, key, kind), list(text)
+    rank = permute(rank, size, key, kind)
     for i in range(len(text) - 1, -1, -1):
         if b := bases[i]:
             rank, at = divmod(rank, b[1])
@@ -163,6 +188,8 @@ def as_phone(value: str, key: bytes) -> str | None:
 
 MAKERS = {"email": as_email, "ip": as_ip, "date": as_date, "ssn": as_ssn, "iban": as_iban, "card": as_card, "phone": as_phone}
 KINDS = (*MAKERS, "secret")
+#: The groups of FIND that hold a value, inner ones first, with their kind.
+GROUPS = {"double": "secret", "single": "secret", "value": "secret", "long": "email"} | {k: k for k in KINDS}
 
 
 @lru_cache(maxsize=65536)
@@ -173,22 +200,33 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     if value.startswith("AKIA"):
         return "AKIA" + permute_text(value[4:], key, "secret")
     if re.fullmatch("[0-9a-f]+", value):
+        if len(value) >= LONG:
+            return "".join(f"{d:x}" for d in permute_long([int(c, 16) for c in value], [16] * len(value), key, "secret"))
         size = 16 ** len(value)
         return f"{permute(int(value, 16), size, key, 'secret'):0{len(value)}x}"
     return permute_text(value, key, "secret")
 
 
+def ends(kind: str, text: str, start: int, end: int) -> Iterator[int]:
+    """Where a value may end: at its match's end; cards and IBANs else after a group before it."""
+    yield end
+    if kind in ("card", "iban"):
+        yield from (i for i in range(end - 1, start, -1) if text[i] in " -")
+
+
 def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
     """(text with pseudonyms, spans (kind, start, end) in the given text)."""
     if not text or not SOME.search(text):
         return text, []
     spans, parts, done, at = [], [], 0, 0
     while m := FIND.search(text, at):
-        kind, (start, end) = m.lastgroup if m.lastgroup != "value" else "secret", m.span()
-        if m["value"]:
-            start, end = m.span("value")
-        new = pseudonym(kind, text[start:end], key)
-        if new is None:  # another kind may start inside
+        kind, group = next((k, g) for g, k in GROUPS.items() if m[g] is not None)
+        start, last = m.span(group)
+        for end in ends(kind, text, start, last):
+            make = pseudonym if end - start < LONG else pseudonym.__wrapped__  # long values don't fill the cache
+            if (new := make(kind, text[start:end], key)) is not None:
+                break
+        else:  # another kind may start inside
             at = m.start() + 1
             continue
         spans.append((kind, start, end))
