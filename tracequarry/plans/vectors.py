@@ -70,3 +70,13 @@ def pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over a thin slice of customers, so that groups under the floor occur."""
     rows = table(spark, sf_dir, "customer").where("c_custkey % 29 = 0").select("c_custkey", "c_nationkey")
     return embed.pack_windows(rows, "c_custkey", "c_nationkey")
+
+
+@P.query("""
+WITH s AS (SELECT c_custkey, c_nationkey AS g, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+h AS (SELECT *, CASE WHEN n < 4 THEN 'small' ELSE 'g' || g END AS home FROM s),
+p AS (SELECT *, count(*) OVER (PARTITION BY home) AS size, row_number() OVER (PARTITION BY home ORDER BY g, c_custkey) - 1 AS spot FROM h)
+SELECT c_custkey, home || ':' || CAST(floor(spot * ceil(size / 20) / size) AS BIGINT) AS "window" FROM p""")
+def pack_windows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over all customers."""
+    return embed.pack_windows(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey")
