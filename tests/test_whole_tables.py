@@ -1,6 +1,8 @@
 """Queries over whole tables: every row of the input is answered for."""
 
+import hashlib
 import os
+import re
 from collections import Counter
 
 import pytest
@@ -34,3 +36,26 @@ def test_small_groups_share_windows(spark):
     got = embed.pack_windows(spark.createDataFrame(rows, "k long, g string"), "k", "g").collect()
     assert sorted(r["k"] for r in got) == sorted(k for k, _ in rows)
     assert Counter(r["window"] for r in got) == {"ga:0": 15, "ga:1": 15, "ga:2": 15, "small:0": 12, "small:1": 12, "gfour:0": 4}
+
+
+def redacted(text):
+    words = "password|passcode|token|secret|otp|verification_code|api_key|cvv|card_number"
+    for q in "'\"":  # a value of one kind of quotes holds no assignment of the other kind here
+        text = re.sub(rf"(?ia)(\b[a-z0-9_]*(?:{words})[a-z0-9_]*\b\s*[:=]\s*){q}[^{q}\n]*{q}", rf"\1{q}[REDACTED]{q}", text or "")
+    return re.sub(r"(?ia)\bBearer\s+[a-z0-9._~+\-/=]+", "Bearer [REDACTED]", text)
+
+
+def test_texts_with_apostrophes_are_redacted(spark, tmp_path):
+    texts = ["it's plain", "it's password = 'x y' and token: \"z\"", 'my_secret="don\'t"', None, "", "otp = '1'\napi_key: '2' isn't", "can't: Bearer a.b-c"]
+    schema = "doc_id long, text string"
+    spark.createDataFrame(list(enumerate(texts)), schema).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["text_sha"] for r in registry.queries()["redact_text_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256(redacted(t).encode()).hexdigest() for i, t in enumerate(texts)}
+    assert redacted(texts[1]) == "it's password = '[REDACTED]' and token: \"[REDACTED]\""
+
+
+@needs_tables
+def test_every_document_is_redacted(spark):
+    got = registry.queries()["redact_text_all"](spark, SF).collect()
+    want = [(r["doc_id"], hashlib.sha256(redacted(r["text"]).encode()).hexdigest()) for r in of(spark, "documents").collect()]
+    assert Counter(tuple(r) for r in got) == Counter(want)

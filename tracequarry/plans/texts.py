@@ -55,6 +55,12 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.sha2(X.redact("text"), 256).alias("text_sha"))
 
 
+@P.query()
+def redact_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with both kinds of quotes; a null text counts as empty."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.redact("text"), 256).alias("text_sha"))
+
+
 @P.query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
