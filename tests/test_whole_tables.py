@@ -6,9 +6,9 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from tests import oracle
-from tracequarry.operators import embed
+from tracequarry.operators import compare, embed
 from tracequarry.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +59,20 @@ def test_every_document_is_redacted(spark):
     got = registry.queries()["redact_text_all"](spark, SF).collect()
     want = [(r["doc_id"], hashlib.sha256(redacted(r["text"]).encode()).hexdigest()) for r in of(spark, "documents").collect()]
     assert Counter(tuple(r) for r in got) == Counter(want)
+
+
+@needs_tables
+def test_every_task_is_in_one_report(spark):
+    category = {r["o_custkey"]: r["category"] for r in registry.queries()["longitudinal_pairs"](spark, SF).collect()}
+    reports = [r["report"] for r in registry.queries()["comparison_report_all"](spark, SF).collect()]
+    assert Counter(int(x) for r in reports for x in re.findall(r"#### Task (\d+):", r)) == Counter(list(category))
+    heads = {"improved": "Improved", "regressed": "Regressed", "persistent_fail": "Persistent failures", "stable_success": "Stable successes"}
+    for c, head in heads.items():
+        assert sum(int(re.search(rf"- {head} .*: (\d+)", r)[1]) for r in reports) == list(category.values()).count(c)
+
+
+def test_one_report_for_each_group(spark):
+    rows = [(i, i // 1000, c, "f", c in ("regressed", "stable_success"), 0.5, 1, c in ("improved", "stable_success"), 0.5, 1) for i, c in ((1, "improved"), (2, "regressed"), (1000, "improved"))]
+    schema = "id long, part long, category string, task_family string, prev_success boolean, prev_score double, prev_steps int, curr_success boolean, curr_score double, curr_steps int"
+    got = dict(compare.comparison_text(spark.createDataFrame(rows, schema).withColumn("task", F.lit("t")), "id", ["part"]).collect())
+    assert {p: re.findall(r"Total samples: \d+|Task \d+", r) for p, r in got.items()} == {0: ["Total samples: 2", "Task 2", "Task 1"], 1: ["Total samples: 1", "Task 1000"]}

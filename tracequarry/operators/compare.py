@@ -38,11 +38,12 @@ def category_counts(pairs: DataFrame) -> DataFrame:
     return domain.unionByName(found).groupBy("category").agg(F.sum("zero").alias("n"))
 
 
-def comparison_text(pairs: DataFrame, order: str) -> DataFrame:
+def comparison_text(pairs: DataFrame, order: str, by: list[str] | None = None) -> DataFrame:
     """The comparison as one report: counts, then regressions first and stable successes last.
 
     ``pairs`` needs id, task, task_family, category, the two sides' columns and, where wanted,
-    prev_trajectory and curr_trajectory. A report is one text, so it is meant for one epoch's tasks.
+    prev_trajectory and curr_trajectory. A report is one text, so it is meant for one epoch's tasks;
+    with ``by`` there is one for each group, after the group's columns.
     """
     has_text = {"prev_trajectory", "curr_trajectory"} <= set(pairs.columns)
 
@@ -74,8 +75,9 @@ def comparison_text(pairs: DataFrame, order: str) -> DataFrame:
         ("persistent_fail", "Persistent failures (fail -> fail)"),
         ("stable_success", "Stable successes (success -> success)"),
     ]
-    rows = pairs.select("category", F.struct(F.col(order).alias("ord"), entry.alias("text")).alias("entry"))
-    made = rows.groupBy().agg(
+    by = by or []
+    rows = pairs.select(*by, "category", F.struct(F.col(order).alias("ord"), entry.alias("text")).alias("entry"))
+    made = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"),
         *(F.array_sort(F.collect_list(F.when(F.col("category") == c, F.col("entry")))).alias(c) for c in CATEGORIES),
     )
@@ -87,4 +89,4 @@ def comparison_text(pairs: DataFrame, order: str) -> DataFrame:
     for c, title in sections:
         body = F.concat(F.lit(f"### {title}\n"), F.array_join(F.transform(c, lambda e: e["text"]), "\n"))
         parts.append(F.when(F.size(c) > 0, body).otherwise(f"### {title}\n(none)\n"))
-    return made.select(F.concat_ws("\n\n", *parts).alias("report"))
+    return made.select(*by, F.concat_ws("\n\n", *parts).alias("report"))

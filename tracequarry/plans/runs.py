@@ -125,6 +125,26 @@ def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.comparison_text(cohort, "o_custkey")
 
 
+@P.query(PAIRS_SQL + """, e AS (
+  SELECT o_custkey // 1000 AS part, category, o_custkey, chr(10) || '#### Task ' || o_custkey || ': Customer' || chr(10) || 'Task family: ' || task_family || chr(10) || '- Previous epoch: '
+    || CASE WHEN prev_success THEN 'PASS' ELSE 'FAIL' END || printf(' (score=%.2f, steps=%d)', prev_score, prev_steps) || chr(10) || '- Current epoch: '
+    || CASE WHEN curr_success THEN 'PASS' ELSE 'FAIL' END || printf(' (score=%.2f, steps=%d)', curr_score, curr_steps) AS t FROM pairs
+), s AS (
+  SELECT g.part, o, title, string_agg(t, chr(10) ORDER BY o_custkey) AS body, count(t) AS n FROM (SELECT DISTINCT part FROM e) g
+  CROSS JOIN (VALUES (1, 'regressed', 'Regressions (success -> fail) - HIGHEST PRIORITY'),
+    (2, 'persistent_fail', 'Persistent Failures (fail -> fail)'), (3, 'improved', 'Improvements (fail -> success)'), (4, 'stable_success', 'Stable Successes (success -> success)')) d(o, c, title)
+  LEFT JOIN e ON e.category = c AND e.part = g.part GROUP BY 1, 2, 3
+)
+SELECT part, '## Longitudinal Comparison Summary' || chr(10) || 'Total samples: ' || sum(n) || chr(10) || '- Improved (fail -> success): ' || max(n) FILTER (o = 3) || chr(10)
+  || '- Regressed (success -> fail): ' || max(n) FILTER (o = 1) || chr(10) || '- Persistent failures (fail -> fail): ' || max(n) FILTER (o = 2) || chr(10)
+  || '- Stable successes (success -> success): ' || max(n) FILTER (o = 4) || chr(10) || chr(10) || chr(10)
+  || string_agg('### ' || title || chr(10) || coalesce(body, '(none)' || chr(10)), chr(10) || chr(10) ORDER BY o) AS report FROM s GROUP BY part""")
+def comparison_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tasks, in one report for each thousand of customer numbers, so that no text grows with the table."""
+    rows = pairs(spark, sf_dir).withColumns({"part": F.floor(F.col("o_custkey") / 1000), "id": F.col("o_custkey"), "task": F.lit("Customer")})
+    return compare.comparison_text(rows, "o_custkey", ["part"])
+
+
 @P.query("""
 SELECT CASE WHEN a.o_orderstatus <> 'F' AND b.o_orderstatus = 'F' THEN 'improved' WHEN a.o_orderstatus = 'F' AND b.o_orderstatus <> 'F' THEN 'regressed'
   WHEN a.o_orderstatus <> 'F' THEN 'persistent_fail' ELSE 'stable_success' END AS category, count(*) AS n
