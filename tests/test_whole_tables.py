@@ -76,3 +76,18 @@ def test_one_report_for_each_group(spark):
     schema = "id long, part long, category string, task_family string, prev_success boolean, prev_score double, prev_steps int, curr_success boolean, curr_score double, curr_steps int"
     got = dict(compare.comparison_text(spark.createDataFrame(rows, schema).withColumn("task", F.lit("t")), "id", ["part"]).collect())
     assert {p: re.findall(r"Total samples: \d+|Task \d+", r) for p, r in got.items()} == {0: ["Total samples: 2", "Task 2", "Task 1"], 1: ["Total samples: 1", "Task 1000"]}
+
+
+@needs_tables
+def test_every_order_gives_a_job(spark):
+    got = registry.queries()["comparison_jobs_all"](spark, SF).collect()
+    known = {r["c_custkey"] for r in of(spark, "customer").collect()}
+    want = Counter((f"M{r['o_custkey']:06d}", f"T{r['o_orderkey'] % 200}") for r in of(spark, "orders").collect() if r["o_custkey"] in known)
+    assert Counter({(r["edit_id"], r["task_id"]): r["n"] for r in got}) == want
+
+
+@needs_tables
+def test_every_shared_nation_is_found(spark):
+    got = registry.queries()["split_intersection_all"](spark, SF).collect()
+    sides = [{r[c] for r in of(spark, t).collect()} for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"))]
+    assert sorted(r["key"] for r in got) == sorted(sides[0] & sides[1])

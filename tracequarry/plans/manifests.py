@@ -83,6 +83,13 @@ def split_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.intersect(table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select("s_nationkey"))
 
 
+@P.query("SELECT c_nationkey AS key FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def split_intersection_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of any customer and any supplier."""
+    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key"))
+    return a.intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
 @P.query("SELECT p_partkey, row_number() OVER (ORDER BY sha256('42:1:' || p_partkey), p_partkey) - 1 AS pos, CAST((row_number() OVER (ORDER BY sha256('42:1:' || p_partkey), p_partkey) - 1) // 4 AS INTEGER) AS bundle FROM part")
 def shuffle_epoch_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.shuffle_epoch_bundles(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 4, 42)
