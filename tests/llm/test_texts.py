@@ -226,6 +226,13 @@ def test_shots():
     assert len(media_avi.find_shots(noisy)) <= 3  # constant change is no cut
 
 
+def test_digest_lists_every_cut():
+    data = media_avi.text_media("".join(("a", "Z9 ~")[i % 2] * (1536 * 20 // (1, 4)[i % 2]) for i in range(50)))
+    cuts = [c["first_frame"] for c in media_avi.clip_rows(data)][1:]
+    feature = dict(x.split("=") for x in media_avi.media_digest(data)[-1].split(" luma=")[0].split())
+    assert len(cuts) > 40 and feature["cuts"] == ",".join(map(str, cuts)) and feature["shots"] == str(len(cuts) + 1)
+
+
 def test_media_tables(spark):
     rows = [(1, prose(2000, 1), None), (1, prose(2000, 1), None), (2, None, None), (None, "", None), (3, prose(40_000, 2), None)]
     docs = documents(spark, rows)

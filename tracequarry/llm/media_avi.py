@@ -409,7 +409,7 @@ def media_digest(data: bytes) -> tuple[int, str, int, int, str, str]:
     payload, shares = media_payload(avi), luma_histograms(avi)
     shots = find_shots(shares)
     mean = " ".join(f"{x:.4f}" for x in shares.mean(axis=0))
-    feature = f"frames={len(avi.frames)} shots={len(shots)} cuts={','.join(str(a) for a, _ in shots[1:33])} luma={mean}"
+    feature = f"frames={len(avi.frames)} shots={len(shots)} cuts={','.join(str(a) for a, _ in shots[1:])} luma={mean}"
     sha = hashlib.sha256
     return len(payload), sha(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), sha(data).hexdigest(), feature
 
