@@ -62,6 +62,30 @@ def test_held_out_accuracy():
     assert right / sum(map(len, labels)) > 0.98
 
 
+def test_blocks_of_deep_and_unclosed_pages():
+    def slots(page, at=0):
+        return set(html_text.blocks(page)[at].path)
+
+    article, nav = html_text.path_slot("article"), html_text.path_slot("nav")
+    assert article in slots("<body><div><div><div><article>" + "<section>" * 30 + "<p>x")
+    for open_tag in ("<section>", "<b>"):
+        page = "<body><nav>" + open_tag * 100 + "menu</nav><article><p>x</p></article>"
+        assert nav in slots(page) and nav not in slots(page, 1) and article in slots(page, 1)
+    assert [b.text for b in html_text.blocks("<ul><li>" + "<b>" * 100 + "x<li>y")] == ["x", "y"]
+    li = html_text.blocks("<ul><li class=zq>" + "<b>" * 100 + "x<li>y")
+    assert html_text.path_slot(".zq") in li[0].path and html_text.path_slot(".zq") not in li[1].path
+    many = html_text.vectors([html_text.Block("a" * 300 + "7" * 100, (), 0.0)])
+    assert many[0, html_text.PATH + html_text.WORD + 5] == pytest.approx(0.25)
+    assert len(html_text.blocks("<div class=a><b>x" * 60_000 + "</i></p><li>" * 60_000)) == 60_000
+
+
+def test_held_out_accuracy_on_deep_pages():
+    pages, labels = html_text.sample_pages(150, 777, 1.0)
+    found = html_text.fitted().label(pages)
+    right = sum(int(((a == 0) == (b == 0)).sum()) for a, b in zip(found, labels, strict=True))
+    assert right / sum(map(len, labels)) > 0.98
+
+
 def test_gradient():
     lstm = html_text.Lstm(np.random.default_rng(0), 5, 3)
     x = np.random.default_rng(1).standard_normal((4, 2, 5)).astype(np.float32)

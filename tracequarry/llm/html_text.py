@@ -12,6 +12,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -41,12 +42,14 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag on the left ends open elements on the right.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Open elements of these kinds, and inline ones, don't keep a start tag from ending those around them.
+PASSED = frozenset("dt dd td th option".split())
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: tuple[int, ...]  # slots of the tags, classes, ids and roles of all open elements
     linked: float
 
 
@@ -54,10 +57,14 @@ def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order: references decoded, white space turned to one space."""
     page = page or ""
     found: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, tuple[int, ...]]] = []
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag is open
+    walls: list[int] = []  # where elements are that implied ends don't pass
+    held: Counter[int] = Counter()  # slots of what is open
     parts: list[str] = []
     linked, links = 0, 0
-    path: tuple[str, ...] = ()
+    path: tuple[int, ...] = ()
+    rooted = False
 
     def close() -> None:
         nonlocal linked
@@ -69,16 +76,30 @@ def blocks(page: str | None) -> list[Block]:
         linked = 0
 
     def say(raw: str) -> None:
-        nonlocal linked, path
-        if not parts or not path:
+        nonlocal linked, path, rooted
+        if not parts or not rooted:
             if not raw.strip():
                 return
-            path = tuple(x for x in (*stack[:3], *stack[3:][-9:]))
-            path = tuple(t for tag in path for t in (tag[0], *(tag[1].split() if tag[1] else ())))
+            tags = [tag for tag, _ in stack[-2:]]
+            path = (*held, path_slot("last " + (tags[-1] if tags else "")), path_slot("pair " + " ".join(tags)))
+            rooted = bool(stack)
         parts.append(raw)
         if links:
             linked += len(raw)
 
+    def cut(size: int) -> None:
+        nonlocal links
+        while len(stack) > size:
+            tag, slots = stack.pop()
+            places[tag].pop()
+            links -= tag == "a"
+            if walls and walls[-1] == len(stack):
+                walls.pop()
+            for x in slots:
+                held[x] -= 1
+                if not held[x]:
+                    del held[x]
+
     at, lower = 0, None
     while m := TOKEN.search(page, at):
         if m.start() > at:
@@ -90,11 +111,8 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             if tag not in INLINE:
                 close()
-            for i in range(len(stack) - 1, max(-1, len(stack) - 65), -1):
-                if stack[i][0] == tag:
-                    links -= sum(1 for x, _ in stack[i:] if x == "a")
-                    del stack[i:]
-                    break
+            if places.get(tag):
+                cut(places[tag][-1])
             continue
         if tag in HIDDEN_TEXT and not m[3].endswith("/"):
             lower = lower if lower is not None else page.lower()
@@ -109,17 +127,17 @@ def blocks(page: str | None) -> list[Block]:
             say(" ")
         if tag not in INLINE:
             close()
-            for i in range(len(stack) - 1, max(-1, len(stack) - 65), -1):
-                open_tag = stack[i][0]
-                if open_tag in ENDS.get(tag, ()) or open_tag == "p":
-                    links -= sum(1 for x, _ in stack[i:] if x == "a")
-                    del stack[i:]
-                    break
-                if open_tag not in INLINE and open_tag not in ("dt", "dd", "td", "th", "option"):
-                    break
+            ended = max(places[x][-1] if places.get(x) else -1 for x in ("p", *ENDS.get(tag, ())))
+            if ended >= (walls[-1] if walls else 0):
+                cut(ended)
         if tag not in VOID and not m[3].endswith("/"):
-            names = " ".join("." + p for x in NAMES.findall(m[3]) for p in PART.findall("".join(x).lower())) if m[3] else ""
-            stack.append((tag, names))
+            names = ["." + p for x in NAMES.findall(m[3]) for p in PART.findall("".join(x).lower())] if m[3] else []
+            slots = tuple({path_slot(x) for x in (tag, *names)})
+            held.update(slots)
+            places[tag].append(len(stack))
+            if tag not in INLINE and tag not in PASSED:
+                walls.append(len(stack))
+            stack.append((tag, slots))
             links += tag == "a"
     if at < len(page):
         say(page[at:])
@@ -128,11 +146,12 @@ def blocks(page: str | None) -> list[Block]:
 
 
 @lru_cache(maxsize=20_000)
-def path_slots(path: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values of a tag path: every token, the last tag and the pair at the end."""
-    tags = [t for t in path if t[0] != "."]
-    tokens = [*set(path), "last " + (tags[-1] if tags else ""), "pair " + " ".join(tags[-2:])]
-    return np.array([zlib.crc32(t.encode()) % PATH for t in tokens]), np.ones(len(tokens), np.float32)
+def path_slot(token: str) -> int:
+    return zlib.crc32(token.encode()) % PATH
+
+
+def digits(text: str) -> int:
+    return sum(map(text.count, "0123456789")) if text.isascii() else sum(map(str.isdigit, text))
 
 
 @lru_cache(maxsize=200_000)
@@ -144,8 +163,7 @@ def vectors(found: list[Block]) -> np.ndarray:
     """One row per block: hashed path, hashed words, and plain measures."""
     x = np.zeros((len(found), WIDTH), np.float32)
     for i, b in enumerate(found):
-        slots, values = path_slots(b.path)
-        x[i, slots] = values
+        x[i, list(b.path)] = 1
         words = b.text.lower().split()
         hashed = np.bincount([word_slot(w) for w in words], minlength=WORD)
         x[i, PATH : PATH + WORD] = hashed / np.sqrt(len(words))
@@ -156,7 +174,7 @@ def vectors(found: list[Block]) -> np.ndarray:
             b.linked,
             b.text[-1] in ".!?:;\"')",
             b.text.count(",") / len(words),
-            sum(map(str.isdigit, b.text[:200])) / min(n, 200),
+            digits(b.text) / n,
             i / len(found),
             1.0,
         )
@@ -319,10 +337,20 @@ WRAPS = {
 }
 
 
-def sample_page(rng: random.Random) -> tuple[str, list[str]]:
-    """A composed page and the label of each of its blocks, in order."""
+def sample_page(rng: random.Random, deep: float = 0.1) -> tuple[str, list[str]]:
+    """A composed page and the label of each of its blocks, in order.
+
+    ``deep`` is the share of parts whose blocks lie under many more elements, some never ended.
+    """
     labels: list[str] = []
 
+    def inside(tag: str, names: str, body: str) -> str:
+        if tag not in ("ul", "ol") and rng.random() < deep:
+            n, inner = rng.choice((4, 12, 40, 120)), rng.choice(('div class="row"', 'div class="inner"', "div", "section", "span"))
+            name = inner.split()[0]  # left open, elements named as the part would take its end tag
+            body = f"<{inner}>" * n + body + (f"</{name}>" * n if name == tag or rng.random() < 0.5 else "")
+        return f"<{tag} {names}>{body}</{tag}>" if names else f"<{tag}>{body}</{tag}>"
+
     def words(n: int) -> str:
         made = ["".join(rng.choices(SYLLABLES, k=rng.choice((1, 1, 2, 2, 3)))) for _ in range(n)]
         noise = rng.random()
@@ -372,7 +400,7 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
                 for _ in range(n):
                     text = words(rng.randint(4, 60)) if kind in ("comment", "advert", "notice") and rng.random() < 0.6 else phrase(kind)
                     body += block(kind, rng.choice(("p", "p", "div", "p")), f'<a href="#">{text}</a>' if rng.random() < 0.3 else text)
-        return f"<{tag} {names}>{body}</{tag}>" if names else f"<{tag}>{body}</{tag}>"
+        return inside(tag, names, body)
 
     def story() -> str:
         tag, names = rng.choice(WRAPS["content"])
@@ -398,7 +426,7 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
                 body += block("content", rng.choice(("blockquote", "pre", "figcaption")), words(n))
             elif tag != "div" or names:
                 body += around(rng.choice(("advert", "advert", "sidebar", "form", "notice")))
-        return f"<{tag} {names}>{body}</{tag}>" if names else f"<{tag}>{body}</{tag}>"
+        return inside(tag, names, body)
 
     body = ""
     for kind in ("notice", "header", "menu", "advert"):
@@ -419,11 +447,11 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
     return f'<!DOCTYPE html><html lang="en"><head><title>{words(5)}</title><script>var t="</p>";</script></head><body>{body}</body></html>', labels
 
 
-def sample_pages(n: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def sample_pages(n: int, seed: int, deep: float = 0.1) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Vectors and labels of composed pages; pages whose markup merges blocks are left out."""
     rng, pages, labels = random.Random(seed), [], []
     while len(pages) < n:
-        page, names = sample_page(rng)
+        page, names = sample_page(rng, deep)
         found = blocks(page)
         if found and len(found) == len(names):
             pages.append(vectors(found))
