@@ -2,8 +2,9 @@
 
 Long lines are hashed to 128 bits, range-partitioned on (hash, document, position) and sorted
 within partitions, so a line that a third of all documents hold spans many partitions. The
-summary of each hash (documents that hold it, the one that keeps it) is streamed from those
-runs with map-side combination. Only positions of dropped lines travel back to documents, as a
+summary of each hash (documents that hold it, the one that keeps it) is not streamed from that order:
+an aggregate over the stored rows makes it, first to (hash, document), then to the hash, combined
+within each task before it is dealt. Only positions of dropped lines travel back to documents, as a
 compressed bitmap: the sorted positions at which "keep" turns to "drop" and back.
 """
 
