@@ -101,19 +101,19 @@ def wanted(docs, bench, threshold=0.8):
     def words(t):
         return re.sub(r"[\W_]+", " ", (t or "").lower()).split()
 
-    def grams(w):
-        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    def grams(w, size=5):
+        return [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
 
     first = {}
     for i, t in bench:
         k = tuple(words(t))
-        if len(k) >= 5:
+        if k:
             first[k] = min(i, first.get(k, i))
     out = {}
     for d, t, _ in docs:
-        gs = grams(words(t))
         for k, i in first.items():
-            it, n = Counter(grams(k)), len(k) - 4
+            size = min(5, len(k))
+            gs, it, n = grams(words(t), size), Counter(grams(k, size)), len(k) - size + 1
             for p in range(len(gs)):
                 win = Counter(gs[p : p + n])
                 same = sum((win & it).values())
@@ -123,9 +123,12 @@ def wanted(docs, bench, threshold=0.8):
     return {k: round(v, 6) for k, v in out.items()}
 
 
+X, Y = prose(20, 90).split(), prose(20, 91).split()
+
+
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_contaminations_against_brute_force(spark, limit):
-    bench = [(1, prose(40, 1)), (2, prose(60, 2)), (3, "a b c d"), (4, None), (5, prose(40, 1).upper()), (6, "la " * 30)]
+    bench = [(1, prose(40, 1)), (2, prose(60, 2)), (3, "a b c d"), (4, None), (5, prose(40, 1).upper()), (6, "la " * 30), (7, "Short item"), (8, ""), (9, " ".join([*X, *X, *Y]))]
     q, r = bench[0][1].split(), bench[1][1].split()
     rows = [
         (1, prose(30, 50) + " " + bench[0][1].upper().replace(" ", ", ") + prose(30, 51), "s"),
@@ -141,6 +144,10 @@ def test_contaminations_against_brute_force(spark, limit):
         (10, prose(20000, 8) + " " + bench[1][1], "s"),
         (None, bench[0][1], "s"),
         (11, " ".join([*r[:30], "x", *r[31:]]), "s"),
+        (12, " ".join([*X, *X, *X, *X, *X, *Y]), "s"),
+        (13, prose(12, 3) + " a short, item and a B; c d!", "s"),
+        (14, "short\titem", "s"),
+        (15, " ".join([*X, *Y, *X, *X[:14], "z", *X[15:], *Y, *Y]), "s"),
     ]
     docs = documents(spark, rows)
     got = decontam.contaminations(docs, items(spark, bench), broadcast_shingles=limit).collect()
@@ -153,7 +160,7 @@ def test_contaminations_against_brute_force(spark, limit):
 
 def test_nothing_to_find(spark):
     docs = documents(spark, [(1, prose(50, 1), None)])
-    assert decontam.contaminations(docs, items(spark, [(1, "too short")])).count() == 0
+    assert decontam.contaminations(docs, items(spark, [(1, "not there"), (2, None), (3, " ... ")])).count() == 0
     assert decontam.contaminations(documents(spark, []), items(spark, [(1, prose(50, 1))])).count() == 0
     assert decontam.contaminations(docs, items(spark, []).limit(0)).count() == 0
 
