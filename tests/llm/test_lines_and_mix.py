@@ -52,6 +52,16 @@ def test_bitmaps_are_runs(spark):
     assert got == {0: ([0, 2, 3, 4], 3), 1: ([0, 2, 3, 4], 3)}
 
 
+def test_names_that_clash(spark):
+    line = "a line that is long enough to count"
+    rows = [(i, f"own {i}\n{line}", 9, "x", [i], i) for i in range(4)] + [(3, f"own 3\n{line}", 9, "x", [3], 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, version string, flips array<int>, `a.b` int").withColumnsRenamed({"version": "doc"})
+    got = line_dedup.dedup_lines(docs)
+    assert sorted(got.columns) == sorted([*docs.columns, "n_dropped", "kept_text"])
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["doc"], r["a.b"]) for r in got.collect()) == [(i, 2, int(i < 3), "x", i) for i in (0, 1, 2, 3, 3)]
+    assert line_dedup.dedup_lines(docs, out_col="text").columns.count("text") == 1
+
+
 def test_lines_of_nothing(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 

@@ -1,11 +1,12 @@
 """Line de-duplication across documents, as native DataFrame operations.
 
-Long lines are hashed to 128 bits, range-partitioned on (hash, document, position) and sorted
-within partitions, so a line that a third of all documents hold spans many partitions. The
-summary of each hash (documents that hold it, the one that keeps it) is not streamed from that order:
-an aggregate over the stored rows makes it, first to (hash, document), then to the hash, combined
-within each task before it is dealt. Only positions of dropped lines travel back to documents, as a
-compressed bitmap: the sorted positions at which "keep" turns to "drop" and back.
+Long lines are hashed to 128 bits, range-partitioned on (hash, document) and sorted within
+partitions by hash, document and position, so a line that a third of all documents hold spans many
+partitions. Each task streams its sorted run and marks the first occurrence of a hash in a document.
+First occurrences alone make the summary of a hash (how many documents hold it, which one keeps it);
+they are combined within each task, so only one row a hash and range travels on to join the ranges
+at their edges. Only positions of dropped lines travel back to documents, as a compressed bitmap:
+the sorted positions at which "keep" turns to "drop" and back.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
+from tracequarry.llm.naming import quoted, unused
 from tracequarry.operators.membership import likely_members
 from tracequarry.session import staged
 
@@ -55,31 +59,31 @@ def keep_bitmaps(
     A key of at least ``min_chars`` code points found in at least ``min_docs`` documents stays
     only in the document with the largest id. Rows of one id count as one document; a null id
     counts as one document, below all others. Null and empty texts hold one empty line, which is
-    too short for a key. Repeated rows get the same bitmap. Other columns are ignored.
+    too short for a key. Repeated rows get the same bitmap. Texts of any length are read whole.
+    Without documents there are no rows. Other columns are ignored.
     """
     found = (
         docs.select(
-            F.col(id_col).alias("doc"),
-            F.xxhash64(F.col(text_col)).alias("version"),
-            F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"),
+            quoted(id_col).alias("doc"),
+            F.xxhash64(quoted(text_col)).alias("version"),
+            F.posexplode(lines_of(quoted(text_col))).alias("pos", "line"),
         )
+        .where(F.char_length(F.btrim("line", F.lit(WHITE))) >= min_chars)  # as long as its key
         .select("doc", "version", "pos", line_key(F.col("line")).alias("key"))
-        .where(F.char_length("key") >= min_chars)
         .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc", "version", "pos")
     )
+    # ranges of (hash, document) hold all of a document's lines of one hash, so this window needs no other shuffle
+    in_document = Window.partitionBy("h1", "h2", "doc").orderBy("pos", "version")
     runs = staged(
-        found.repartitionByRange("h1", "h2", "doc", "pos").sortWithinPartitions("h1", "h2", F.desc("doc"), "pos"),
+        found.repartitionByRange("h1", "h2", "doc").withColumn("first", F.row_number().over(in_document) == 1),
         "line-runs",
     )
     # a table of its own: a join with an aggregate's output could not split a hot hash
     repeated = staged(
-        runs.groupBy("h1", "h2")
-        .agg(
-            F.count_distinct("doc").alias("n"),
-            F.max(F.col("doc").isNull().cast("int")).alias("unnamed"),
-            F.max("doc").alias("keeper"),
-        )
-        .where(F.col("n") + F.col("unnamed") >= min_docs)
+        runs.where("first")
+        .groupBy("h1", "h2")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper"))
+        .where(F.col("n") >= min_docs)
         .select("h1", "h2", "keeper"),
         "line-repeated",
     )
@@ -132,25 +136,22 @@ def dedup_lines(
 ) -> DataFrame:
     """All rows and columns of ``docs`` plus n_lines, n_dropped and the kept text.
 
-    Rows that lose nothing keep their text as it is (a null text becomes the empty text).
+    Rows that lose nothing keep their text as it is (a null text becomes the empty text). Columns of
+    ``docs`` that are called n_lines, n_dropped or like ``out_col`` are replaced by the new ones;
+    no other name clashes. Nulls, repeated rows and empty tables as in ``keep_bitmaps``.
     """
     maps = keep_bitmaps(docs, id_col, text_col, min_chars=min_chars, min_docs=min_docs)
-    maps = maps.select(*(F.col(c).alias(f"__{c}") for c in maps.columns))
-    joined = docs.join(
-        maps,
-        F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col(text_col)) == F.col("__version")),
-        "left",
-    )
-    lines = lines_of(F.col(text_col))
-    text = F.when(F.col("__flips").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(
-        F.array_join(apply_bitmap(lines, F.col("__flips")), "\n")
+    doc, version, flips, dropped = unused(docs, "doc", "version", "flips", "dropped")
+    maps = maps.select(F.col("doc").alias(doc), F.col("version").alias(version), F.col("flips").alias(flips), F.col("n_dropped").alias(dropped))
+    joined = docs.join(maps, quoted(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(quoted(text_col)) == F.col(version)), "left")
+    lines = lines_of(quoted(text_col))
+    text = F.when(F.col(flips).isNull(), F.coalesce(quoted(text_col), F.lit(""))).otherwise(
+        F.array_join(apply_bitmap(lines, F.col(flips)), "\n")
     )
     added = {
         "n_lines": F.size(lines).cast("long"),
-        "n_dropped": F.coalesce(F.col("__n_dropped"), F.lit(0).cast("long")),
+        "n_dropped": F.coalesce(F.col(dropped), F.lit(0).cast("long")),
         out_col: text,
     }
-    keep = [F.col(c) for c in docs.columns if c not in added or c == text_col == out_col]
-    if out_col == text_col:
-        keep = [added.pop(out_col).alias(c) if c == out_col else F.col(c) for c in docs.columns if c not in added]
-    return joined.select(*keep, *(v.alias(k) for k, v in added.items()))
+    places = [added.pop(c).alias(c) if c == out_col == text_col else quoted(c) for c in docs.columns if c not in added or c == out_col == text_col]
+    return joined.select(*places, *(v.alias(k) for k, v in added.items()))
