@@ -1,14 +1,17 @@
 import hashlib
 import itertools
+import os
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.tables import WORDS, documents, prose
-from tracequarry.llm import html_text, media_avi, pii, token_counts, toxicity, url_lists
+from tracequarry.llm import html_text, media_avi, pii, queries, token_counts, toxicity, url_lists
 
 KEY = b"test key"
 
@@ -62,6 +65,72 @@ def test_held_out_accuracy():
     assert right / sum(map(len, labels)) > 0.98
 
 
+def test_quotes_count_only_around_values():
+    def texts(page):
+        return [b.text for b in html_text.blocks(page)]
+
+    assert texts("<p title=don't>Hello world</p><p>It is Bob's text</p><p>last</p>") == ["Hello world", "It is Bob's text", "last"]
+    assert texts("<p a='>'>q<p b = \"x>y\" c=d'e>r</p x='>'>s") == ["q", "r", "s"]
+    assert texts('<p title="never ended>Hello</p><p>It is a < b and c <3</p>') == ["Hello", "It is a < b and c <3"]
+    assert texts("a<!--> b <!-- c --> d <? e > <!doctype f>g</ h>i<p") == ["a b d gi"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a x='>'", '<p x="', "<!", "</", "<", "=<a b=", "<div>", "<!--", "<script>", "<b>x", "<p x='\""])
+def test_time_is_linear(piece):
+    began = time.perf_counter()
+    html_text.blocks(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 10
+
+
+class Articles(HTMLParser):
+    """The blocks of article elements, read by another parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.parts, self.found = False, [], []
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        self.found += [text] if text and self.inside else []
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag != "b":
+            self.flush()
+        self.inside |= tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag != "b":
+            self.flush()
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        self.parts.append(data)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_pages_table_against_another_parser(spark):
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        parser = Articles()
+        parser.feed(r["html"] or "")
+        parser.close()
+        want[r["page_id"]] = "\n".join(parser.found)
+    got = {r["page_id"]: r["text"] for r in queries.op2_html_text(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want
+
+
+def test_pages_with_awkward_columns(spark):
+    rows = [(None, None, "x", 1), (1, "", "x", 1), (2, "<article><p>one two three four five.</p></article>", None, 1), (2, "<article><p>one two three four five.</p></article>", None, 1)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string, `n.x` int")
+    got = html_text.extract_text(pages, keep=("page_id", "text", "n.x"))
+    assert got.columns == ["page_id", "n.x", "text", "n_chars"] and [r["n.x"] for r in got.collect()] == [1] * 4
+    assert sorted(r["n_chars"] for r in got.collect())[:2] == [0, 0]
+    assert html_text.extract_text(pages.limit(0), keep=()).count() == 0
+
+
 def test_blocks_of_deep_and_unclosed_pages():
     def slots(page, at=0):
         return set(html_text.blocks(page)[at].path)

@@ -20,18 +20,21 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tracequarry.llm.naming import quoted
 
 LABELS = ("content", "menu", "header", "footer", "sidebar", "notice", "advert", "form", "comment")
 PATH, WORD, REST = 160, 48, 8
 WIDTH = PATH + WORD + REST
 HIDDEN = 24
 BATCH = 64
+#: Blocks that are read together at most, unless one page has more.
+CELLS = 1 << 15
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</[^>]*>",
-    re.S,
-)
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+#: What ends a piece of a tag outside of values: a tag's end, or a sign of equality before a value.
+PIECE = re.compile(r"[^=>]*+(?:>|=\s*+)")
+BARE = re.compile(r"[^\s>]*+")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[a-z]+")
 #: Elements whose text is never shown as such.
@@ -53,8 +56,40 @@ class Block:
     linked: float
 
 
+class Tags:
+    """Finds where tags end. Quotes count only around a value, as browsers read them.
+
+    Each character is looked at once or twice in all: a quote without its like ahead is remembered.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.lost: set[str] = set()
+
+    def end(self, at: int) -> int:
+        """Position after the '>' of the tag whose name ends at ``at``; -1 if there is none."""
+        page = self.page
+        while m := PIECE.match(page, at):
+            at = m.end()
+            if page[at - 1] == ">":
+                return at
+            quote = page[at : at + 1]
+            if quote in ("'", '"') and quote not in self.lost:
+                end = page.find(quote, at + 1)
+                if end >= 0:
+                    at = end + 1
+                    continue
+                self.lost.add(quote)
+            at = BARE.match(page, at).end()
+        return -1
+
+
 def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks of a page in order: references decoded, white space turned to one space."""
+    """Leaf blocks of a page in order: references decoded, white space turned to one space.
+
+    Time is linear in the page, whatever its markup. A tag that never ends hides what follows it, and
+    a quoted value without its closing quote ends like one without quotes.
+    """
     page = page or ""
     found: list[Block] = []
     stack: list[tuple[str, tuple[int, ...]]] = []
@@ -100,21 +135,32 @@ def blocks(page: str | None) -> list[Block]:
                 if not held[x]:
                     del held[x]
 
-    at, lower = 0, None
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    at, lower, tags = 0, None, Tags(page)
+    while at < len(page):
+        i = page.find("<", at)
+        i = len(page) if i < 0 else i
+        m = NAME.match(page, i + 1 + page.startswith("/", i + 1))
+        if i > at or not m:
+            marked = page.startswith(("!", "?", "/"), i + 1)
+            say(page[at : i if m or marked else i + 1])  # a sign that opens no tag is text
+            at = i if m or marked else i + 1
+        if not m:
+            if at < len(page) and page[at] == "<" and page.startswith(("!", "?", "/"), at + 1):
+                mark = "-->" if page.startswith("<!--", at) else ">"
+                end = page.find(mark, at + 2)
+                at = len(page) if end < 0 else end + len(mark)
             continue
-        tag = m[2].lower()
-        if m[1]:
+        at = tags.end(m.end())
+        if at < 0:
+            break  # a tag that never ends takes the rest with it
+        tag, inner = m[0].lower(), page[m.end() : at - 1]
+        if m.start() == i + 2:
             if tag not in INLINE:
                 close()
             if places.get(tag):
                 cut(places[tag][-1])
             continue
-        if tag in HIDDEN_TEXT and not m[3].endswith("/"):
+        if tag in HIDDEN_TEXT and not inner.endswith("/"):
             lower = lower if lower is not None else page.lower()
             end = lower.find("</" + tag, at)
             end = len(page) if end < 0 else end
@@ -130,8 +176,8 @@ def blocks(page: str | None) -> list[Block]:
             ended = max(places[x][-1] if places.get(x) else -1 for x in ("p", *ENDS.get(tag, ())))
             if ended >= (walls[-1] if walls else 0):
                 cut(ended)
-        if tag not in VOID and not m[3].endswith("/"):
-            names = ["." + p for x in NAMES.findall(m[3]) for p in PART.findall("".join(x).lower())] if m[3] else []
+        if tag not in VOID and not inner.endswith("/"):
+            names = ["." + p for x in NAMES.findall(inner) for p in PART.findall("".join(x).lower())] if inner else []
             slots = tuple({path_slot(x) for x in (tag, *names)})
             held.update(slots)
             places[tag].append(len(stack))
@@ -139,8 +185,6 @@ def blocks(page: str | None) -> list[Block]:
                 walls.append(len(stack))
             stack.append((tag, slots))
             links += tag == "a"
-    if at < len(page):
-        say(page[at:])
     close()
     return found
 
@@ -268,8 +312,11 @@ class Labeller:
         """The label of every block of every page; pages of like length are read together."""
         out: list[np.ndarray] = [np.zeros(0, int)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: len(pages[i]))
-        for at in range(0, len(order), BATCH):
-            part = order[at : at + BATCH]
+        while order:
+            n = 1  # the longest pages come first, and set how many of them are read together
+            while n < min(BATCH, len(order)) and len(pages[order[-1]]) * (n + 1) <= CELLS:
+                n += 1
+            part, order = order[-n:], order[:-n]
             z = self.logits([pages[i] for i in part])
             for j, i in enumerate(part):
                 out[i] = z[: len(pages[i]), j].argmax(axis=1)
@@ -477,10 +524,14 @@ def main_texts(pages: list[str | None], labeller: Labeller) -> list[str]:
 def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), labeller: Labeller | None = None) -> DataFrame:
     """One row per row of ``pages``: the kept columns, text and n_chars.
 
-    Null, empty and text-less pages have the empty text. Pages are read whole.
+    Null, empty and text-less pages have the empty text; kept columns may hold nulls. Repeated rows
+    give repeated rows, an empty table none. Pages of any length and markup are read whole, in
+    time linear in them. A kept column called text or n_chars gives way to the new one; other
+    columns don't take part.
     """
     model = labeller or fitted()
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep) + ", text string, n_chars long"
+    keep = tuple(c for c in keep if c.lower() not in ("text", "n_chars"))
+    schema = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep) + "text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -490,4 +541,5 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
                 columns = [*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "text", "n_chars"])
 
-    return pages.select(*(F.col(c) for c in keep), F.col(html_col)).mapInArrow(run, schema)
+    named = (quoted(c).alias(f"c{i}") for i, c in enumerate((*keep, html_col)))  # names with dots can't be passed on
+    return pages.select(*named).mapInArrow(run, schema)
