@@ -418,6 +418,12 @@ def test_as_of_join(spark):
 
 def test_no_lists_and_no_captures(spark):
     assert verdicts(spark, [("http://a.b", "2024-01-01", "k", 1)], [("x", None, "block")])[0][2] == "none"
+    deep, labels = "/".join(f"s{i}" for i in range(2100)), ".".join("n" for _ in range(200))
+    rows = [(f"http://Deep.org//{deep}//end?x=/", "2024-06-02", "__url", 1), (f"https://{labels}.wide.org./x", "2024-06-02", "y", 2), ("http://deep.org/s0/s1", "2024-06-02", "z", 3)]
+    captures = spark.createDataFrame(rows, "url string, t string, time string, `__doc` int").withColumn("fetched", F.to_timestamp("t")).withColumn("hit", F.lit(1))
+    listed = [("deep.org/" + "/".join(deep.split("/")[:2060]) + "/", "2024-01-01", "block"), (".".join(["n"] * 150) + ".Wide.org", "2024-01-01", "review")]
+    got = url_lists.judge(captures, spark.createDataFrame(listed, "key string, since string, action string").withColumn("since", F.to_timestamp("since"))).collect()
+    assert {r["__doc"]: r["verdict"] for r in got} == {1: "block", 2: "review", 3: "none"} and got[0]["hit"] == 1
     none = spark.createDataFrame([], "url string, fetched timestamp")
     entries = spark.createDataFrame([], "key string, since timestamp, action string")
     assert url_lists.judge(none, entries).count() == 0

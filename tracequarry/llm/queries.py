@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.llm import (
@@ -159,11 +159,33 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = spark.createDataFrame(URL_LIST, "key string, since string, action string").withColumn(
-        "since", F.to_timestamp("since")
+def url_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed entries, and dated ones for every host of the pages and for some of their first folders.
+
+    The hash of a host decides over its entries, so the list grows with the hosts.
+    """
+    fixed = spark.createDataFrame(URL_LIST, "key string, since string, action string").withColumn("since", F.to_timestamp("since"))
+    url = F.col("url")
+    rows = table(spark, sf_dir, "pages").select(url_lists.url_host(url).alias("host"), F.get(url_lists.path_segments(url_lists.url_path(url)), F.lit(0)).alias("folder"))
+    rows = rows.where("host <> ''").withColumn("h", F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("int")).distinct()
+
+    def event(key: Column, days: Column, action: Column) -> Column:
+        return F.struct(key.alias("key"), F.timestamp_seconds(F.lit(1704067200) + days * 86400).alias("since"), action.alias("action"))
+
+    h = F.col("h")
+    said = F.get(F.array(F.lit("block"), F.lit("review"), F.lit("allow")), h % 3)
+    events = F.array_compact(
+        F.array(
+            event(F.col("host"), h % 200, said),
+            F.when(h % 4 == 0, event(F.col("host"), h % 200 + 60, F.lit(url_lists.WITHDRAWN))),
+            F.when((h % 5 < 2) & F.col("folder").isNotNull(), event(F.concat_ws("/", "host", "folder"), h % 100 + 31, F.lit("allow"))),
+        )
     )
-    judged = url_lists.judge(captures(spark, sf_dir), entries)
+    return fixed.unionByName(rows.select(F.explode(events).alias("e")).select("e.*").distinct())
+
+
+def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_lists.judge(captures(spark, sf_dir), url_entries(spark, sf_dir))
     stamp = "yyyy-MM-dd HH:mm:ss"
     return judged.select(
         "page_id",
@@ -177,18 +199,27 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = (
-    "WITH entries(key, since, action) AS (VALUES "
+    "WITH fixed(key, since, action) AS (VALUES "
     + ", ".join(f"('{k}', TIMESTAMP '{t}', '{a}')" for k, t, a in URL_LIST)
     + r"""
-), spans AS (
-  SELECT key, since, action, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM entries
 ), caps AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST((coalesce(page_id, 0) * 37) % 8784 AS INTEGER)) AS fetched,
-    lower(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
-    regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*(/[^?#]*)', 1) AS path FROM pages
+    rtrim(lower(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
+    regexp_replace(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*(/[^?#]*)', 1), '/+', '/', 'g') AS path FROM pages
+), hosts AS (
+  SELECT DISTINCT host, nullif(split_part(path, '/', 2), '') AS folder, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS h FROM caps WHERE host <> ''
+), entries AS (
+  SELECT * FROM fixed
+  UNION ALL SELECT DISTINCT host, TIMESTAMP '2024-01-01 00:00:00' + to_days(h % 200), ['block', 'review', 'allow'][h % 3 + 1] FROM hosts
+  UNION ALL SELECT DISTINCT host, TIMESTAMP '2024-01-01 00:00:00' + to_days(h % 200 + 60), 'withdraw' FROM hosts WHERE h % 4 = 0
+  UNION ALL SELECT DISTINCT host || '/' || folder, TIMESTAMP '2024-01-01 00:00:00' + to_days(h % 100 + 31), 'allow' FROM hosts WHERE h % 5 < 2 AND folder IS NOT NULL
+), latest AS (
+  SELECT key, since, max(action) AS action FROM entries GROUP BY 1, 2
+), spans AS (
+  SELECT key, since, action, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM latest
 ), hits AS (
   SELECT c.page_id, c.url, c.fetched, s.key, s.since, s.action,
-    row_number() OVER (PARTITION BY c.page_id, c.url, c.fetched ORDER BY length(s.key) DESC) AS rn
+    row_number() OVER (PARTITION BY c.page_id, c.url, c.fetched ORDER BY contains(s.key, '/') DESC, length(s.key) DESC) AS rn
   FROM caps c JOIN spans s ON s.action <> 'withdraw' AND c.fetched >= s.since AND (s.until IS NULL OR c.fetched < s.until)
     AND CASE WHEN contains(s.key, '/') THEN starts_with(c.host || c.path || '/', s.key || '/')
              ELSE ends_with('.' || c.host, '.' || s.key) END

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracequarry.llm.naming import quoted, unused
+from tracequarry.session import staged
+
 WITHDRAWN = "withdraw"
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*(/[^?#]*)"
@@ -26,23 +29,15 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1)
 
 
-def candidate_keys(host: Column, path: Column, *, max_labels: int = 127, max_segments: int = 2048) -> Column:
-    """All keys that cover a URL, most specific first: path prefixes, then host suffixes.
+def path_segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda s: s != "")
 
-    The limits are those of names and request lines, over which no valid URL can go.
-    """
-    labels, segments = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda s: s != "")
-    prefixes = F.transform(
-        F.sequence(F.least(F.size(segments), F.lit(max_segments)), F.lit(0), F.lit(-1)),
-        lambda n: F.when(n > 0, F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, n), "/"))),
-    )
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max_labels))),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.concat(F.array_compact(prefixes), suffixes)
-    )
+
+def normal_key(key: Column) -> Column:
+    """Host in lower case without final dots, path segments joined by single slashes."""
+    host = F.regexp_replace(F.lower(F.split_part(key, F.lit("/"), F.lit(1))), r"\.+$", "")
+    rest = path_segments(F.regexp_extract(key, "^[^/]*(/.*)?$", 1))
+    return F.array_join(F.concat(F.array(host), rest), "/")
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -53,7 +48,7 @@ def validity(entries: DataFrame) -> DataFrame:
     """
     latest = (
         entries.where(F.col("key").isNotNull() & F.col("since").isNotNull() & F.col("action").isNotNull())
-        .groupBy(F.lower("key").alias("key"), "since")
+        .groupBy(normal_key(F.col("key")).alias("key"), "since")
         .agg(F.max("action").alias("action"))
     )
     by_key = Window.partitionBy("key").orderBy("since")
@@ -64,30 +59,51 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
     """All rows and columns of ``captures`` plus host, list_key, list_since and verdict.
 
     Urls and times are judged once per distinct pair, so repeated captures of a hot page cost one
-    lookup; the verdict is joined back. Null urls or times, urls without a host and urls no
-    active entry covers get the verdict 'none'. The list side of both joins has any size: it is
-    broadcast only where its measured size permits, else shuffled with skew handling.
+    lookup; the verdict is joined back. A url of any length is asked for the keys that can cover it
+    and no others: host suffixes of as many labels as some entry has, and path prefixes as deep as
+    some entry of its host. Null urls or times, urls without a host and urls no active entry covers
+    get the verdict 'none'; without entries all do. Columns of ``captures`` called host, list_key,
+    list_since or verdict are replaced; no other name clashes. The list has any size: intervals,
+    depths and verdicts are tables of their own, broadcast only where their size permits, else
+    shuffled, and then a hot host, suffix or page can be split.
     """
-    url, time = F.col(url_col), F.col(time_col)
-    asked = captures.select(url.alias("__url"), time.alias("__time")).distinct()
-    host = url_host(F.col("__url"))
-    keyed = asked.select(
-        "__url", "__time", F.posexplode(candidate_keys(host, url_path(F.col("__url")))).alias("__rank", "__key")
+    url, time = quoted(url_col), quoted(time_col)
+    labels, segments = F.split("host", r"\."), path_segments(F.col("path"))
+    spans = staged(
+        validity(entries)
+        .withColumns({"host": F.split_part("key", F.lit("/"), F.lit(1)), "depth": F.size(F.split("key", "/")) - 1})
+        .withColumn("labels", F.size(labels)),
+        "url-spans",
     )
-    spans = validity(entries)
-    met = (
-        keyed.join(spans, F.col("__key") == F.col("key"))
-        .where((F.col("__time") >= F.col("since")) & (F.col("until").isNull() | (F.col("__time") < F.col("until"))))
-        .groupBy("__url", "__time")
-        .agg(F.min(F.struct("__rank", "key", "since", "action")).alias("__hit"))
+    counts = sorted(r[0] for r in spans.where("depth = 0").select("labels").distinct().collect())  # few: names have few labels
+    depths = staged(spans.where("depth > 0").groupBy("host").agg(F.collect_set("depth").alias("depths")), "url-depths")
+    asked = captures.select(url.alias("url"), time.alias("time")).distinct()
+    asked = asked.withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))}).where("host <> '' and time is not null")
+    met = asked.join(depths, "host", "left").withColumns({"__labels": labels, "__segments": segments})
+    suffixes = F.transform(
+        F.filter(F.array(*(F.lit(n) for n in counts)).cast("array<int>"), lambda n: n <= F.size("__labels")),
+        lambda n: F.array_join(F.slice("__labels", F.size("__labels") - n + 1, n), "."),
+    )
+    prefixes = F.transform(
+        F.filter(F.coalesce("depths", F.array().cast("array<int>")), lambda n: n <= F.size("__segments")),
+        lambda n: F.concat("host", F.lit("/"), F.array_join(F.slice("__segments", F.lit(1), n), "/")),
     )
-    out = captures.join(
-        met, url.eqNullSafe(F.col("__url")) & time.eqNullSafe(F.col("__time")), "left"
+    keyed = met.select("url", "time", F.explode(F.concat(prefixes, suffixes)).alias("key"))
+    hits = staged(
+        keyed.join(spans, "key")
+        .where((F.col("time") >= F.col("since")) & (F.col("until").isNull() | (F.col("time") < F.col("until"))))
+        .groupBy("url", "time")
+        .agg(F.max(F.struct("depth", "labels", "key", "since", "action")).alias("hit")),  # paths first, then long suffixes
+        "url-hits",
     )
+    names = unused(captures, "url", "time", "hit")
+    hits = hits.select(*(F.col(c).alias(n) for c, n in zip(("url", "time", "hit"), names, strict=True)))
+    out = captures.join(hits, url.eqNullSafe(F.col(names[0])) & time.eqNullSafe(F.col(names[1])), "left")
+    hit = F.col(names[2])
     added = {
         "host": url_host(url),
-        "list_key": F.col("__hit.key"),
-        "list_since": F.col("__hit.since"),
-        "verdict": F.coalesce(F.col("__hit.action"), F.lit("none")),
+        "list_key": hit["key"],
+        "list_since": hit["since"],
+        "verdict": F.coalesce(hit["action"], F.lit("none")),
     }
-    return out.select(*(F.col(c) for c in captures.columns if c not in added), *(v.alias(k) for k, v in added.items()))
+    return out.select(*(quoted(c) for c in captures.columns if c.lower() not in added), *(v.alias(k) for k, v in added.items()))
