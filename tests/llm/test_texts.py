@@ -387,6 +387,41 @@ def test_chain_without_labels(spark):
     assert toxicity.score_chain(documents(spark, []), chain).count() == 0
 
 
+def test_repeated_ids_do_not_make_the_sample_larger(spark):
+    docs, labels = labelled(60, 3)
+    table, seen = documents(spark, docs * 30), []
+    fit = toxicity.fit_rows
+    toxicity.fit_rows = lambda rows, *rest: seen.append(len(rows)) or fit(rows, *rest)
+    try:
+        chain_of(spark, table, labels, max_per_class=10)
+    finally:
+        toxicity.fit_rows = fit
+    assert seen == [20]
+
+
+def test_judge_keeps_rows_and_columns(spark):
+    docs, labels = labelled(200, 4)
+    rows = [*docs, docs[0], (None, None, None), (900, "", None)]
+    table = documents(spark, rows).withColumn("a.b", F.lit(1))
+    judged = toxicity.judge(table, chain_of(spark, documents(spark, docs), labels))
+    assert judged.columns == [*table.columns, "__toxic"]
+    truth = {i: bool(t) for i, _, t in labels}
+    got = judged.collect()
+    assert len(got) == len(rows) and sum(r["__toxic"] == truth.get(r["doc_id"], False) for r in got) >= len(rows) - 3
+    assert toxicity.judge(table.limit(0), chain_of(spark, table, [])).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_accuracy_on_labels_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    chain = queries.toxicity_chain(docs, labels.where(half))
+    truth = {r["doc_id"]: r["toxic"] == 1 for r in labels.where(~half).collect()}
+    found = {r["doc_id"]: r["toxic"] for r in toxicity.score_chain(docs.join(labels.where(~half).select("doc_id"), "doc_id"), chain).collect()}
+    assert sum(found[i] == t for i, t in truth.items()) >= 0.96 * len(truth)  # from 223 toxic documents; 1,946 of 2,012
+    assert sum(found[i] for i, t in truth.items() if t) >= 0.85 * sum(truth.values())
+
+
 # url lists
 
 

@@ -19,6 +19,7 @@ from tracequarry.llm import (
     toxicity,
     url_lists,
 )
+from tracequarry.session import staged
 
 #: Dated list entries of the production URL query: (key, since, action).
 URL_LIST = [
@@ -42,7 +43,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    histogram = token_counts.length_histogram(table(spark, sf_dir, "documents"))
+    # staged: the sums read it twice, and texts are to be encoded once
+    histogram = staged(token_counts.length_histogram(table(spark, sf_dir, "documents")), "token-histogram")
     return token_counts.suffix_sums(histogram)
 
 
@@ -68,9 +70,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
-    """Low quality first, then toxicity, then both together; toxicity decides."""
+    """What the labels tell apart: toxic text of low quality, toxic text of good quality, then any toxic text, which decides.
+
+    The last model reads the probabilities of the two kinds before it.
+    """
     bad, toxic = F.col("quality") == 0, F.col("toxic") == 1
-    return toxicity.fit_chain(docs, labels, {"low_quality": bad, "toxic": toxic, "toxic_low_quality": bad & toxic}, "toxic")
+    return toxicity.fit_chain(docs, labels, {"toxic_low_quality": bad & toxic, "toxic_good_quality": ~bad & toxic, "toxic": toxic}, "toxic")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

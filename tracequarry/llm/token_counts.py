@@ -46,7 +46,12 @@ def token_length(text: Column, path: str = VOCABULARY) -> Column:
 
 
 def length_histogram(docs: DataFrame, text_col: str = "text", by: tuple[str, ...] = (), path: str = VOCABULARY) -> DataFrame:
-    """One row per distinct length (and group): n_tokens, n_docs. An empty table has no rows."""
+    """One row per distinct length (and group): n_tokens, n_docs. An empty table has no rows.
+
+    Null and empty texts have length 0; repeated rows count each; texts of any length are encoded
+    whole. A null group is a group of its own. Groups can't be called n_tokens or n_docs; other
+    columns don't take part.
+    """
     return (
         docs.select(*by, token_length(F.col(text_col), path).alias("n_tokens"))
         .groupBy(*by, "n_tokens")
@@ -59,15 +64,15 @@ def suffix_sums(histogram: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     ``truncated_tokens`` is the total of min(length, L); ``docs_le`` is the rank whose quantile
     is L. Sums run within blocks of lengths, then over the blocks' totals, so no task holds the
-    whole histogram.
+    whole histogram. An empty histogram gives no rows.
     """
     block = (F.col("n_tokens") / BLOCK).cast("long")
-    rows = histogram.withColumn("block", block).withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
-    keys = [*by, "block"]
-    later = Window.partitionBy(*by, (F.col("block") * 0).alias("all")).orderBy(F.desc("block"))
+    rows = histogram.withColumn("__block", block).withColumn("__tokens", F.col("n_docs") * F.col("n_tokens"))
+    keys = [*by, "__block"]
+    later = Window.partitionBy(*by, (F.col("__block") * 0).alias("all")).orderBy(F.desc("__block"))
     blocks = (
         rows.groupBy(*keys)
-        .agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
+        .agg(F.sum("n_docs").alias("block_docs"), F.sum("__tokens").alias("block_tokens"))
         .select(
             *(F.col(k).alias(f"__{k}") for k in keys),
             (F.sum("block_docs").over(later) - F.col("block_docs")).alias("docs_after"),
@@ -84,7 +89,7 @@ def suffix_sums(histogram: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     joined = rows.join(blocks, on).withColumns(
         {
             "docs_ge": F.col("docs_after") + F.sum("n_docs").over(inside),
-            "tokens_ge": F.col("tokens_after") + F.sum("tokens").over(inside),
+            "tokens_ge": F.col("tokens_after") + F.sum("__tokens").over(inside),
         }
     )
     return joined.select(

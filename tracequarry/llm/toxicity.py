@@ -7,7 +7,8 @@ probabilities as good as they will be on new documents.
 Features are the distinct words of a document and their first ``STEM`` letters, kept if they tell
 a category apart in the fitting sample. The fit reads a bounded sample of labelled rows
 (``max_per_class`` positive and as many negative ones, in hash order, weighted back to their true
-shares); scoring reads every document whole.
+shares) and keeps at most ``max_features`` features, each in at least ``min_docs`` of the sampled
+documents. These three bounds concern the fit alone; scoring reads every document whole.
 """
 
 from __future__ import annotations
@@ -163,11 +164,19 @@ def fit_chain(
     text_col: str = "text",
     *,
     max_per_class: int = MAX_PER_CLASS,
+    max_features: int = MAX_FEATURES,
+    min_docs: int = MIN_DOCS,
 ) -> Chain:
     """Fit on labelled documents. ``categories`` are boolean columns over ``labels``, in order.
 
+    The decision is the probability of ``decide``. ``max_per_class`` bounds the labelled documents of
+    either side of it that the fit reads, ``max_features`` the features it keeps (those that tell a
+    category apart best, ties by name) and ``min_docs`` how rare they may be.
+
     Label rows without id or with a null category are left out; repeated ones count once, and the
-    larger value holds. Without labelled rows every probability is 0 and nothing is decided.
+    larger value holds. Of documents that share an id one text is read, so repeated rows don't
+    make the sample larger. Null and empty texts have no features. Texts of any length are read
+    whole. Without labelled rows every probability is 0 and nothing is decided.
     """
     names = list(categories)
     known = (
@@ -188,6 +197,8 @@ def fit_chain(
     sample = staged(
         docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
         .join(F.broadcast(chosen), "doc")  # at most 2 x max_per_class rows
+        .groupBy("doc", *(f"y_{k}" for k in names))
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
         .select("doc", *(f"y_{k}" for k in names), found("text").alias("found")),
         "toxicity-sample",
     )
@@ -196,14 +207,14 @@ def fit_chain(
         return Chain(names, {}, np.zeros((len(names), 0)), [np.zeros(k) for k in range(len(names))], [-50.0] * len(names), decide, 0.5)
     per = sample.select(F.explode("found").alias("feature"), *(f"y_{k}" for k in names)).groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"), *(F.sum(f"y_{k}").alias(f"n_{k}") for k in names)
-    ).where(F.col("n") >= MIN_DOCS)
+    ).where(F.col("n") >= min_docs)
     total = float(counts[0])
     power = F.lit(0.0)
     for i, k in enumerate(names):
         pos = max(float(counts[1 + i] or 0), 1e-9)
         mean = F.col("n") * (pos / total)
         power = F.greatest(power, (F.col(f"n_{k}") - mean) ** 2 / (mean * (1 - min(pos / total, 1 - 1e-9)) + 1e-9))
-    vocabulary = [r[0] for r in per.orderBy(F.desc(power), "feature").select("feature").limit(MAX_FEATURES).collect()]
+    vocabulary = [r[0] for r in per.orderBy(F.desc(power), "feature").select("feature").limit(max_features).collect()]
     index = {f: i for i, f in enumerate(sorted(vocabulary))}
 
     @F.pandas_udf("array<int>")
@@ -221,7 +232,10 @@ def fit_chain(
 def score_chain(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, the decision and a probability per category.
 
-    Null and empty texts have no features and get the probabilities of that.
+    Null and empty texts have no features and get the probabilities of that. Equal texts get equal
+    values; repeated rows are scored each, and a probability equal to the threshold decides for the
+    category. Ids may be null. Texts of any length are read whole; an empty table has no rows, and
+    other columns don't take part.
     """
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {chain.decide} boolean, " + ", ".join(
         f"p_{k} double" for k in chain.names
@@ -238,7 +252,10 @@ def score_chain(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col:
 
 
 def judge(docs: DataFrame, chain: Chain, text_col: str = "text", out_col: str = "__toxic") -> DataFrame:
-    """All rows and columns of ``docs`` plus the decision."""
+    """All rows and columns of ``docs`` plus the decision, which replaces a column called ``out_col``.
+
+    Nulls, empty and long texts, repeated rows and ties as in ``score_chain``.
+    """
 
     @F.pandas_udf("boolean")
     def decide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
