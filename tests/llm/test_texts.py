@@ -1,4 +1,5 @@
 import hashlib
+import ipaddress
 import itertools
 import os
 import random
@@ -195,8 +196,12 @@ def test_permutation(size):
 
 CASES = {
     "card": ["4539148803436467", "4539 1488 0343 6467", "4539-1488-0343-6467"],
-    "phone": ["+1 (476) 555-5473", "(476) 555-5473", "+49 30 1234567"],
+    "phone": [
+        "+1 (476) 555-5473", "(476) 555-5473", "+49 30 1234567", "+1 (017) 555-7713", "06 12 34 56 78", "06.12.34.56.78", "+33 6 12 34 56 78",
+        "030/1234567", "(030) 1234567", "0171-1234567", "+34 612 34 56 78", "612 34 56 78", "91 234 56 78", "+49 (0)30 123456",
+    ],
     "ip": ["61.131.143.218"],
+    "ipv6": ["2001:db8:85a3::8a2e:370:7334", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "2001:db8:85a3:0:0:8a2e:370:7334", "2001:DB8::8A2E:370:7334"],
     "date": ["2001-02-03", "03.02.2001", "2/3/2001"],
     "ssn": ["078-05-1120"],
     "iban": ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"],
@@ -221,10 +226,18 @@ def test_equal_values_are_linked_across_spellings():
     assert len(digits) == 1 and pii.luhn(digits.pop()) == 0
     days = [pii.pseudonym("date", v, KEY) for v in CASES["date"]]
     y, m, d = days[0].split("-")
-    assert days[1] == f"{d}.{m}.{y}" and days[2] == f"{m}/{d}/{y}"
+    assert days[1] == f"{d}.{m}.{y}" and days[2] == f"{int(m)}/{int(d)}/{y}"
+    addresses = {ipaddress.IPv6Address(pii.pseudonym("ipv6", v, KEY)) for v in CASES["ipv6"][:3]}
+    assert len(addresses) == 1
 
 
-@pytest.mark.parametrize("text", ["no values here", "version 2.0.4", "4539148803436468 fails", "999.1.2.3", "2001-02-30", "000-12-3456", "12345", "a@b", None, "", "1,234,567 people", "pages 10-20"])
+def test_phones_are_permuted_among_their_like():
+    local = [pii.as_phone(f"+1 (0{i:02d}) 555-0000", KEY) for i in range(100)]
+    assert len(set(local)) == 100 and all(x[4] in "01" or x[9] in "01" for x in local)
+    assert pii.as_phone("030/1234567", KEY)[:2] == "03" and pii.as_phone("+33 6 12 34 56 78", KEY)[:4] == "+33 "
+
+
+@pytest.mark.parametrize("text", ["no values here", "version 2.0.4", "4539148803436468 fails", "999.1.2.3", "2001-02-30", "000-12-3456", "12345", "a@b", None, "", "1,234,567 people", "pages 10-20", "std::vector a::b ::1", "612 345 678 people", "0.5 12 34 56 78", "at 12:30:45", "00:1b:44:11:3a:b7"])
 def test_clean_texts_stay(text):
     assert pii.pseudonymise(text, KEY) == (text, [])
 

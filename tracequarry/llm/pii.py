@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: From so many characters on, texts are permuted in time linear in their length.
 LONG = 129
-SOME = re.compile(r"[0-9@]|AKIA|(?i:passw|pwd|secret|token|key)")
+SOME = re.compile(r"[0-9@]|::|AKIA|(?i:passw|pwd|secret|token|key)")
 FIND = re.compile(
     r"(?P<email>(?<![\w.+\-])[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,63})@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})(?:\.[A-Za-z0-9\-]{1,63})+)"
     # longer local parts: the run of their characters is read once, from its first possible start
@@ -31,11 +32,17 @@ FIND = re.compile(
     r"|(?P<secret>\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\b[\"']?\s{0,3}[=:]\s{0,3})"
     r"(?:\"(?P<double>(?:[^\"\\\n]|\\.){8,}+)\"|'(?P<single>(?:[^'\\\n]|\\.){8,}+)'|[\"']?(?P<value>[A-Za-z0-9+/_\-][A-Za-z0-9+/_\-.=~]{6,}[A-Za-z0-9+/_\-=~])))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
+    r"|(?P<ipv6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,37}::)[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){1,6}(?:::)?)(?![\w:]|\.\d))"
     r"|(?P<date>(?<![\w./\-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/\-]|\.\d))"
     r"|(?P<ssn>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<card>(?<![\w\-.+])\d(?:[ \-]?\d){12,18}(?!\w|-(?!\d)|\.\d))"
-    r"|(?P<phone>(?<![\w.\-])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?![\w\-]|\.\d)|(?<![\w.\-])\+\d{8,15}(?![\w\-]|\.\d))"
+    r"|(?P<phone>(?<![\w.\-])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?![\w\-]|\.\d)|(?<![\w.\-])\+\d{8,15}(?![\w\-]|\.\d)"
+    # groups of other countries: after a country code, after a trunk 0, or nine digits from 6 to 9 on
+    r"|(?<![\w.\-])\+\d{1,3}[ .\-](?:\(0?\d{1,4}\)|\d{1,5})(?:[ .\-/]?\d{2,8}){1,5}(?![\w\-]|\.\d)"
+    r"|(?<![\w.\-/])0[1-9](?:[ .\-]\d{2}){4}(?![\w\-]|\.\d| \d{2}(?!\d))"
+    r"|(?<![\w.\-/])(?:\(0\d{1,4}\)[ /]?|0\d{1,4}(?:/ ?|[ \-]))\d{4,8}(?![\w\-/]|\.\d)"
+    r"|(?<![\w.\-])(?:[89]\d[ .\-]\d{3}|[67]\d{2}[ .\-]\d{2})[ .\-]\d{2}[ .\-]\d{2}(?![\w\-]|\.\d| \d{2}(?!\d)))"
 )
 LOW, HIGH = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -120,6 +127,21 @@ def as_ip(value: str, key: bytes) -> str | None:
     return ".".join(str(x) for x in [got[0] + low, *got[1:]])
 
 
+def as_ipv6(value: str, key: bytes) -> str | None:
+    """Within the addresses that share the first three bits; spelled whole or shortened as the value is."""
+    if sum(map(bool, value.split(":"))) < 3:
+        return None
+    try:
+        rank = int(ipaddress.IPv6Address(value))
+    except ValueError:
+        return None
+    top = rank >> 125
+    got = ipaddress.IPv6Address(top << 125 | permute(rank & ((1 << 125) - 1), 1 << 125, key, f"ipv6{top}"))
+    whole = got.exploded if all(len(x) == 4 for x in value.split(":")) else ":".join(f"{int(x, 16):x}" for x in got.exploded.split(":"))
+    new = got.compressed if "::" in value else whole
+    return new.upper() if value.upper() == value else new
+
+
 def as_date(value: str, key: bytes) -> str | None:
     a, b, c = (int(x) for x in re.split(r"\D", value))
     sep = re.search(r"\D", value)[0]
@@ -135,7 +157,8 @@ def as_date(value: str, key: bytes) -> str | None:
         return None
     first, last = (LOW, HIGH) if LOW <= day <= HIGH else (1, LOW - 1) if day < LOW else (HIGH + 1, datetime.date.max.toordinal())
     got = datetime.date.fromordinal(first + permute(day - first, last - first + 1, key, "date"))
-    fields = {"y": f"{got.year:04d}", "m": f"{got.month:02d}", "d": f"{got.day:02d}"}
+    width = 2 if all(len(x) > 1 for x in value.split(sep)) else 1  # no zeros in front where the value has none
+    fields = {"y": f"{got.year:04d}", "m": f"{got.month:0{width}d}", "d": f"{got.day:0{width}d}"}
     return sep.join(fields[x] for x in order)
 
 
@@ -168,25 +191,42 @@ def as_card(value: str, key: bytes) -> str | None:
     return refill(value, body + str(-luhn(body + "0") % 10))
 
 
+def permute_phone(rest: str, key: bytes, kind: str, refused=lambda digits: False) -> str:
+    """Keyed permutation of the numbers of this length that aren't refused, as the given one isn't."""
+    while True:
+        rest = f"{permute(int(rest), 10 ** len(rest), key, kind):0{len(rest)}d}"
+        if not refused(rest):
+            return rest
+
+
+def north_american(digits: str) -> bool:
+    return len(digits) == 10 and digits[0] not in "01" and digits[3] not in "01"
+
+
 def as_phone(value: str, key: bytes) -> str | None:
+    """Kept: the country code, and of a number with a trunk 0 the digit after it."""
     digits = re.sub(r"\D", "", value)
     code = re.match(r"\+(\d{1,3})[ .\-(]", value)
     lead = code[1] if code else "1" if value.startswith("+1") and len(digits) == 11 else ""
     rest = digits[len(lead) :]
-    if lead in ("", "1") and len(rest) == 10:
-        if rest[0] in "01" or rest[3] in "01":
-            return None
+    if lead in ("", "1") and north_american(rest):
         rank = (int(rest[:3]) - 200) * 800 * 10000 + (int(rest[3:6]) - 200) * 10000 + int(rest[6:])
         rank, line = divmod(permute(rank, 800 * 800 * 10000, key, "phone1"), 10000)
         area, office = divmod(rank, 800)
         return refill(value, f"{lead}{area + 200}{office + 200}{line:04d}")
-    if not value.startswith("+") or not 8 <= len(digits) <= 15:
-        return None
-    n = len(rest)
-    return refill(value, f"{lead}{permute(int(rest), 10**n, key, f'phone{n}'):0{n}d}")
+    if value.startswith("+"):
+        if not 8 <= len(digits) <= 15:
+            return None
+        refused = north_american if lead in ("", "1") else lambda digits: False
+        return refill(value, lead + permute_phone(rest, key, f"phone{len(rest)}", refused))
+    if digits[0] == "0" and digits[1] != "0" and 9 <= len(digits) <= 12:
+        return refill(value, digits[:2] + permute_phone(digits[2:], key, f"trunk{digits[1]}"))
+    if len(digits) == 9 and digits[0] in "6789" and len(re.findall(r"\d+", value)) == 4:
+        return refill(value, digits[0] + permute_phone(digits[1:], key, f"nine{digits[0]}"))
+    return None
 
 
-MAKERS = {"email": as_email, "ip": as_ip, "date": as_date, "ssn": as_ssn, "iban": as_iban, "card": as_card, "phone": as_phone}
+MAKERS = {"email": as_email, "ip": as_ip, "ipv6": as_ipv6, "date": as_date, "ssn": as_ssn, "iban": as_iban, "card": as_card, "phone": as_phone}
 KINDS = (*MAKERS, "secret")
 #: The groups of FIND that hold a value, inner ones first, with their kind.
 GROUPS = {"double": "secret", "single": "secret", "value": "secret", "long": "email"} | {k: k for k in KINDS}
@@ -215,7 +255,11 @@ def ends(kind: str, text: str, start: int, end: int) -> Iterator[int]:
 
 
 def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
-    """(text with pseudonyms, spans (kind, start, end) in the given text)."""
+    """(text with pseudonyms, spans (kind, start, end) in the given text).
+
+    Values are taken from left to right; where kinds overlap the one that starts first holds, of
+    those that start together the first named in FIND that is valid.
+    """
     if not text or not SOME.search(text):
         return text, []
     spans, parts, done, at = [], [], 0, 0
@@ -238,7 +282,9 @@ def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[tuple[s
 def pseudonymise_documents(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, text with pseudonyms, n_values and spans.
 
-    Null texts stay null, empty ones empty, both without spans. Values are found in whole texts.
+    Null texts stay null, empty ones empty, both without spans. Ids may be null. Repeated rows give
+    repeated rows with the same pseudonyms, an empty table none. Texts of any length are read whole,
+    in time linear in them. The id can't be called n_values or spans; other columns don't take part.
     """
     schema = (
         f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{text_col}` string, n_values long, "
