@@ -3,6 +3,7 @@ import ipaddress
 import itertools
 import os
 import random
+import struct
 import time
 import zlib
 from html.parser import HTMLParser
@@ -301,19 +302,92 @@ def test_media_round_trip(text):
 def test_all_bytes_survive():
     payload = np.random.default_rng(0).integers(0, 256, 192 * 40, dtype=np.uint8).tobytes()
     frames = media_avi.text_frames(payload)
-    assert media_avi.carried(media_avi.text_coefficients(frames))[: len(payload)] == payload
-
-
-def test_general_decoder_agrees():
-    frames = media_avi.text_frames(prose(600, 2).encode()[:3072])
-    fast = media_avi.text_coefficients(frames)
-    for f, k in zip(frames, fast, strict=True):
-        planes, blocks = media_avi.decode_jpeg(f)
-        for c in range(3):
-            assert (blocks[c].reshape(-1, 64) == k[:, c]).all()
-        assert (planes[0][:8, :8] == media_avi.pictures(k[:1, 0])[0]).all() and planes[0].shape == (16, 32)
-    with pytest.raises(ValueError):
-        media_avi.decode_jpeg(media_avi.HEAD + b"\x00\xff\xd9")
+    assert b"".join(media_avi.frame_facts(frames)[0])[: len(payload)] == payload
+
+
+def jpeg(blocks, sampling, restart=0):
+    """A baseline frame of given zigzag blocks, with code tables of its own; an independent writer."""
+    dc, ac = {n: 4 for n in range(12)}, {r << 4 | n: 9 for r in range(16) for n in range(1, 11)} | {0x00: 2, 0xF0: 9}
+    codes = []
+    for kind, table in ((0, dc), (0x10, ac)):
+        code, before, words = 0, 0, {}
+        for s in sorted(table, key=lambda s: (table[s], s)):
+            code <<= table[s] - before
+            words[s], before, code = (code, table[s]), table[s], code + 1
+        codes.append((kind, table, words))
+
+    def number(v):
+        n = abs(v).bit_length()
+        return n, (v if v >= 0 else v + (1 << n) - 1, n)
+
+    high, wide = max(v for _, v in sampling), max(h for h, _ in sampling)
+    down, across = blocks[0].shape[0] // sampling[0][1], blocks[0].shape[1] // sampling[0][0]
+    out, bits, last, mark = b"", [], [0] * len(blocks), 0
+
+    def flush():
+        nonlocal bits
+        text = "".join(f"{c:0{n}b}" for c, n in bits if n)
+        text += "1" * (-len(text) % 8)
+        bits = []
+        return bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8)).replace(b"\xff", b"\xff\0")
+
+    for mcu in range(down * across):
+        if restart and mcu and mcu % restart == 0:
+            out, last, mark = out + flush() + bytes([0xFF, 0xD0 + mark % 8]), [0] * len(blocks), mark + 1
+        for c, (h, v) in enumerate(sampling):
+            for y, x in itertools.product(range(v), range(h)):
+                z = blocks[c][mcu // across * v + y, mcu % across * h + x].tolist()
+                n, word = number(z[0] - last[c])
+                last[c] = z[0]
+                bits += [codes[0][2][n], word]
+                run = 0
+                end = max((i for i in range(1, 64) if z[i]), default=0)
+                for i in range(1, end + 1):
+                    if not z[i]:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits.append(codes[1][2][0xF0])
+                        run -= 16
+                    n, word = number(z[i])
+                    bits += [codes[1][2][run << 4 | n], word]
+                    run = 0
+                if end < 63:
+                    bits.append(codes[1][2][0])
+    head = b"\xff\xd8" + media_avi._segment(0xDB, b"\0" + bytes(range(1, 65)))
+    sizes = b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(sampling))
+    head += media_avi._segment(0xC0, bytes([8, *divmod(down * high * 8 - 3, 256), *divmod(across * wide * 8 - 5, 256), len(blocks)]) + sizes)
+    for kind, table, _ in codes:
+        order = sorted(table, key=lambda s: (table[s], s))
+        head += media_avi._segment(0xC4, bytes([kind]) + bytes([list(table.values()).count(n) for n in range(1, 17)]) + bytes(order))
+    head += media_avi._segment(0xDD, bytes([0, restart])) if restart else b""
+    head += media_avi._segment(0xDA, bytes([len(blocks)]) + b"".join(bytes([i + 1, 0]) for i in range(len(blocks))) + b"\0\x3f\0")
+    return head + out + flush() + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("restart", [0, 2])
+@pytest.mark.parametrize("sampling", [[(1, 1)], [(1, 1)] * 3, [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)]])
+def test_frames_of_any_tables(sampling, restart):
+    rng = np.random.default_rng(5)
+    pictures = []
+    for _ in range(4):
+        blocks = [rng.integers(-300, 300, (2 * v, 3 * h, 64)) * (rng.random((2 * v, 3 * h, 64)) < rng.choice([0.02, 0.3, 1.0])) for h, v in sampling]
+        pictures.append(blocks)
+    frames = [jpeg(b, sampling, restart) for b in pictures] + media_avi.text_frames(b"x" * 192)
+    (layout, found), (other, _) = media_avi.decode_frames(frames)
+    assert len(other.parts) == 3 and layout.restart == restart
+    for c in range(len(sampling)):
+        assert (found[c] == np.stack([b[c] for b in pictures])).all()
+        shown = media_avi.planes(layout, found, c)
+        assert shown.shape == (4, 2 * sampling[0][1] * 8 - 3, 3 * sampling[0][0] * 8 - 5)
+        assert (shown[1, 0, 0] == media_avi.pictures(found[c][1, 0, 0] * np.arange(1, 65))[0, 0]).all()
+
+
+def test_broken_files():
+    whole = media_avi.text_frames(b"y" * 1536)[0]
+    for bad in (media_avi.HEAD + b"\x00\xff\xd9", whole[: len(whole) // 2], media_avi.HEAD + b"\xff\xd9", b"\xff\xd8", whole.replace(b"\xff\xc0", b"\xff\xc2")):
+        with pytest.raises((ValueError, struct.error)):
+            list(media_avi.decode_frames([bad]))
     with pytest.raises(ValueError):
         media_avi.read_avi(b"nothing")
 
@@ -335,7 +409,9 @@ def test_shots():
 def test_digest_lists_every_cut():
     data = media_avi.text_media("".join(("a", "Z9 ~")[i % 2] * (1536 * 20 // (1, 4)[i % 2]) for i in range(50)))
     cuts = [c["first_frame"] for c in media_avi.clip_rows(data)][1:]
-    feature = dict(x.split("=") for x in media_avi.media_digest(data)[-1].split(" luma=")[0].split())
+    told = next(media_avi.media_digests([data]))
+    feature = dict(x.split("=") for x in told[-2].split(" luma=")[0].split())
+    assert [c["first_frame"] for c in told[-1]] == [0, *cuts]
     assert len(cuts) > 40 and feature["cuts"] == ",".join(map(str, cuts)) and feature["shots"] == str(len(cuts) + 1)
 
 
@@ -350,6 +426,13 @@ def test_media_tables(spark):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-16:])
         assert r["media_bytes"] > 0 and len(r["media_sha256"]) == 64 and r["feature"]
+    stored = {r["doc_id"]: bytes(r["media"]) for r in media_avi.encode_texts(docs).collect()}
+    for r in got:  # what is told of a file is what the stored file says
+        data = stored[r["doc_id"]]
+        shares = media_avi.frame_facts(media_avi.read_avi(data).frames)[1]
+        assert (r["media_bytes"], r["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+        assert r["feature"].endswith(" ".join(f"{x:.4f}" for x in shares.mean(axis=0)))
+        assert [c.asDict() for c in r["clips"]] == media_avi.clip_rows(data)
     media = media_avi.encode_texts(docs)
     clips = media_avi.media_clips(media).where("doc_id = 3").orderBy("clip").collect()
     assert clips[0]["first_frame"] == 0 and all(a["end_s"] == b["start_s"] for a, b in zip(clips, clips[1:]))

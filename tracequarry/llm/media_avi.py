@@ -1,19 +1,20 @@
 """AVI motion-JPEG columns: write and read RIFF files, decode intra frames, detect shots.
 
-``read_avi`` parses the RIFF tree and its idx1 index; ``decode_jpeg`` decodes any baseline JPEG
-with one scan; ``find_shots`` cuts where the histogram difference of neighbouring frames stands
-out from its surroundings. Texts are carried losslessly in the quantised coefficients, the unit
-in which JPEG stores a picture exactly: each frame holds whole 8x8 blocks of three components,
-that is 192 bytes for a column of blocks. Its Huffman tables give all coefficients 16 bits, so
-such frames are decoded without a loop over symbols.
+``read_avi`` parses the RIFF tree and its idx1 index; ``decode_frames`` decodes baseline JPEG frames
+with one scan, all frames of a kind side by side: each step reads one symbol of every frame.
+``find_shots`` cuts where the histogram difference of neighbouring frames stands out from its
+surroundings. Texts are carried losslessly in the quantised coefficients, the unit in which JPEG
+stores a picture exactly: each frame holds whole 8x8 blocks of three components, that is 192 bytes
+for a column of blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.llm.naming import quoted
+
 UNIT = 192
 COLUMNS, ROWS = 4, 2
 MCUS = COLUMNS * ROWS
 FPS = 10
 BATCH = 4096
 BINS = 16
+#: Frames that are decoded together.
+SIDE_BY_SIDE = 2048
 
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8, 0) if (i // 8 + i % 8) % 2 else (i % 8, 0))))
 DCT = np.array([[(0.5 if u else np.sqrt(0.125)) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)], np.float32)
@@ -53,20 +58,18 @@ HEAD = (
 )
 
 
-def _dc_words() -> tuple[np.ndarray, np.ndarray]:
-    """(word of each difference from -255, difference of each word)."""
-    words, back = np.zeros(511, np.uint16), np.full(65536, 9999, np.int16)
-    code = 0
+def _dc_words() -> np.ndarray:
+    """The word of each difference from -255."""
+    words, code = np.zeros(511, np.uint16), 0
     for c in range(8, -1, -1):
         for d in range(-255, 256):
             if abs(d).bit_length() == c:
-                word = code << c | (d if d > 0 else d + (1 << c) - 1)
-                words[d + 255], back[word] = word, d
+                words[d + 255] = code << c | (d if d > 0 else d + (1 << c) - 1)
         code = (code + 1) << 1
-    return words, back
+    return words
 
 
-DC_WORD, DC_BACK = _dc_words()
+DC_WORD = _dc_words()
 
 
 def text_frames(payload: bytes) -> list[bytes]:
@@ -167,26 +170,9 @@ def read_avi(data: bytes) -> Avi:
     return avi
 
 
-def text_coefficients(frames: list[bytes]) -> np.ndarray | None:
-    """Coefficients (frame, block, component, 64) of frames with this module's tables, else None."""
-    if not all(f.startswith(HEAD) for f in frames):
-        return None
-    scan = b"".join([f[len(HEAD) : -2].replace(b"\xff\0", b"\xff") for f in frames])
-    if len(scan) != len(frames) * MCUS * UNIT * 2:
-        return None
-    x = np.frombuffer(scan, np.uint8).reshape(-1, MCUS, 3, 64, 2)
-    out = x[..., 1].astype(np.int16)
-    out -= np.where(out < 128, np.int16(255), np.int16(0))
-    diff = DC_BACK[x[..., 0, 0].astype(np.uint16) << 8 | x[..., 0, 1]]
-    if x[..., 1:, 0].any() or (diff == 9999).any():
-        return None
-    out[..., 0] = np.cumsum(diff, axis=1)
-    return out
-
-
 def carried(coefficients: np.ndarray) -> bytes:
     """The bytes that ``text_frames`` put into the coefficients."""
-    x = coefficients + np.where(coefficients < 0, np.int16(255), np.int16(0))
+    x = coefficients + np.where(coefficients < 0, 255, 0)
     x[..., 0] = coefficients[..., 0] + 128
     return x.astype(np.uint8).tobytes()
 
@@ -201,115 +187,188 @@ def pictures(blocks: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(full + 128), 0, 255).astype(np.uint8).reshape(plane.shape)
 
 
-def decode_jpeg(data: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(sample planes, quantised zigzag blocks) per component of a baseline JPEG with one scan."""
-    at, quant, trees, parts, restart = 2, {}, {}, [], 0
-    width = height = 0
+@dataclass
+class Part:
+    """A component of a frame: its sampling, quantiser and code tables."""
+
+    name: int
+    across: int
+    down: int
+    quant: int
+    dc: int = 0
+    ac: int = 0
+
+
+@dataclass
+class Layout:
+    """What a frame's segments say before its scan."""
+
+    head: bytes = b""
+    width: int = 0
+    height: int = 0
+    restart: int = 0
+    quant: dict[int, np.ndarray] = field(default_factory=dict)
+    codes: dict[int, np.ndarray] = field(default_factory=dict)
+    parts: list[Part] = field(default_factory=list)
+
+
+def code_table(body: bytes) -> tuple[np.ndarray, int]:
+    """(length << 8 | symbol for each 16 bits that start with a code, bytes read); 0 where none does."""
+    table, code, at = np.zeros(1 << 16, np.int32), 0, 16
+    for n in range(1, 17):
+        for _ in range(body[n - 1]):
+            first = code << (16 - n)
+            table[first : first + (1 << (16 - n))] = n << 8 | body[at]
+            code, at = code + 1, at + 1
+        code <<= 1
+    return table, at
+
+
+def read_layout(data: bytes) -> Layout:
+    """The segments of a baseline frame up to its scan."""
+    found, at = Layout(), 2
     while at + 4 <= len(data):
         marker, (size,) = data[at + 1], struct.unpack_from(">H", data, at + 2)
         body = data[at + 4 : at + 2 + size]
+        at += 2 + size
         if marker == 0xDB:
             while body:
                 wide = body[0] >> 4
-                quant[body[0] & 15] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(np.int32)
+                found.quant[body[0] & 15] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(np.int32)
                 body = body[65 + 64 * wide :]
         elif marker == 0xC4:
             while body:
-                counts, code, k, tree = body[1:17], 0, 17, {}
-                for n in range(16):
-                    for _ in range(counts[n]):
-                        tree[n + 1, code] = body[k]
-                        code, k = code + 1, k + 1
-                    code <<= 1
-                trees[body[0]] = tree
-                body = body[k:]
+                found.codes[body[0]], used = code_table(body[1:])
+                body = body[1 + used :]
         elif marker in (0xC0, 0xC1):
-            height, width = struct.unpack_from(">HH", body, 1)
-            parts = [dict(id=body[6 + 3 * i], h=body[7 + 3 * i] >> 4, v=body[7 + 3 * i] & 15, q=body[8 + 3 * i]) for i in range(body[5])]
+            found.height, found.width = struct.unpack_from(">HH", body, 1)
+            found.parts = [Part(body[i], body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * body[5], 3)]
         elif marker == 0xDD:
-            (restart,) = struct.unpack(">H", body)
-        elif 0xC2 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
+            (found.restart,) = struct.unpack(">H", body)
+        elif marker == 0xDA:
+            for i in range(1, 1 + 2 * body[0], 2):
+                part = next(p for p in found.parts if p.name == body[i])
+                part.dc, part.ac = body[i + 1] >> 4, 0x10 | body[i + 1] & 15
+            found.head = data[:at]
+            return found
+        elif 0xC2 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
             raise ValueError("only baseline frames are intra frames of motion JPEG")
-        at += 2 + size
-        if marker == 0xDA:
-            for i in range(body[0]):
-                part = next(p for p in parts if p["id"] == body[1 + 2 * i])
-                part["dc"], part["ac"] = trees[body[2 + 2 * i] >> 4], trees[0x10 | body[2 + 2 * i] & 15]
-            break
-    scan = bytearray()
-    while at < len(data):
-        if data[at] == 0xFF and (mark := data[at + 1] if at + 1 < len(data) else 0xD9):
-            if not 0xD0 <= mark <= 0xD7:
-                break
-            scan += b"\xff\xff"  # never met in data: a marker for the restart
-            at += 2
-            continue
-        scan.append(data[at])
-        at += 2 if data[at] == 0xFF else 1
-    pos = 0
-    total = len(scan) * 8
-
-    def take(n: int) -> int:
-        nonlocal pos
-        pos += n
-        if pos > total:
-            raise ValueError("scan ends early")
-        return int.from_bytes(scan[(pos - n) // 8 : (pos + 7) // 8], "big") >> (-pos % 8) & ((1 << n) - 1)
-
-    def symbol(tree: dict) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | take(1)
-            if (n, code) in tree:
-                return tree[n, code]
-        raise ValueError("no such code")
-
-    def value(n: int) -> int:
-        x = take(n) if n else 0
-        return x if not n or x >> (n - 1) else x - (1 << n) + 1
-
-    hm, vm = max(p["h"] for p in parts), max(p["v"] for p in parts)
-    across, down = -(-width // (8 * hm)), -(-height // (8 * vm))
-    blocks = [np.zeros((down * p["v"], across * p["h"], 64), np.int32) for p in parts]
-    last = [0] * len(parts)
+    raise ValueError("a frame without a scan")
+
+
+#: Bytes after a scan that may be looked at before it is found to have ended.
+SPARE = 8
+
+
+class Bits:
+    """The scans of frames, read at a place of its own in each."""
+
+    def __init__(self, scans: list[bytes]) -> None:
+        sizes = np.array([len(x) for x in scans])
+        data = np.frombuffer(b"".join(x + b"\0" * SPARE for x in scans), np.uint8).astype(np.uint32)
+        self.windows = data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]
+        self.start = (np.cumsum(sizes + SPARE) - sizes - SPARE) * 8
+        self.end = self.start + sizes * 8
+        self.at = self.start.copy()
+
+    def ahead(self, rows) -> np.ndarray:
+        """The next 16 bits of the frames ``rows``."""
+        at = self.at[rows]
+        return (self.windows[at >> 3] >> (8 - (at & 7)).astype(np.uint32)) & np.uint32(0xFFFF)
+
+    def symbol(self, table: np.ndarray, rows) -> np.ndarray:
+        found = table[self.ahead(rows)]
+        self.at[rows] += found >> 8
+        # a bad code reads nothing, and a frame that ran out stands still
+        if not found.all() or (self.at > self.end).any():
+            raise ValueError("a scan with a bad code, or one that ends early")
+        return found & 255
+
+    def value(self, n: np.ndarray, rows) -> np.ndarray:
+        """Signed numbers of ``n`` bits: those that start with 0 are negative."""
+        x = (self.ahead(rows) >> (16 - n).astype(np.uint32)).astype(np.int32)
+        self.at[rows] += n
+        return x - np.where(x < HALF[n], FULL[n], 0)
+
+    def skip_marker(self) -> None:
+        self.at = self.start + (self.at - self.start + 7) // 8 * 8 + 16
+
+
+HALF = np.array([0, *(1 << n for n in range(16))], np.int32)
+FULL = np.array([(1 << n) - 1 for n in range(17)], np.int32)
+SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7]")
+
+
+def decode_scans(layout: Layout, frames: list[bytes]) -> list[np.ndarray]:
+    """Quantised zigzag blocks (frame, row, column, 64) per component, of frames with one layout."""
+    scans = []
+    for f in frames:
+        end = SCAN_END.search(f, len(layout.head))
+        scans.append(f[len(layout.head) : end.start() if end else len(f)].replace(b"\xff\0", b"\xff"))
+    bits, n = Bits(scans), len(frames)
+    wide, high = max(p.across for p in layout.parts), max(p.down for p in layout.parts)
+    across, down = -(-layout.width // (8 * wide)), -(-layout.height // (8 * high))
+    blocks = [np.zeros((n, down * p.down, across * p.across, 64), np.int32) for p in layout.parts]
+    last = [np.zeros(n, np.int32) for _ in layout.parts]
+    every = np.arange(n)
     for mcu in range(across * down):
-        if restart and mcu and mcu % restart == 0:
-            pos, last = (pos + 7) // 8 * 8 + 16, [0] * len(parts)
-        for c, p in enumerate(parts):
-            for y in range(p["v"]):
-                for x in range(p["h"]):
-                    block = blocks[c][mcu // across * p["v"] + y, mcu % across * p["h"] + x]
-                    last[c] += value(symbol(p["dc"]))
-                    block[0], k = last[c], 1
-                    while k < 64:
-                        run, n = divmod(symbol(p["ac"]), 16)
-                        if not n and run < 15:
-                            break
-                        k += run
-                        if n:
-                            block[k] = value(n)
-                        k += 1
-    planes = []
-    for p, b in zip(parts, blocks, strict=True):
-        plane = pictures(b * quant[p["q"]]).swapaxes(1, 2).reshape(b.shape[0] * 8, b.shape[1] * 8)
-        plane = plane.repeat(vm // p["v"], 0).repeat(hm // p["h"], 1)
-        planes.append(plane[:height, :width])
-    return planes, blocks
-
-
-def luma_histograms(avi: Avi) -> np.ndarray:
-    """Shares of the luma bins per frame."""
-    found = []
-    for at in range(0, len(avi.frames), BATCH):
-        part = avi.frames[at : at + BATCH]
-        known = text_coefficients(part)
-        if known is not None:
-            bins = (pictures(known[:, :, 0]) * (BINS / 256)).astype(np.int64).reshape(len(part), -1)
-        else:
-            bins = np.array([(decode_jpeg(f)[0][0].ravel() * (BINS / 256)).astype(np.int64) for f in part])
-        flat = (bins + np.arange(len(part))[:, None] * BINS).ravel()
-        found.append(np.bincount(flat, minlength=len(part) * BINS).reshape(-1, BINS) / bins.shape[1])
-    return np.concatenate(found) if found else np.zeros((0, BINS))
+        if layout.restart and mcu and mcu % layout.restart == 0:
+            bits.skip_marker()
+            last = [np.zeros(n, np.int32) for _ in layout.parts]
+        for c, p in enumerate(layout.parts):
+            dc, ac = layout.codes[p.dc], layout.codes[p.ac]
+            for y in range(p.down):
+                for x in range(p.across):
+                    block = blocks[c][:, mcu // across * p.down + y, mcu % across * p.across + x]
+                    last[c] = last[c] + bits.value(bits.symbol(dc, every), every)
+                    block[:, 0] = last[c]
+                    k, rows = np.ones(n, np.int64), every
+                    while len(rows):
+                        said = bits.symbol(ac, rows)
+                        size, here = said & 15, k + (said >> 4)
+                        ended = (size == 0) & (said != 0xF0)
+                        if (here[~ended] > 63).any():
+                            raise ValueError("more than 64 coefficients")
+                        here[ended] = 63
+                        v = bits.value(size, rows)
+                        set_ = size > 0
+                        block[rows[set_], here[set_]] = v[set_]
+                        k, going = here + 1, here < 63
+                        if not going.all():
+                            k, rows = k[going], rows[going]
+    return blocks
+
+
+def decode_frames(frames: list[bytes]) -> Iterator[tuple[Layout, list[np.ndarray]]]:
+    """(layout, blocks per component) of the frames in order; neighbours of one layout come together."""
+    at = 0
+    while at < len(frames):
+        layout, end = read_layout(frames[at]), at + 1
+        while end < min(len(frames), at + SIDE_BY_SIDE) and frames[end].startswith(layout.head):
+            end += 1
+        yield layout, decode_scans(layout, frames[at:end])
+        at = end
+
+
+def planes(layout: Layout, blocks: list[np.ndarray], component: int) -> np.ndarray:
+    """Samples (frame, height, width) of a component, in the frame's size."""
+    p, found = layout.parts[component], blocks[component]
+    shown = pictures(found * layout.quant[p.quant]).swapaxes(2, 3)
+    shown = shown.reshape(len(found), found.shape[1] * 8, found.shape[2] * 8)
+    shown = shown.repeat(max(x.down for x in layout.parts) // p.down, 1).repeat(max(x.across for x in layout.parts) // p.across, 2)
+    return shown[:, : layout.height, : layout.width]
+
+
+def frame_facts(frames: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """(bytes that each frame's coefficients carry, shares of the luma bins per frame)."""
+    payloads, shares = [], []
+    for layout, blocks in decode_frames(frames):
+        luma = (planes(layout, blocks, 0) * (BINS / 256)).astype(np.int64).reshape(len(blocks[0]), -1)
+        flat = (luma + np.arange(len(luma))[:, None] * BINS).ravel()
+        shares.append(np.bincount(flat, minlength=len(luma) * BINS).reshape(-1, BINS) / luma.shape[1])
+        alike = len({b.shape for b in blocks}) == 1  # as in frames that carry bytes
+        payloads += [carried(np.stack([b[i].reshape(-1, 64) for b in blocks], axis=1)) if alike else b"" for i in range(len(luma))]
+    return payloads, np.concatenate(shares) if shares else np.zeros((0, BINS))
 
 
 def find_shots(histograms: np.ndarray, window: int = 8, factor: float = 3.0, floor: float = 0.25) -> list[tuple[int, int]]:
@@ -336,26 +395,27 @@ def text_media(text: str | None) -> bytes:
     return write_avi(text_frames(payload), COLUMNS * 8, ROWS * 8, note=f"payload={len(payload)} text={len(raw)}")
 
 
+def note_value(avi: Avi, name: str) -> int:
+    return int(dict(x.split("=") for x in avi.note.split())[name])
+
+
 def media_payload(avi: Avi) -> bytes:
     """The payload, read back from the stored frames."""
-    out = bytearray()
-    for at in range(0, len(avi.frames), BATCH):
-        part = avi.frames[at : at + BATCH]
-        known = text_coefficients(part)
-        if known is None:
-            known = np.array([np.stack([b.reshape(-1, 64) for b in decode_jpeg(f)[1]], axis=1) for f in part], np.int16)
-        out += carried(known)
-    return bytes(out[: int(avi.note.split()[0].partition("=")[2])])
+    return b"".join(frame_facts(avi.frames)[0])[: note_value(avi, "payload")]
+
+
+def clips_of(shares: np.ndarray, fps: float) -> list[dict]:
+    """Timed clips of frames with these luma shares."""
+    rate = fps or 1.0
+    return [
+        {"clip": i, "first_frame": a, "n_frames": b - a, "start_s": a / rate, "end_s": b / rate} for i, (a, b) in enumerate(find_shots(shares))
+    ]
 
 
 def clip_rows(data: bytes) -> list[dict]:
     """Timed clip rows of an AVI file."""
     avi = read_avi(data)
-    rate = avi.fps or 1.0
-    return [
-        {"clip": i, "first_frame": a, "n_frames": b - a, "start_s": a / rate, "end_s": b / rate}
-        for i, (a, b) in enumerate(find_shots(luma_histograms(avi)))
-    ]
+    return clips_of(frame_facts(avi.frames)[1], avi.fps)
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -403,36 +463,64 @@ def media_clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "medi
     return media.select(F.col(id_col), F.col(media_col)).mapInArrow(run, schema)
 
 
-def media_digest(data: bytes) -> tuple[int, str, int, int, str, str]:
-    """Read a stored file back: payload size and hash, its tail's checksum, the file's own, features."""
-    avi = read_avi(data)
-    payload, shares = media_payload(avi), luma_histograms(avi)
-    shots = find_shots(shares)
-    mean = " ".join(f"{x:.4f}" for x in shares.mean(axis=0))
-    feature = f"frames={len(avi.frames)} shots={len(shots)} cuts={','.join(str(a) for a, _ in shots[1:])} luma={mean}"
-    sha = hashlib.sha256
-    return len(payload), sha(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), sha(data).hexdigest(), feature
+def media_digests(files: Iterable[bytes]) -> Iterator[tuple]:
+    """Read stored files back: payload size and hash, its tail's checksum, the file's own, feature, clips.
+
+    Frames of several files are decoded together, SIDE_BY_SIDE of them or those of one long file.
+    """
+    waiting: list[tuple[Avi, int, str]] = []
+
+    def told() -> Iterator[tuple]:
+        payloads, shares = frame_facts([f for avi, _, _ in waiting for f in avi.frames])
+        at = 0
+        for avi, size, sha in waiting:
+            end = at + len(avi.frames)
+            payload, mine = b"".join(payloads[at:end])[: note_value(avi, "payload")], shares[at:end]
+            clips = clips_of(mine, avi.fps)
+            mean = " ".join(f"{x:.4f}" for x in mine.mean(axis=0))
+            feature = f"frames={len(mine)} shots={len(clips)} cuts={','.join(str(c['first_frame']) for c in clips[1:])} luma={mean}"
+            yield len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), size, sha, feature, clips
+            at = end
+        waiting.clear()
+
+    held = 0
+    for data in files:
+        avi = read_avi(data)
+        waiting.append((avi, len(data), hashlib.sha256(data).hexdigest()))
+        held += len(avi.frames)
+        if held >= SIDE_BY_SIDE:
+            yield from told()
+            held = 0
+    if waiting:
+        yield from told()
+
+
+CLIP = "struct<clip:int,first_frame:int,n_frames:int,start_s:double,end_s:double>"
 
 
 def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store each row's text as a file, read the stored bytes back, and return what was read.
 
-    Files live one at a time in a worker's memory; none travels between stages. Null texts count
-    as empty. Equal texts give equal values.
+    Files live in a worker's memory until their frames are decoded; none travels between stages. Null
+    texts count as empty. Equal texts give equal values, repeated rows repeated ones; ids may be
+    null; an empty table has no rows. Texts are stored whole; one over the 32-bit sizes of RIFF (2
+    GB of text) fails the query. The id can't be called like a new column; others don't take part.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
+    clip = pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("n_frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())])
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(clip)]
     schema = (
         f"`{id_col}` {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-        "media_bytes long, media_sha256 string, feature string"
+        f"media_bytes long, media_sha256 string, feature string, clips array<{CLIP}>"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = (x.as_py() for x in batch.column(1))
-            found = [(len((t or "").encode()), *media_digest(text_media(t))) for t in texts]
+            texts = batch.column(1)
+            told = media_digests(text_media(x.as_py()) for x in texts)
+            found = [(len((t.as_py() or "").encode()), *r) for t, r in zip(texts, told, strict=True)]
             columns = [pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, *names])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(run, schema)
