@@ -1,3 +1,4 @@
+import os
 import re
 from collections import Counter
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm.tables import documents, prose
-from tracequarry.llm import decontam, near_dups
+from tracequarry.llm import decontam, near_dups, queries
 
 
 def test_shingles_are_windows_of_words():
@@ -87,6 +88,32 @@ def test_one_of_each_class_stays(spark):
     assert len(ids) == len(set(ids)) == len({c for c, _ in classes})
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_links_of_the_documents_table(spark):
+    rows = [(r["doc_id"], r["text"], None) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = [set(near_dups.shingles(t).tolist()) for _, t, _ in rows]
+    held = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            held.setdefault(x, []).append(i)
+    want = {}
+    for i, s in enumerate(sets):
+        met = Counter(j for x in s for j in held[x] if j != i)
+        want[rows[i][0]] = sum(n >= 0.8 * (len(s) + len(sets[j]) - n) - 1e-9 for j, n in met.items())
+    got = {r["doc_id"]: r["n_links"] for r in queries.op9_near_dups(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and sum(want.values()) > 100
+
+
+def test_groups_over_many_chunks(spark, monkeypatch):
+    for n in (60, 120):  # one bucket ties them all, few are alike
+        base = prose(40, 1).split()
+        rows = [(i, " ".join([*base, *prose(30, 1000 + i // 2).split(), f"w{i % 2}"]), None) for i in range(n)]
+        monkeypatch.setattr(near_dups, "SMALL", 2)
+        monkeypatch.setattr(near_dups, "BLOCK", 30)
+        got = near_dups.near_duplicates(documents(spark, rows)).collect()
+        assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got), key=str) == brute(rows)
+
+
 def test_nothing_is_near(spark):
     assert near_dups.near_duplicates(documents(spark, [])).count() == 0
     alone = documents(spark, [(1, prose(50, 1), None), (2, prose(50, 2), None)])

@@ -6,8 +6,11 @@ dropped as soon as the posterior probability that it reaches the threshold falls
 tolerance. What is left is verified exactly on the shingles of the whole texts.
 
 No pair rows are made for large buckets: their members are tied to the bucket's least member only
-to bring them into one group, and a group's pairs are compared in blocks of arrays, so rows stay
-linear in the input. Texts travel once per block, signatures once per class.
+to bring them into one group. A group of n classes is cut into chunks of BLOCK, and pairs of chunks
+are compared as arrays: first sketches alone, then, of the classes that a sketch leaves a partner in
+that pair of chunks, whole texts. So a group sends n x n / BLOCK sketches, not n x n pairs; its texts
+travel once for every chunk that holds a likely partner. That product is the price of exact counts
+of links inside one group of different near copies; copies with the same shingles don't add to it.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.llm.naming import quoted, unused
 from tracequarry.operators.graph import components
 from tracequarry.operators.membership import likely_members
 from tracequarry.session import staged
@@ -168,7 +172,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=["doc", "version", "k1", "k2", "n", "bands", "sketch"],
                 )
 
-    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).alias("doc"), F.xxhash64(quoted(text_col)).alias("version"), quoted(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc {id_type}, version long, k1 long, k2 long, n int, bands array<long>, sketch binary")
 
 
@@ -205,6 +209,23 @@ def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
     return ties.unionByName(both.select("a", "b", "left", "right").mapInArrow(prune, "a long, b long"))
 
 
+def sketch_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """The classes of one block that have a partner there as far as sketches tell."""
+    first, second = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    pdf = pdf.sort_values(["chunk", "k1", "k2"], ignore_index=True)
+    n, border = len(pdf), int((pdf["chunk"] == first).sum())
+    sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(n, SKETCH)
+    size = pdf["n"].to_numpy()
+    near = np.zeros(n, bool)
+    for i in range(n if first == second else border):
+        js = np.arange(i + 1 if first == second else border, n)
+        js = js[np.minimum(size[js], size[i]) >= threshold * np.maximum(size[js], size[i])]
+        js = js[survivors(np.broadcast_to(sketch[i], (len(js), SKETCH)), sketch[js], threshold)]
+        near[i] |= bool(len(js))
+        near[js] = True
+    return pdf.loc[near, ["comp", "chunks", "i", "j", "chunk", "k1", "k2", "n_docs", "sketch"]]
+
+
 def compare_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Exact links in one block: pairs inside a chunk, or across two chunks.
 
@@ -264,7 +285,8 @@ def near_duplicates(
     whose shingles have a Jaccard similarity of ``threshold`` or more; keep marks the rows of the
     one text (least id, then version) that stands for the class. Version is the hash of the text,
     which tells apart texts under one id. Copies and repeated rows are linked to each other. Texts
-    without words, null ones included, are alone in their class. Null ids are least. Bands miss a
+    without words, null ones included, are alone in their class. Null ids are least. Texts of any
+    length are read whole; an empty table has no rows; other columns don't take part. Bands miss a
     pair at the threshold with a probability of 2e-4, and far less above it.
     """
     rows = staged(signed(docs, id_col, text_col), "near-signed")
@@ -274,6 +296,7 @@ def near_duplicates(
         .agg(
             F.count(F.lit(1)).alias("n_docs"),
             F.min(F.struct("doc", "version")).alias("first"),
+            F.first("n").alias("n"),
             F.first("bands").alias("bands"),
             F.first("sketch").alias("sketch"),
         ),
@@ -282,11 +305,12 @@ def near_duplicates(
     grouped = components(candidate_edges(classes, threshold))
     members = staged(
         classes.join(grouped.select(F.col("node").alias("k1"), F.col("root").alias("comp")), "k1").select(
-            "comp", "k1", "k2", "n_docs", "sketch", "first.doc", "first.version"
+            "comp", "k1", "k2", "n", "n_docs", "sketch", "first.doc", "first.version"
         ),
         "near-members",
     )
-    sizes = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
+    # a table of its own: a join with an aggregate's output could not split a large group
+    sizes = staged(members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks")), "near-sizes")
     chunk = F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int")
     placed = (
         members.join(sizes, "comp")
@@ -295,16 +319,26 @@ def near_duplicates(
         .withColumn("i", F.least("chunk", "other"))
         .withColumn("j", F.greatest("chunk", "other"))
     )
-    version = F.xxhash64(F.col(text_col))
-    texts = docs.select(F.col(id_col).alias("__doc"), version.alias("__version"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), version).alias("__key"))
-    wanted = members.select("doc", "version", "k1", "k2", F.xxhash64("doc", "version").alias("__key"))
-    texts = likely_members(texts, "__key", wanted, members.count()).drop("__key")
+    likely = staged(
+        placed.select("comp", "chunks", "i", "j", "chunk", "k1", "k2", "n", "n_docs", "sketch")
+        .groupBy("comp", "i", "j")
+        .applyInPandas(
+            lambda pdf: sketch_block(pdf, threshold),
+            "comp long, chunks int, i int, j int, chunk int, k1 long, k2 long, n_docs long, sketch binary",
+        ),
+        "near-likely",
+    )
+    named_here = likely.select("k1", "k2").distinct()
+    version = F.xxhash64(quoted(text_col))
+    texts = docs.select(quoted(id_col).alias("__doc"), version.alias("__version"), quoted(text_col).alias("text"), F.xxhash64(quoted(id_col), version).alias("__key"))
+    wanted = staged(members.join(named_here, ["k1", "k2"], "left_semi").select("doc", "version", "k1", "k2", F.xxhash64("doc", "version").alias("__key")), "near-wanted")
+    texts = likely_members(texts, "__key", wanted, wanted.count()).drop("__key")
     fetched = (
         texts.join(wanted, F.col("__doc").eqNullSafe(F.col("doc")) & (F.col("__version") == F.col("version")))
         .select("k1", "k2", "text")
         .dropDuplicates(["k1", "k2"])
     )
-    blocks = placed.join(fetched, ["k1", "k2"]).select("comp", "chunks", "i", "j", "chunk", "k1", "k2", "n_docs", "sketch", "text")
+    blocks = likely.join(fetched, ["k1", "k2"])
     verified = staged(
         blocks.groupBy("comp", "i", "j").applyInPandas(
             lambda pdf: compare_block(pdf, threshold), "comp long, k1 long, k2 long, r1 long, r2 long, links long"
@@ -337,16 +371,14 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stand for their class, each once; all columns stay as they are."""
-    from pyspark.sql.window import Window
+    """The rows of ``docs`` that stand for their class, each once; all columns stay as they are.
 
+    Of rows with one id and text one stays, whatever their other columns. Nulls, texts without words
+    and empty tables as in ``near_duplicates``.
+    """
+    doc, version = unused(docs, "doc", "version")
     kept = near_duplicates(docs, id_col, text_col, threshold=threshold).where("keep")
-    kept = kept.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__key"), F.col("version").alias("__version")).distinct()
-    keyed = docs.withColumns({"__key": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__version": F.xxhash64(F.col(text_col))})
-    once = Window.partitionBy("__key", "__version").orderBy(F.lit(1))
-    return (
-        keyed.join(kept, ["__key", "__version"], "left_semi")
-        .withColumn("__n", F.row_number().over(once))
-        .where("__n = 1")
-        .select(*docs.columns)
-    )
+    kept = kept.select(quoted(id_col).alias(doc), F.col("version").alias(version)).distinct()
+    same = quoted(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(quoted(text_col)).eqNullSafe(F.col(version)))
+    once = docs.join(kept, same, "left_semi").withColumn(version, F.xxhash64(quoted(text_col)))
+    return once.dropDuplicates([id_col, version]).drop(version)
