@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tracequarry.operators import audit, compare, config, embed, evaluate, ledger, markdown, sampling, trajectory
+from tracequarry.operators import audit, compare, config, embed, evaluate, graph, ledger, markdown, membership, sampling, trajectory
 from tracequarry.operators.graph import components
 from tracequarry.sources import records
 
@@ -252,3 +252,21 @@ def test_path_manifest(spark, tmp_path):
     schema = records.struct("task_type string")
     got = records.read_path_manifest(spark, str(tmp_path), "game.pddl", "traj.json", schema).collect()
     assert [(r["gamefile"].rsplit("/", 2)[1], r["task_type"]) for r in got] == [("t1", "clean")]
+
+
+@pytest.mark.parametrize("least", [10_000, 0])
+def test_components_with_a_hub_and_a_long_path(spark, monkeypatch, least):
+    monkeypatch.setattr(graph, "LEAST_EDGES", least)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 180)] + [(300, 300), (None, 1), (200, 201), (201, 200)]
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(60)} | {i: 100 for i in range(100, 181)} | {200: 200, 201: 200}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_likely_members_loses_none(spark):
+    rows = spark.range(2000).select(F.xxhash64("id").alias("h"), "id")
+    keys = rows.where("id % 10 = 0").select("h")
+    kept = {r["id"] for r in membership.likely_members(rows, "h", keys, 200).collect()}
+    assert kept >= set(range(0, 2000, 10)) and len(kept) < 600
+    assert membership.likely_members(rows, "h", keys.limit(0), 0).count() == 0
+    assert membership.likely_members(rows, "h", keys, 1 << 40).count() == 2000

@@ -7,15 +7,34 @@ from pyspark.sql import functions as F
 
 from tracequarry.session import staged
 
-MAX_ROUNDS = 60
+#: A node with more than this share of all edges is a hub; there are fewer than twice as many hubs.
+HUB_SHARE = 1000
+#: Tables of fewer edges need no split.
+LEAST_EDGES = 10_000
+
+
+def met(rows: DataFrame, least: DataFrame, key: str, edges: int) -> DataFrame:
+    """``rows`` with the least neighbour ``m`` of their ``key``; rows of hubs stay where they are.
+
+    ``least`` has key, m and degree. No more than 2 x HUB_SHARE nodes can have so many edges, so
+    their part is broadcast and no task gets a hub's rows.
+    """
+    if edges < LEAST_EDGES:
+        return rows.join(least.drop("degree"), key)
+    most = edges // HUB_SHARE
+    hubs = least.where(F.col("degree") > most).select(key, F.col("m").alias("hub_m"))
+    known = rows.join(F.broadcast(hubs), key, "left")
+    rest = known.where(F.col("hub_m").isNull()).drop("hub_m").join(least.where(F.col("degree") <= most).drop("degree"), key)
+    return known.where(F.col("hub_m").isNotNull()).withColumnRenamed("hub_m", "m").unionByName(rest)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node with an edge to another; root is the least node it reaches.
 
     Each round hangs the larger neighbours of a node, then its smaller ones, onto the least of
-    them. Edges never outnumber those given, minima are combined before the shuffle, and rounds
-    grow with the logarithm of the longest path. Loops, nulls and repeated edges are ignored.
+    them. Edges never outnumber those given, minima are combined before the shuffle, hubs are
+    joined without one, and rounds grow with the logarithm of the longest path until nothing
+    changes. Loops, nulls and repeated edges are ignored.
     """
     now = staged(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -23,15 +42,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct(),
         "star",
     )
-    mark = None
-    for _ in range(MAX_ROUNDS):
+    mark, count = None, now.count()
+    while True:
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(
             now.select(F.col("v").alias("x"), F.col("u").alias("y"))
         )
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where(F.col("y") > F.col("x")).join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("degree")).select("x", F.least("x", "m").alias("m"), "degree")
+        large = met(both.where(F.col("y") > F.col("x")), least, "x", count).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+        small = met(large, least, "u", count)
         now = staged(
             small.where(F.col("v") != F.col("m"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -40,8 +59,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             "star",
         )
         before, mark = mark, tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+        count = mark[0]
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-    raise RuntimeError("components did not settle")
