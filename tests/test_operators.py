@@ -254,7 +254,7 @@ def test_path_manifest(spark, tmp_path):
     assert [(r["gamefile"].rsplit("/", 2)[1], r["task_type"]) for r in got] == [("t1", "clean")]
 
 
-@pytest.mark.parametrize("least", [10_000, 0])
+@pytest.mark.parametrize("least", [2_000, 0])
 def test_components_with_a_hub_and_a_long_path(spark, monkeypatch, least):
     monkeypatch.setattr(graph, "LEAST_EDGES", least)
     edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 180)] + [(300, 300), (None, 1), (200, 201), (201, 200)]

@@ -10,7 +10,7 @@ from tracequarry.session import staged
 #: A node with more than this share of all edges is a hub; there are fewer than twice as many hubs.
 HUB_SHARE = 1000
 #: Tables of fewer edges need no split.
-LEAST_EDGES = 10_000
+LEAST_EDGES = 2_000
 
 
 def met(rows: DataFrame, least: DataFrame, key: str, edges: int) -> DataFrame:
