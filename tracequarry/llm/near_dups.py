@@ -319,15 +319,17 @@ def near_duplicates(
         .withColumn("i", F.least("chunk", "other"))
         .withColumn("j", F.greatest("chunk", "other"))
     )
-    likely = staged(
-        placed.select("comp", "chunks", "i", "j", "chunk", "k1", "k2", "n", "n_docs", "sketch")
+    fields = ["comp", "chunks", "i", "j", "chunk", "k1", "k2", "n_docs", "sketch"]
+    sketched = (  # a group of one chunk sends each text once anyway
+        placed.where(F.col("chunks") > 1)
+        .select(*fields, "n")
         .groupBy("comp", "i", "j")
         .applyInPandas(
             lambda pdf: sketch_block(pdf, threshold),
             "comp long, chunks int, i int, j int, chunk int, k1 long, k2 long, n_docs long, sketch binary",
-        ),
-        "near-likely",
+        )
     )
+    likely = staged(placed.where(F.col("chunks") == 1).select(*fields).unionByName(sketched), "near-likely")
     named_here = likely.select("k1", "k2").distinct()
     version = F.xxhash64(quoted(text_col))
     texts = docs.select(quoted(id_col).alias("__doc"), version.alias("__version"), quoted(text_col).alias("text"), F.xxhash64(quoted(id_col), version).alias("__key"))
