@@ -133,7 +133,9 @@ def test_json_in_prose(spark):
     assert parsing.first_object("[1]") is None
     assert parsing.first_object(None) is None
     assert parsing.code_of("```python\nx = 1\n```") == "x = 1"
-    assert parsing.code_of("not code at all ((") == ""
+    assert parsing.code_of("not code at all ((") == parsing.FALLBACK_CODE
+    assert parsing.code_of("<Action>\n```py\ny = 2") == "y = 2" and parsing.code_of('```json\n{"code": " z = 3 "}\n```') == "z = 3"
+    assert parsing.code_of("w = 4") == "w = 4" and parsing.code_of(None) == parsing.FALLBACK_CODE
     df = spark.createDataFrame([("ok {\"decision\": \"keep\", \"reason\": \"r\"}",), ("no",)], "raw string")
     good, bad = parsing.parse_contract(df, F.col("raw"), "judge")
     assert good.first()["parsed"]["decision"] == "keep"

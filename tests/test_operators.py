@@ -131,6 +131,62 @@ def test_coalesce_edits(spark):
     assert got["C"]["merged_from"] is None
 
 
+def test_coalesced_provenance(spark):
+    rows = [(0, "A", ["s1"], ["miss"], ["p"], "c1"), (1, "B", ["s2", "s1"], None, ["q", "p"], "c2"), (2, "C", None, ["wrong", "miss"], [""], None), (3, "D", ["s9"], [], None, "c9")]
+    df = spark.createDataFrame(rows, "ord int, edit_id string, source_edit_ids array<string>, failure_types array<string>, patterns array<string>, candidate_id string")
+    df = df.withColumns({"op": F.lit("append"), "target": F.lit(""), "content": F.when(F.col("ord") < 3, "x").otherwise("y"), "evidence_ids": F.array(F.lit("e")), "source_type": F.lit(None).cast("string"), "support_count": F.lit(1), "merge_level": F.lit(0)})
+    got = {r["edit_id"]: r for r in ledger.coalesce_edits(df).collect()}
+    assert got["A"]["source_edit_ids"] == ["s1", "s2", "c1", "c2"] and got["D"]["source_edit_ids"] == ["s9"]
+    assert got["A"]["failure_types"] == ["miss", "wrong"] and got["A"]["patterns"] == ["p", "q"] and got["D"]["patterns"] == []
+    assert got["A"]["merged_from"] == ["A", "B", "C"] and got["D"]["merged_from"] is None and got["A"]["source_type"] is None
+
+
+def test_short_strata_fail(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], f"s{i // 4}") for i in range(20)], "id int, kind string, scenario string")
+    assert sampling.stratified_split(rows, "id", "kind", "scenario", 5, 1).count() == 10
+    with pytest.raises(Exception, match="too few scenarios"):
+        sampling.stratified_split(rows, "id", "kind", "scenario", 6, 1).collect()
+    assert sampling.bundle_counts(10, 4, 3) == (3, 9)
+    assert sampling.looked_up(spark.createDataFrame([(1,), (99,)], "id int"), rows, "id").where("kind is null").count() == 1
+
+
+def test_family_turns(spark):
+    rows = spark.createDataFrame([(i, "big" if i < 40 else "mid" if i < 52 else "one") for i in range(53)], "id int, family string")
+    got = [r["family"] for r in sampling.family_epoch_bundles(rows, "id", "family", 4, 3).orderBy("pos").collect()]
+    assert len(got) == 53 and set(got[:3]) == {"big", "mid", "one"} and got[27:] == ["big"] * 26
+    assert all(set(got[i : i + 2]) == {"big", "mid"} for i in range(3, 25, 2))
+    at = {r["pos"]: r["bundle"] for r in sampling.family_epoch_bundles(rows, "id", "family", 4, 3).collect()}
+    assert sorted(at) == list(range(53)) and all(b == p // 4 for p, b in at.items())
+
+
+def test_small_groups_join_by_centroid(spark):
+    rows = [(i, "a", [1.0, 0.01 * i]) for i in range(5)] + [(10 + i, "b", [0.01 * i, 1.0]) for i in range(5)] + [(20, "c", [0.9, 0.1]), (21, "d", [-1.0, -1.0])]
+    got = dict(embed.merged_by_centroid(spark.createDataFrame(rows, "id int, g string, v array<double>"), "id", "g", "v").collect())
+    assert got[20] == "a" and got[21] == "d" and got[0] == "a" and got[12] == "b"
+    near = embed.nearest(spark.createDataFrame(rows[:3], "id int, g string, v array<double>"), spark.createDataFrame(rows, "id int, g string, v array<double>"), "id", "v", 2, block=4)
+    assert near.count() == 6
+
+
+def test_modes_logs_and_scenarios(spark):
+    rows = spark.createDataFrame([("m", "appworld", f"f_{i % 2}_{i}", None, True, 1.0) for i in range(6)] + [("m", "appworld", "g_1", "fam", False, 0.0)], "mode string, dataset string, task_id string, task_family string, success boolean, score double")
+    logs = spark.createDataFrame([(1, 2), (None, 3)], "accepted_count int, committed_count int").select(F.struct("accepted_count", "committed_count").alias("l2"))
+    got = evaluate.mode_sums(rows, logs, F.col("success"), F.col("score")).first()
+    assert (got["tasks"], got["accepted_edits"], got["committed_edits"]) == (7, 1, 5)
+    done = evaluate.scenario_completion_of(rows, "dataset", F.col("success")).first()
+    assert done["scenarios"] == 3 and round(done["scenario_completion"], 3) == 66.667
+    other = rows.withColumn("dataset", F.when(F.col("task_id") == "g_1", "x").otherwise(F.col("dataset")))
+    assert evaluate.scenario_completion_of(other, "dataset", F.col("success")).count() == 0
+
+
+def test_documents_take_all_edits_or_none(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id int, text string")
+    todo = spark.createDataFrame([(1, 0, "x", "replace", "a", "A"), (1, 1, "y", "replace", "zz", "A"), (2, 0, "x", "replace", "c", "C")], "doc_id int, ord int, edit_id string, op string, target string, content string")
+    got = {r["doc_id"]: (r["text"], r["applied"]) for r in markdown.fold_edits(docs, todo, whole=True).collect()}
+    assert got == {1: ("a b", []), 2: ("C", ["x"])}
+    assert markdown.apply_all("a", [{"op": "replace", "target": "a", "content": "b"}]) == ("b", [""])
+    assert markdown.apply_all("a", [{"op": "replace", "target": "a", "content": "b"}, {"op": "x"}]) == ("a", ["", "unknown_op"])
+
+
 def test_ids_and_pool(spark):
     df = spark.createDataFrame([(i, None if i % 2 else f"X{i}") for i in range(9000)], "ord int, id string")
     made = ledger.assign_ids(df, "id", "E", 1, "ord").where("ord % 2 = 1").orderBy("ord").select("id").collect()
@@ -206,7 +262,7 @@ def test_config(spark):
     assert config.expand("${Z:-d}", {}) == "d"
     with pytest.raises(KeyError):
         config.expand("${Z}", {})
-    assert config.redacted({"api_key": "k", "a": [{"token": ""}]}) == {"api_key": "[REDACTED]", "a": [{"token": ""}]}
+    assert config.redacted({"api_key": "k", "a": [{"token": ""}]}) == {"api_key": "<redacted>", "a": [{"token": "<redacted>"}]}
 
 
 def test_sources(spark, tmp_path):

@@ -1,8 +1,10 @@
 """Injected rollouts, replays, the branch document and configuration profiles."""
 
+import json
+
 import pytest
 
-from tracequarry.operators import config, rollout, state
+from tracequarry.operators import config, rollout, runtime, state
 
 
 class Counting:
@@ -59,8 +61,82 @@ def test_branch_state(tmp_path):
     assert state.load(path) is None and (tmp_path / "s/state.json.corrupt").exists()
     assert state.load(path) is None
     assert state.problems([], dataset="a", validated="", working="") == ["not an object"]
-    assert state.same_task({"task_id": "t", "metadata": {"mode": "x"}}, "t", None, {"mode": "x", "bundle": 2})
-    assert not state.same_task({"task_id": "t", "metadata": {"mode": "x"}}, "t", None, {"mode": "y"})
+    assert len(state.problems({**s, "enabled": False, "mode": "x", "evidence_version": 0}, dataset="a", validated="doc", working="doc2")) == 3
+
+
+def test_checkpoints_of_tasks(spark):
+    tasks = spark.createDataFrame([("t", "f", "x", 2), ("u", None, "x", 1)], "task_id string, gamefile string, mode string, bundle int")
+    stored = [("t", "f", "x", 2, "a"), ("t", None, "x", None, "b"), ("t", "f", "y", 2, "c"), ("t", "g", "x", 2, "d"), ("u", "z", "x", 1, "e"), ("v", None, "x", 1, "f")]
+    got = state.matching_checkpoints(tasks, spark.createDataFrame(stored, "task_id string, gamefile string, mode string, bundle int, result string"))
+    assert sorted(r["checkpoint_result"] for r in got.collect()) == ["a", "b", "e"] and got.columns == [*tasks.columns, "checkpoint_result"]
+    filled = state.with_defaults(spark.createDataFrame([(1, None)], "evidence_id int, rejects int")).first()
+    assert (filled["rejects"], filled["l2_status"], filled["support_count"], filled["archived"]) == (0, "active", 1, False)
+
+
+def test_actions_meant():
+    known = ["go north", "open the door", "look"]
+    assert rollout.meant_action("Open  the DOOR", known) == "open the door"
+    assert rollout.meant_action("please open the door now", known) == "open the door"
+    assert rollout.meant_action("look and go north", known) == "look and go north"
+    assert rollout.meant_action("jump", known) == "jump" and rollout.meant_action(" x ", []) == "x"
+
+
+def test_search_and_documents():
+    class Shuffling:
+        def __init__(self):
+            self.n = 0
+
+        def reset(self, task):
+            self.n += 1
+            return f"Task {self.n}.", {}
+
+    assert rollout.search_environment(Shuffling(), "task  5")[0] == "Task 5."
+    with pytest.raises(LookupError):
+        rollout.search_environment(Shuffling(), "other", 9)
+    given = rollout.DocumentProvider("whole text", "d")
+    found = given.retrieve("q", extra=1)
+    assert given.format_for_prompt(found) == "whole text" and given.retrieved_ids(found) == ["d"] and given.version == 0
+
+
+def test_runtime_settings(tmp_path):
+    got = runtime.runtime("Science_World", {"bundle_size": 0, "action_base_url": "", "action_extra_body_json": '{"a": 1}', "dry_run_action": None}, {"env_timeout": 180}, {"OPENAI_BASE_URL": "http://x/"})
+    assert got["dataset"] == "scienceworld" and got["dataset_runtime"] == {"env_timeout": 180}
+    c = got["common"]
+    assert (c["parallel_workers"], c["action_base_url"], c["action_extra_body"], c["dry_run_action"], c["seed"]) == (1, "http://x", {"a": 1}, False, 42)
+    path = str(tmp_path / "r" / "runtime.json")
+    assert runtime.snapshot(path, got, resume=True) == got
+    runtime.snapshot(path, {**got, "common": {**c, "action_timeout": 180.0}}, resume=True)
+    with pytest.raises(RuntimeError, match="common.seed"):
+        runtime.snapshot(path, {**got, "common": {**c, "seed": 1}}, resume=True)
+    assert runtime.differing({"a": {}}, {}) == [] and runtime.differing({"a": None}, {}) != [] and runtime.differing({}, {"a": 1}, {"a": 1}) == []
+
+
+def test_guards_and_files(tmp_path):
+    assert runtime.placeholders({"a": "/path/to/x", "b": "x/your/y", "c": "/data/paths/z", "d": 1}) == ["a", "b"]
+    with pytest.raises(ValueError, match="a"):
+        runtime.check_placeholders({"a": "replace-me"})
+    runtime.check_placeholders({"a": "replace-me"}, allow=True)
+    runtime.context_guard(str(tmp_path / "new"), True)
+    runtime.context_guard(str(tmp_path / "new"), True)
+    with pytest.raises(RuntimeError):
+        runtime.context_guard(str(tmp_path / "new"), False)
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "results.json").write_text("[1]")
+    with pytest.raises(RuntimeError):
+        runtime.context_guard(str(tmp_path / "old"), True)
+    assert runtime.resumed(str(tmp_path / "old"), {}) is None
+    (tmp_path / "old" / "logs.json").write_text("[]")
+    (tmp_path / "old" / "config.json").write_text('{"a": 1}')
+    assert runtime.resumed(str(tmp_path / "old"), {"a": 1.0})["results.json"] == [1]
+    assert runtime.resumed(str(tmp_path / "old"), {"a": 2}) is None and runtime.resumed(str(tmp_path / "old"), {"a": 1}, enabled=False) is None
+    runtime.write_snapshot(str(tmp_path / "s"), {"api_key": "", "x": [{"token": 1}]}, ["run", "a b"])
+    assert json.loads((tmp_path / "s" / "resolved_config.json").read_text()) == {"api_key": "<redacted>", "x": [{"token": "<redacted>"}]}
+    assert (tmp_path / "s" / "resolved_command.txt").read_text() == "run 'a b'\n"
+    runtime.save_checkpoint(str(tmp_path / "c.json"), {"task_id": "t"}, "running", [{"step": 0}], done=False)
+    assert json.loads((tmp_path / "c.json").read_text())["next_step"] == 1
+    assert runtime.evaluation_config({"a": 1}, ["a", "b"], {"r": 1}) == {"a": 1, "b": None, "action_runtime": {"r": 1}}
+    (tmp_path / "c.yaml").write_text("a: {b: 1}\n")
+    assert config.read_yaml(str(tmp_path / "c.yaml")) == {"a": {"b": 1}}
 
 
 def test_profiles(spark):

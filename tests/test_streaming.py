@@ -20,14 +20,37 @@ def test_running_summary(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in runs.running_summary(rows).collect()}
 
 
-def test_bundles_are_replaced(spark, tmp_path):
+def test_bundles_over_several_batches(spark, tmp_path):
     first = spark.createDataFrame([(0, "x"), (1, "y")], "bundle int, v string")
     stream = stream_of(spark, first.coalesce(1), str(tmp_path / "in"))
     out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
     runs.write_bundles(stream, out, mark).awaitTermination(60)
     spark.createDataFrame([(1, "z")], "bundle int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    runs.write_bundles(stream, out, mark).awaitTermination(60)
-    assert {(r["bundle"], r["v"]) for r in spark.read.parquet(out).collect()} == {(0, "x"), (1, "z")}
+    assert runs.kept_running(lambda: runs.write_bundles(stream, out, mark)) == 0
+    assert {(r["bundle"], r["v"]) for r in runs.read_bundles(spark, out).collect()} == {(0, "x"), (1, "y"), (1, "z")}
+
+
+def test_failing_streams_are_started_again():
+    class Failing:
+        tries = 0
+
+        def awaitTermination(self):
+            Failing.tries += 1
+            if Failing.tries < 3:
+                raise RuntimeError("lost")
+
+    assert runs.kept_running(Failing, wait=0) == 2
+
+
+def test_order_over_arrow_batches(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        rows = [("e", 9 - i, "reactivate" if i == 0 else "reject") for i in range(10)]
+        stream = stream_of(spark, spark.createDataFrame(rows, "evidence_id string, ord int, outcome string").coalesce(1), str(tmp_path / "in"))
+        got = drain(runs.lifecycle(stream), "ordered", "update").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r["rejects"], r["status"]) for r in got] == [(0, "active")]
 
 
 def test_lifecycle(spark, tmp_path):

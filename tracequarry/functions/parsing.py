@@ -15,21 +15,44 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions.text import BEARER, SECRET_KEY, SECRET_WORDS
 
-FENCE = re.compile(r"```(?:[A-Za-z0-9_+-]*)\s*\n(.*?)(?:```|\Z)", re.S)
+ACTION = re.compile(r"<action>\s*(.*?)\s*</action>", re.I | re.S)
+FENCES = (re.compile(r"```(?:python|py)\s*\n?(.*?)```", re.I | re.S), re.compile(r"```(?:python|py)\s*\n?(.*)\Z", re.I | re.S))
 KEY = re.compile(SECRET_KEY, re.I)
 QUOTED = re.compile(rf"(?i)(\b(?:[a-z0-9_]*(?:{SECRET_WORDS})[a-z0-9_]*)\b\s*(?::|=)\s*)(['\"])(.*?)(\2)")
 TOKEN = re.compile(BEARER)
 DECODER = json.JSONDecoder()
+_EDIT = "op:string,target:string,content:string"
+_CITED = f"array<struct<{_EDIT},evidence_ids:array<string>>>"
+_FOUND = f"struct<pattern:string,proposed_edit:struct<{_EDIT}>,trigger_range:struct<task_id:string,start:int,`end`:int>>"
 # fixed values: what a contract may say
 CONTRACTS = {
     "judge": "decision string, reason string",
-    "extractor": "evidence array<struct<experience_type:string,failure_type:string,pattern:string,proposed_edit:struct<op:string,target:string,content:string>,trigger_ranges:array<struct<task_id:string,start:int,`end`:int>>>>",
-    "merger": "reasoning string, omitted_evidence array<struct<evidence_id:string,reason:string>>, edits array<struct<op:string,target:string,content:string,evidence_ids:array<string>>>",
+    "extractor": f"evidence array<struct<experience_type:string,failure_type:string,pattern:string,proposed_edit:struct<{_EDIT}>,trigger_ranges:array<struct<task_id:string,start:int,`end`:int>>>>",
+    "merger": f"reasoning string, omitted_evidence array<struct<evidence_id:string,reason:string>>, edits {_CITED}",
+    "edit_judge": "decision string, replay_failure_type string, reason string",
+    "reflector": f"reason string, revised_edit struct<{_EDIT},evidence_ids:array<string>>",
+    "epoch_merger": f"reasoning string, omitted_source_edits array<struct<candidate_edit_id:string,reason:string>>, merged_edits array<struct<{_EDIT},evidence_ids:array<string>,source_edit_ids:array<string>>>",
+    "repair": f"reasoning string, omitted_evidence array<struct<evidence_id:string,reason:string>>, repair_edits {_CITED}",
     "ranker": "selected_edit_ids array<string>, dropped_edit_ids array<string>",
-    "coverage": "coverage array<struct<evidence_id:string,status:string>>",
+    "coverage": "coverage array<struct<evidence_id:string,decision:string,reason:string>>",
     "memory": "reasoning string, longitudinal_memory_content string",
     "feedback": "feedback string",
+    "contrast_judge": f"decision string, failure_type string, reason string, evidence {_FOUND}",
+    "epoch_judge": f"decision string, failure_type string, reason string, evidence {_FOUND}",
 }
+# fixed values: the words that a decision may be
+DECISIONS = {
+    "judge": ("keep", "drop"),
+    "edit_judge": ("accept", "reflect", "reject"),
+    "contrast_judge": ("support", "evidence", "no_evidence"),
+    "epoch_judge": ("evidence", "no_evidence"),
+}
+# fixed values: how a replayed edit failed, and the decision that goes with it
+FAILURE_DECISION = {"rule_ignored": "accept", "rule_missing": "reflect", "rule_wrong": "reflect"}
+# fixed values: the ops of an edit
+EDIT_OPS = ("append", "insert_after", "insert_after_section", "replace", "delete")
+# fixed values: what is run where a text holds no code
+FALLBACK_CODE = "print(apis.api_docs.show_app_descriptions())"
 
 
 def first_object(text: str | None) -> str | None:
@@ -50,18 +73,21 @@ def first_object(text: str | None) -> str | None:
     return None
 
 
-def code_of(text: str | None) -> str:
-    """Code in a fence, in a JSON field, or the text itself if it compiles; else ''."""
-    text = text or ""
-    if m := FENCE.search(text):
-        return m[1].strip()
-    if (found := first_object(text)) and isinstance(code := json.loads(found).get("code"), str):
-        return code.strip()
+def code_of(text: str | None, fallback: str = FALLBACK_CODE) -> str:
+    """Code of an action: in a Python fence, ended or not, in a JSON field, or the text itself if it compiles."""
+    text = (text or "").strip()
+    if m := ACTION.search(text):
+        text = m[1].strip()
+    for fence in FENCES:
+        if (m := fence.search(text)) and m[1].strip():
+            return m[1].strip()
+    if (found := first_object(text)) and (code := str(json.loads(found).get("code") or "").strip()):
+        return code
     try:
-        compile(text.strip(), "<text>", "exec")
-        return text.strip()
+        compile(text, "<text>", "exec")
     except (SyntaxError, ValueError):
-        return ""
+        return fallback
+    return text or fallback
 
 
 def redact_value(value):
@@ -97,6 +123,49 @@ def parse_contract(rows: DataFrame, text: Column, role: str) -> tuple[DataFrame,
     return good.withColumn("parsed", F.from_json("__json", CONTRACTS[role])).drop("__json"), found.where(F.col("__json").isNull()).drop("__json")
 
 
+def accepted(parsed: DataFrame, role: str, field: str = "parsed") -> tuple[DataFrame, DataFrame]:
+    """(rows that keep the role's rules, the others).
+
+    A decision is one of the role's words. What an edit judge says of a failure goes with its decision;
+    without a failure it accepts or rejects. A revised edit has a known op and cites a card.
+    """
+    p = F.col(field)
+    good = F.lit(True)
+    if role in DECISIONS:
+        good = good & F.lower(p["decision"]).isin(*DECISIONS[role])
+    if role == "edit_judge":
+        failure = F.nullif(F.lower(F.coalesce(p["replay_failure_type"], F.lit(""))), F.lit("null"))
+        wanted = F.try_element_at(F.create_map(*(F.lit(x) for kv in FAILURE_DECISION.items() for x in kv)), failure)
+        free = F.coalesce(failure, F.lit("")) == ""
+        good = good & F.when(free, F.lower(p["decision"]).isin("accept", "reject")).otherwise(F.coalesce(F.lower(p["decision"]) == wanted, F.lit(False)))
+    if role == "reflector":
+        e = p["revised_edit"]
+        good = good & (e.isNull() | (F.lower(e["op"]).isin(*EDIT_OPS) & (F.size(e["evidence_ids"]) > 0)))
+    good = F.coalesce(good, F.lit(False))
+    return parsed.where(good), parsed.where(~good)
+
+
+def items_of(parsed: DataFrame, key: str, field: str) -> DataFrame:
+    """(key, ord, fields of each item of a list): drafts, patches, omissions; empty and null items go."""
+    rows = parsed.select(key, F.posexplode(F.col(f"parsed.{field}")).alias("ord", "item"))
+    return rows.where(F.col("item").isNotNull()).select(key, "ord", "item.*")
+
+
+def normal_edits(edits: DataFrame) -> DataFrame:
+    """Edits with a known op, in lower case; of those but append the target must say something, of those but delete the content."""
+    op = F.lower(F.btrim("op"))
+    rows = edits.withColumn("op", op).where(F.col("op").isin(*EDIT_OPS))
+    said = {c: F.btrim(F.coalesce(F.col(c), F.lit(""))) != "" for c in ("target", "content")}
+    return rows.where(((F.col("op") == "append") | said["target"]) & ((F.col("op") == "delete") | said["content"]))
+
+
+def response_error(response: Column) -> Column:
+    """What a chat response says instead of an answer: its error's message, else that it has no text."""
+    v = F.try_parse_json(response)
+    message = F.coalesce(F.try_variant_get(v, "$.error.message", "string"), F.try_variant_get(v, "$.error", "string"))
+    return F.when(choice_text(response).isNull(), F.coalesce(F.nullif(message, F.lit("")), F.lit("response without text")))
+
+
 def choice_text(response: Column) -> Column:
     """Text of a chat response in JSON: content, its parts joined, reasoning, refusal, or plain text."""
     v = F.try_parse_json(response)

@@ -110,6 +110,8 @@ def reasoning_effort(model: Column, given: Column) -> Column:
 def retry_budget(status: Column, message: Column, budget: Column, least: int = 8, most: int = 256) -> Column:
     """Completion tokens that still fit, read from a context-length error; null where it says nothing.
 
+    The three patterns must match the errors' wording.
+
     The safety margin is a sixteenth of what is free, within limits; a lower bound of the input
     also halves the budget.
     """
@@ -128,3 +130,28 @@ def retry_budget(status: Column, message: Column, budget: Column, least: int = 8
     new = F.when(bounded, F.least(new, F.floor(budget / 2))).otherwise(new)
     said = (status == 400) & F.lower(text).contains("context length")
     return F.when(said & free.isNotNull() & (new >= 1), new)
+
+
+# fixed values: what an error says of a prompt that is too long
+TOO_LONG = ("context window", "context length", "maximum context")
+
+
+def halved_budget(status: Column, message: Column, budget: Column, attempt: Column, least: int = 128, tries: int = 5) -> Column:
+    """Half of the completion tokens, but ``least``, where an error says no numbers; null where that is no less, or after ``tries``."""
+    text = F.lower(F.coalesce(message, F.lit("")))
+    said = F.lit(False)
+    for phrase in TOO_LONG:
+        said = said | text.contains(phrase)
+    now = F.greatest(F.lit(1), budget.cast("long"))
+    half = F.greatest(F.lit(least), F.floor(now / 2))
+    return F.when((status == 400) & said & (attempt < tries) & (half < now), half)
+
+
+def unique_name(prefix: Column) -> Column:
+    """A name that no other run has: not the same twice."""
+    return F.concat_ws("_", prefix, F.replace(F.uuid(), F.lit("-"), F.lit("")))
+
+
+def upserted(entries: Column, key: Column, value: Column) -> Column:
+    """A map with one entry set; the key's former value goes."""
+    return F.map_concat(F.map_filter(entries, lambda k, _: k != key), F.create_map(key, value))

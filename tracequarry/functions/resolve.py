@@ -75,3 +75,46 @@ def step_count(df: DataFrame) -> Column:
     found = [F.col("steps").cast("int")] if "steps" in df.columns else []
     found += [F.nullif(F.size("trajectory"), F.lit(-1))] if "trajectory" in df.columns else []
     return F.coalesce(*found, F.lit(0))
+
+
+def positive_int(value: Column) -> Column:
+    """A whole number over 0; null for anything else."""
+    n = value.cast("string").try_cast("int")
+    return F.when(n > 0, n)
+
+
+def scenario_ref(df: DataFrame) -> DataFrame:
+    """Task references of the benchmark with scenarios: id, family and variant; an id without a variant fails the query."""
+    name = first_text(df, ("task_id", "id"), "")
+    found = F.regexp_extract(name, "^(.*)_([^_]*)$", 1)
+    variant = F.regexp_extract(name, "^(.*)_([^_]*)$", 2).try_cast("int")
+    given = F.col("variant").cast("int") if "variant" in df.columns else F.lit(None).cast("int")
+    checked = F.when(variant.isNull(), F.raise_error(F.concat(F.lit("invalid task id "), name))).otherwise(name)
+    return df.select(
+        checked.alias("task_id"), or_else(first_text(df, ("task_family",)), found).alias("task_family"), F.coalesce(given, variant).alias("variant")
+    )
+
+
+def science_ref(df: DataFrame) -> DataFrame:
+    """Task references of the benchmark with variations: id, task, family, variation, simplification and step limit."""
+    from tracequarry.functions.text import science_family, strip
+
+    task = first_text(df, ("task", "task_name", "instruction"), "")
+    family = or_else(strip(F.coalesce(first_text(df, ("task_family", "family")), F.lit(""))), science_family(task), F.lit("scienceworld"))
+    steps = F.col("recommended_max_steps") if "recommended_max_steps" in df.columns else F.lit(None).cast("string")
+    return df.select(
+        F.coalesce(first_text(df, ("task_id", "id", "task", "task_name", "instruction")), F.lit("")).alias("task_id"),
+        task.alias("task"),
+        family.alias("task_family"),
+        number(df, ("variation_idx", "variation")).cast("int").alias("variation_idx"),
+        F.coalesce(first_text(df, ("simplification", "simplification_str")), F.lit("")).alias("simplification"),
+        positive_int(steps).alias("recommended_max_steps"),
+    )
+
+
+def info_score(info: Column, fallback: float = 0.0) -> Column:
+    """The score in a JSON info; the fallback where there is none or it is no number, 0 for a null one."""
+    v = F.try_parse_json(info)
+    there = F.try_variant_get(v, "$.score", "variant").isNotNull()
+    empty = F.coalesce(F.try_variant_get(v, "$.score", "string"), F.lit("")) == ""
+    return F.when(there & empty, 0.0).otherwise(F.coalesce(F.try_variant_get(v, "$.score", "double"), F.lit(float(fallback))))

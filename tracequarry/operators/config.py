@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MISSING = object()
-SECRET = re.compile(r"api[_-]?key|token|secret|password|passcode", re.I)
+# fixed values: what names a secret setting
+SECRET = re.compile(r"(?:key|token|secret|password)", re.I)
 VARIABLE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::-([^}]*))?\}")
 
 
 def flatten(value: Any, prefix: str = "") -> dict[str, Any]:
-    """Nested mapping to dotted paths; an empty mapping inside is a value."""
-    if isinstance(value, dict) and (value or not prefix):
+    """Nested mapping to dotted paths; an empty mapping has none."""
+    if isinstance(value, dict):
         out: dict[str, Any] = {}
         for k, v in value.items():
             out |= flatten(v, f"{prefix}.{k}" if prefix else str(k))
@@ -24,9 +25,27 @@ def flatten(value: Any, prefix: str = "") -> dict[str, Any]:
     return {prefix: value}
 
 
+def canonical(value: Any, missing: Any = MISSING) -> str:
+    """JSON with sorted keys, without spaces, in which equal numbers are written alike."""
+
+    def plain(v: Any) -> Any:
+        if isinstance(v, dict):
+            return {str(k): plain(x) for k, x in v.items()}
+        if isinstance(v, (list, tuple)):
+            return [plain(x) for x in v]
+        return int(v) if isinstance(v, float) and v.is_integer() else v
+
+    return "" if value is missing else json.dumps(plain(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+
+def compact_json(value: Any) -> str:
+    """JSON without spaces, keys as they come."""
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
 def config_table(spark: SparkSession, value: dict) -> DataFrame:
     """(path, value) with values as JSON; a null value is the text null, a missing path has no row."""
-    rows = [(k, json.dumps(v, sort_keys=True, ensure_ascii=False)) for k, v in flatten(value).items()]
+    rows = [(k, canonical(v)) for k, v in flatten(value).items()]
     return spark.createDataFrame(rows, "path string, value string")
 
 
@@ -71,12 +90,12 @@ def expand(value: Any, variables: dict[str, str], passes: int = 8) -> Any:
 
 
 def redacted(value: Any, name: str = "") -> Any:
-    """Values under secret names hidden, at any depth."""
+    """Values under secret names hidden, whatever they are, at any depth."""
+    if SECRET.search(name):
+        return "<redacted>"
     if isinstance(value, dict):
         return {k: redacted(v, str(k)) for k, v in value.items()}
-    if isinstance(value, list):
-        return [redacted(v, name) for v in value]
-    return "[REDACTED]" if SECRET.search(name) and value not in (None, "") else value
+    return [redacted(v, name) for v in value] if isinstance(value, list) else value
 
 
 def resolve_profile(raw: dict, profile: str, variables: dict[str, str], folder: str = "") -> dict:
@@ -104,6 +123,19 @@ def resolve_profile(raw: dict, profile: str, variables: dict[str, str], folder:
     return {"profile": profile, "environment": environment, "arguments": arguments, "watcher": watcher}
 
 
+def read_yaml(path: str) -> dict:
+    """A configuration file; needs the optional package yaml."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading YAML needs the package yaml") from e
+    with open(path, encoding="utf-8") as f:
+        found = yaml.safe_load(f)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no mapping")
+    return found
+
+
 def role_table(spark: SparkSession, common: dict[str, str], overrides: dict[str, dict[str, str]]) -> DataFrame:
     """(dataset, role, prompt): common prompts per dataset, replaced by the dataset's own."""
     rows = [(d, role, own.get(role, text)) for d, own in overrides.items() for role, text in (common | own).items()]

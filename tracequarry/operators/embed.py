@@ -64,43 +64,76 @@ def encode_cached(cards: DataFrame, text: str, model: str, cache: DataFrame, enc
     return found.unionByName(fresh.select(*found.columns)).withColumn("embedding", unit("embedding"))
 
 
-def top_neighbours(vectors: DataFrame, key: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
-    """(key, neighbour, cosine, rn): the k most alike others of each vector, exactly.
+def cache_stats(encoded: DataFrame, model: str) -> DataFrame:
+    """One row: model, hits, misses and count of what ``encode_cached`` returned."""
+    hit = F.coalesce(F.sum(F.col("cached").cast("long")), F.lit(0))
+    return encoded.agg(F.lit(model).alias("model"), hit.alias("hits"), (F.count(F.lit(1)) - hit).alias("misses"), F.count(F.lit(1)).alias("count"))
+
+
+def packed(vectors: DataFrame, key: str, vector: str, blocks: int) -> DataFrame:
+    """(b, ids, data): the unit vectors of each block, ordered by id, as the bytes of one matrix of doubles."""
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        x = np.array(pdf["v"].tolist())
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        return pd.DataFrame({"b": [int(pdf["b"].iloc[0])], "ids": [pdf["id"].tolist()], "data": [x.tobytes()]})
+
+    dealt = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    return dealt.groupBy("b").applyInPandas(pack, f"b int, ids array<{kind}>, data binary")
+
 
-    Vectors are dealt into blocks and each pair of blocks is one matrix product; a pair of blocks
-    returns k rows per vector, so rows grow with the vectors and blocks, not with pairs of vectors.
+def nearest(vectors: DataFrame, others: DataFrame, key: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
+    """(key, neighbour, cosine, rn): the k of ``others`` most alike to each vector but itself, exactly.
+
+    Both sides are packed into one row a block, and each pair of blocks is one matrix product of which k
+    rows a vector come back. The work is that of all pairs; rows are pairs of blocks and k for each
+    vector and block.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    dealt = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn(
-        "b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    counts = [max(1, -(-x.count() // block)) for x in (vectors, others)]
+    left, right = (staged(packed(x, key, vector, n), "packed") for x, n in zip((vectors, others), counts, strict=True))
+    pairs = left.select("ids", "data", F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))).alias("b")).join(
+        right.select("b", F.col("ids").alias("other_ids"), F.col("data").alias("other_data")), "b"
     )
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = dealt.select("id", "v", F.col("b").alias("i"), F.explode(others).alias("j"))
-    right = dealt.select("id", "v", F.explode(others).alias("i"), F.col("b").alias("j"))
     kind = vectors.schema[key].dataType.simpleString()
 
-    def run(keys, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = ["id", "neighbour", "cosine"]
-        if not len(a) or not len(b):
-            return pd.DataFrame({c: [] for c in names}).astype({"id": "int64", "neighbour": "int64", "cosine": "float64"})
-        a, b = a.sort_values("id"), b.sort_values("id")
-        x, y = np.array(a["v"].tolist()), np.array(b["v"].tolist())
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
-        near = np.round(x @ y.T, 6)
-        ids, other = a["id"].to_numpy(), b["id"].to_numpy()
-        near[ids[:, None] == other[None, :]] = -np.inf
-        order = np.argsort(-near, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(a)), order.shape[1])
-        made = pd.DataFrame({"id": ids[rows], "neighbour": other[order.ravel()], "cosine": near[rows, order.ravel()]})
-        return made[np.isfinite(made["cosine"])]
-
-    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, f"id {kind}, neighbour {kind}, cosine double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                ids, other = np.array(r.ids), np.array(r.other_ids)
+                x, y = np.frombuffer(r.data).reshape(len(ids), -1), np.frombuffer(r.other_data).reshape(len(other), -1)
+                near = np.round(x @ y.T, 6)
+                near[ids[:, None] == other[None, :]] = -np.inf
+                order = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                rows = np.repeat(np.arange(len(ids)), order.shape[1])
+                made = pd.DataFrame({"id": ids[rows], "neighbour": other[order.ravel()], "cosine": near[rows, order.ravel()]})
+                yield made[np.isfinite(made["cosine"])]
+
+    met = pairs.repartition(max(1, min(counts[0] * counts[1], 10_000))).mapInPandas(run, f"id {kind}, neighbour {kind}, cosine double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
     return met.withColumn("rn", rank).where(F.col("rn") <= k).withColumnRenamed("id", key)
 
 
+def top_neighbours(vectors: DataFrame, key: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
+    """The k most alike others of each vector, exactly: ``nearest`` of the table to itself."""
+    return nearest(vectors, vectors, key, vector, k, block)
+
+
+def merged_by_centroid(vectors: DataFrame, key: str, group: str, vector: str, least: int = 4, threshold: float = 0.58) -> DataFrame:
+    """(key, group): groups of fewer than ``least`` vectors join the large group whose centroid is most alike.
+
+    A small group stays as it is where no large one reaches the threshold; of equally alike ones the least
+    is taken. Centroids meet in blocks.
+    """
+    middle = staged(centroids(vectors, group, vector), "centroids")
+    best = nearest(middle.where(F.col("n") < least), middle.where(F.col("n") >= least), group, "centroid", 1)
+    best = best.where(F.col("cosine") >= threshold).select(F.col(group).alias("__from"), F.col("neighbour").alias("__to"))
+    met = vectors.join(best, F.col(group) == F.col("__from"), "left")
+    return met.select(key, F.coalesce("__to", F.col(group)).alias(group))
+
+
 def mutual_edges(neighbours: DataFrame, key: str, threshold: float) -> DataFrame:
     """(a, b, cosine) with a < b: pairs that are among each other's nearest and alike enough."""
     n = neighbours.where(F.col("cosine") >= threshold).select(F.least(key, "neighbour").alias("a"), F.greatest(key, "neighbour").alias("b"), "cosine")

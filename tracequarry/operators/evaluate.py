@@ -38,6 +38,31 @@ def scenario_completion(results: DataFrame, scenario: list[str], success: Column
     )
 
 
+def scenario_completion_of(results: DataFrame, dataset: str, success: Column, *, only: str = "appworld") -> DataFrame:
+    """Scenario completion where every row is of the benchmark that has scenarios; else no row.
+
+    A scenario is the row's family, else its id without the last part.
+    """
+    family = F.coalesce(F.nullif(F.col("task_family"), F.lit("")), F.regexp_replace(F.col("task_id"), "_[^_]*$", ""))
+    foreign = F.sum((~F.coalesce(F.lower(dataset) == only, F.lit(False))).cast("long"))
+    mixed = results.agg(foreign.alias("foreign"), F.count(F.lit(1)).alias("rows")).where("foreign = 0 and rows > 0").select(F.lit(True).alias("__whole"))
+    made = scenario_completion(results.withColumn("__scenario", family), ["__scenario"], success)
+    return made.join(F.broadcast(mixed)).drop("__whole")
+
+
+def mode_sums(results: DataFrame, logs: DataFrame, success: Column, score: Column) -> DataFrame:
+    """Summary of each mode, beside the sums of accepted and committed edits over all bundle logs.
+
+    ``logs`` has a struct l2 with accepted_count and committed_count; missing ones count 0.
+    """
+    edits = logs.agg(
+        F.coalesce(F.sum("l2.accepted_count"), F.lit(0)).cast("long").alias("accepted_edits"),
+        F.coalesce(F.sum("l2.committed_count"), F.lit(0)).cast("long").alias("committed_edits"),
+    )
+    named = results.withColumn("mode", F.coalesce(F.col("mode").cast("string"), F.lit("")))
+    return summarise(named, success, score, ["mode"]).join(F.broadcast(edits))  # one row
+
+
 def low_reward_ids(results: DataFrame, task: str, reward: str, threshold: float = 1.0) -> DataFrame:
     """Rows with an id and a reward under the threshold; repeated rows stay."""
     return results.where(F.col(task).isNotNull() & (F.col(reward) < threshold)).select(F.col(task).cast("string").alias("task_id"))

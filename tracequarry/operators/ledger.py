@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracequarry.functions.text import strip
+from tracequarry.session import staged
 
 CLOSED = ("superseded", "removed", "validated")
 REOPENED = ("unresolved", "needs_correction")
@@ -22,12 +23,6 @@ def distinct_in_order(*lists: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.concat(*parts), lambda v: strip(v)), lambda v: F.coalesce(v, F.lit("")) != ""))
 
 
-def gathered(column: str, order: str = "ord") -> Column:
-    """Aggregate: all values of an array column, rows in order, each once and where first met."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order), F.coalesce(F.col(column), F.array().cast("array<string>")).alias("v"))))
-    return distinct_in_order(F.flatten(F.transform(rows, lambda r: r["v"])))
-
-
 def identity(op: str, target: str, content: str) -> list[Column]:
     """What makes two edits the same."""
     blank = F.lit("")
@@ -38,25 +33,65 @@ def identity(op: str, target: str, content: str) -> list[Column]:
     ]
 
 
+#: Lists of an edit that are united when edits are merged.
+UNITED = ("evidence_ids", "source_edit_ids", "failure_types", "patterns")
+
+
+def identity_hash(edits: DataFrame) -> DataFrame:
+    """``edits`` with k1 and k2, a 128-bit hash of what makes an edit the same; without an op each is its own."""
+    op, target, content = identity("op", "target", "content")
+    same = [op, target, content, F.when(F.coalesce(op, F.lit("")) == "", F.col("ord").cast("string"))]
+    return edits.withColumns({"k1": F.xxhash64(*same), "k2": F.xxhash64(F.lit(11), *same)})
+
+
 def coalesce_edits(edits: DataFrame) -> DataFrame:
-    """Equal edits as one: the first stays, ids are united, counts are the largest.
+    """Equal edits as one: the first stays, lists are united in the order first met, counts are the largest.
 
-    Needs ord, edit_id, op, target, content, evidence_ids, source_type, support_count, merge_level.
-    An edit without an op is never merged. Source types that differ give 'mixed'.
+    Needs ord, edit_id, op, target, content, evidence_ids, source_type, support_count, merge_level; may
+    have source_edit_ids, failure_types, patterns and candidate_id. An edit without an op is never
+    merged. Source types that differ give 'mixed'. Candidates of merged edits join source_edit_ids
+    after the sources. Lists are united by value before they are gathered, so a row grows with its
+    distinct values, not with the copies of its edit.
     """
-    keyed = edits.select("*", *identity("op", "target", "content")).withColumn("solo", F.when(F.col("key_op") == "", F.col("ord")))
-    rows = keyed.groupBy("key_op", "key_target", "key_content", "solo").agg(
+    keyed = identity_hash(edits)
+    lists = [c for c in UNITED if c in edits.columns]
+    has_candidate = "candidate_id" in edits.columns
+    rows = keyed.groupBy("k1", "k2").agg(
         F.min("ord").alias("ord"),
         F.min_by(F.struct("edit_id", "op", "target", "content"), "ord").alias("first"),
-        gathered("evidence_ids").alias("evidence_ids"),
         F.max("support_count").alias("support_count"),
         F.max("merge_level").alias("merge_level"),
         F.collect_set(F.nullif(strip(F.col("source_type")), F.lit(""))).alias("types"),
-        F.array_sort(F.collect_list(F.struct("ord", "edit_id"))).alias("from"),
+        F.count(F.lit(1)).alias("n"),
     )
+
+    def entry(name: str, after: int, at: Column, v: Column) -> Column:
+        return F.struct(F.lit(name).alias("list"), F.lit(after).alias("after"), at.alias("at"), v.alias("v"))
+
+    def entries(name: str) -> Column:
+        return F.transform(F.coalesce(F.col(name), F.array().cast("array<string>")), lambda v, i: entry(name, 0, i, v))
+
+    said = [*(entries(c) for c in lists), F.array(entry("merged_from", 0, F.lit(0), F.col("edit_id")))]
+    if has_candidate:
+        said.append(F.array(entry("source_edit_ids", 1, F.lit(0), F.col("candidate_id"))))
+    each = keyed.select("k1", "k2", "ord", F.explode(F.concat(*said)).alias("s")).select("k1", "k2", "s.list", strip(F.col("s.v")).alias("v"), F.struct("s.after", "ord", "s.at").alias("o"))
+    first = each.where(F.coalesce("v", F.lit("")) != "").groupBy("k1", "k2", "list", "v").agg(F.min("o").alias("o"))
+    ordered = F.array_sort(F.collect_list(F.struct("o", "v")))
+    found = [*dict.fromkeys([*lists, *(["source_edit_ids"] if has_candidate else []), "merged_from"])]
+    united = first.groupBy("k1", "k2").pivot("list", found).agg(ordered)
+    met = rows.join(united, ["k1", "k2"], "left")
+
+    def values(name: str) -> Column:
+        held = F.coalesce(F.col(name), F.array().cast(dict(united.dtypes)[name]))
+        if name == "source_edit_ids":  # an edit that met no other keeps its sources as they are
+            held = F.filter(held, lambda r: (F.col("n") > 1) | (r["o"]["after"] == 0))
+        return F.transform(held, lambda r: r["v"])
+
     kind = F.when(F.size("types") > 1, "mixed").otherwise(F.get("types", F.lit(0)))
-    merged = F.when(F.size("from") > 1, distinct_in_order(F.transform("from", lambda r: r["edit_id"])))
-    return rows.select("ord", "first.*", "evidence_ids", kind.alias("source_type"), "support_count", "merge_level", merged.alias("merged_from"))
+    return met.select(
+        "ord", "first.*", *(values(c).alias(c) for c in found if c != "merged_from"), kind.alias("source_type"), "support_count", "merge_level",
+        F.when(F.col("n") > 1, values("merged_from")).alias("merged_from"),
+    )
 
 
 def coalesce_ledger(records: DataFrame) -> DataFrame:
@@ -96,15 +131,18 @@ def ids_in_order(rows: DataFrame, ids: str, order: list[str]) -> DataFrame:
 def assign_ids(rows: DataFrame, id_col: str, prefix: str, start: int, order: str) -> DataFrame:
     """Ids like E000007 where missing, in order; those present stay and use up no number.
 
-    Numbers run over the whole input: ranks within blocks of the order, plus the blocks' offsets.
+    Numbers run over the whole input: ranks within ranges of the order, plus the ranges' offsets.
     """
     needs = (F.coalesce(F.col(id_col), F.lit("")) == "").cast("long")
-    rows = rows.withColumn("__needs", needs).withColumn("__block", F.floor(F.col(order) / 4096))
-    ahead = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("__block").agg(F.sum("__needs").alias("__n")).withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).drop("__n")
-    inside = F.sum("__needs").over(Window.partitionBy("__block").orderBy(order))
+    dealt = staged(
+        rows.withColumn("__needs", needs).repartitionByRange(order).withColumn("__block", F.spark_partition_id()), "assigned"
+    )
+    ahead = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    offsets = dealt.groupBy("__block").agg(F.sum("__needs").alias("__n")).withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).drop("__n")
+    inside = F.sum("__needs").over(Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     number = F.format_string(f"{prefix}%06d", F.col("__ahead") + inside + start - 1)
-    return rows.join(offsets, "__block").withColumn(id_col, F.when(F.col("__needs") == 1, number).otherwise(F.col(id_col))).drop("__needs", "__block", "__ahead")
+    met = dealt.join(F.broadcast(offsets), "__block")  # as many rows as partitions
+    return met.withColumn(id_col, F.when(F.col("__needs") == 1, number).otherwise(F.col(id_col))).drop("__needs", "__block", "__ahead")
 
 
 def pool_counts(cards: DataFrame) -> DataFrame:
@@ -128,6 +166,25 @@ def reactivate(cards: DataFrame, ids: DataFrame, id_col: str = "evidence_id") ->
     return out.withColumns({k: v for k, v in sets.items() if k in cards.columns}).drop("__id", "__hit")
 
 
+def archive(cards: DataFrame, ids: DataFrame, reason: str = "archived", id_col: str = "evidence_id") -> DataFrame:
+    """Cards with the named ones marked as archived; their reason is set where they had none."""
+    named = ids.select(F.col(id_col).alias("__id")).distinct()
+    hit = F.col("__id").isNotNull()
+    out = cards.join(named, F.col(id_col) == F.col("__id"), "left").withColumns(
+        {
+            "archived": F.when(hit, True).otherwise(F.coalesce("archived", F.lit(False))),
+            "archive_reason": F.when(hit, F.coalesce("archive_reason", F.lit(reason))).otherwise(F.col("archive_reason")),
+        }
+    )
+    return out.drop("__id")
+
+
+def recent(rows: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """The last rows in order, oldest first; none for n of 0 or less."""
+    last = rows.orderBy(*(F.desc(c) for c in order)).limit(max(0, n))
+    return last.orderBy(*order)
+
+
 def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(ids.select(key), key, "left_anti")
 

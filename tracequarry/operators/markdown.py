@@ -61,10 +61,20 @@ def apply_edit(doc: str, op: str | None, target: str | None, content: str | None
     return doc[:cut].rstrip("\n") + "\n\n" + content.strip() + "\n" + ("\n" + doc[cut:].lstrip("\n") if doc[cut:].strip() else ""), ""
 
 
-def fold_edits(documents: DataFrame, edits: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def apply_all(doc: str, edits: list[dict]) -> tuple[str, list[str]]:
+    """(document, reasons): all edits in order, or, if one can't be applied, the document as it was."""
+    now, reasons = doc, []
+    for e in edits:
+        now, reason = apply_edit(now, e.get("op"), e.get("target"), e.get("content"))
+        reasons.append(reason)
+    return (doc if any(reasons) else now), reasons
+
+
+def fold_edits(documents: DataFrame, edits: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """(key, text, applied, failed): each document with its edits applied in order; failures don't stop.
 
-    ``edits`` needs the key, ord, edit_id, op, target and content. Each document is folded by itself.
+    With ``whole`` one failure leaves the document as it was. ``edits`` needs the key, ord, edit_id, op,
+    target and content. Each document is folded by itself.
     """
     schema = f"{key} {documents.schema[key].dataType.simpleString()}, {text} string, applied array<string>, failed array<string>"
 
@@ -72,9 +82,12 @@ def fold_edits(documents: DataFrame, edits: DataFrame, key: str = "doc_id", text
         out = []
         for k, doc in zip(docs[key], docs[text], strict=True):
             doc, applied, failed = doc or "", [], []
+            given = doc
             for e in todo.sort_values(["ord", "edit_id"]).itertuples():
                 doc, reason = apply_edit(doc, e.op, e.target, e.content)
                 (failed if reason else applied).append(e.edit_id if not reason else f"{e.edit_id}:{reason}")
+            if whole and failed:
+                doc, applied = given, []
             out.append((k, doc, applied, failed))
         return pd.DataFrame(out, columns=[key, text, "applied", "failed"])
 

@@ -55,6 +55,24 @@ class RecordedEnvironment:
         return row.get("next_observation") or "", row.get("score_after"), self.at == len(self.steps), self.info()
 
 
+@dataclass
+class DocumentProvider:
+    """Gives one whole document to every task."""
+
+    text: str
+    document_id: str = "document"
+    version: int = 0
+
+    def retrieve(self, query: str = "", **_: Any) -> dict:
+        return {"document_ids": [self.document_id], "query": query}
+
+    def format_for_prompt(self, retrieved: dict) -> str:
+        return self.text if retrieved.get("document_ids") else ""
+
+    def retrieved_ids(self, retrieved: dict) -> list[str]:
+        return list(retrieved.get("document_ids") or [])
+
+
 class FirstActionAgent:
     """Takes the first admissible action: a deterministic stand-in for a model."""
 
@@ -72,6 +90,29 @@ def admissible(info: dict) -> list[str]:
     return []
 
 
+def meant_action(said: str, known: list[str]) -> str:
+    """The admissible action meant: the same, alike but for case and spaces, or the only one named; else what was said."""
+    said, known = said.strip(), [a.strip() for a in known if a.strip()]
+    plain = {" ".join(a.split()).lower(): a for a in reversed(known)}
+    named = [a for a in known if a.lower() in said.lower()]
+    if said in known or not known:
+        return said
+    return plain.get(" ".join(said.split()).lower()) or (named[0] if len(named) == 1 else said)
+
+
+def search_environment(env: Environment, wanted: str, most: int = 512) -> tuple[str, dict]:
+    """Reset until the environment offers the wanted instruction; an error after ``most`` resets."""
+
+    def plain(text: str) -> str:
+        return " ".join((text or "").lower().split()).removesuffix(".")
+
+    for _ in range(most):
+        seen, info = env.reset({})
+        if plain(info.get("instruction") or seen) == plain(wanted):
+            return seen, info
+    raise LookupError(f"no task {wanted!r} in {most} resets")
+
+
 @dataclass
 class Loop:
     """One task's loop: replay recorded actions, then let the agent go on."""
@@ -115,7 +156,7 @@ class Loop:
             context = {"observation": seen, "admissible_actions": known, "current_score": score, "max_steps": self.max_steps}
             said = self.agent.act(task.get("instruction") or "", context, document, self.trajectory[-self.history :] if self.history else [], number)
             action = said.get("action") or self.idle
-            go(number, said.get("thought") or "", action if not known or action in known else known[0])
+            go(number, said.get("thought") or "", meant_action(action, known))
         return {
             "success": bool(done and (score or 0) > 0), "score": float(score or 0), "steps": len(self.trajectory),
             "trajectory": self.trajectory, "prefix_actions": [s.get("action") or "" for s in prefix],
@@ -125,7 +166,8 @@ class Loop:
 def run_tasks(tasks: DataFrame, make_env: Callable[[dict], Environment], make_agent: Callable[[], Agent], *, document: str = "", partitions: int = 4, **loop: Any) -> DataFrame:
     """One result row per task; ``tasks`` needs task_id, and for replays replay, start_step and continue_steps.
 
-    Tasks are dealt round robin. A failing task gives a row with ok false and the error.
+    Tasks are dealt round robin over ``partitions``, the tasks in flight. A failing task gives a row
+    with ok false and the error.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,7 +5,7 @@ contract of each sampler holds (a permutation per epoch, balance, strata); the p
 those of a sequential random generator.
 
 Positions over a whole manifest come from ``positioned``, which ranks within ranges of the lot and
-adds the ranges' offsets, so no task sorts the whole table.
+adds the ranges' offsets, so no task sorts the whole table or a whole family.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES = 256
+from tracequarry.session import staged
 
 
 def lot(key: Column | str, seed: Column | int, epoch: Column | int = 0) -> Column:
@@ -25,18 +25,26 @@ def lot(key: Column | str, seed: Column | int, epoch: Column | int = 0) -> Colum
 
 
 def positioned(rows: DataFrame, lot_col: str, ties: list[str], out: str = "pos", by: list[str] | None = None) -> DataFrame:
-    """Position from 0 in the order of a hexadecimal lot, by two-level ranks."""
+    """Position from 0 in the order of a lot, within ``by`` where given, by two-level ranks.
+
+    Rows are dealt into as many ranges of (by, lot) as there are shuffle partitions, so that a group that
+    holds most rows spans many of them.
+    """
     by = by or []
-    coarse = rows.withColumn("__range", F.substring(lot_col, 1, 2))
+    dealt = staged(rows.repartitionByRange(*by, lot_col, *ties).withColumn("__range", F.spark_partition_id()), "lots")
     order = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        coarse.groupBy(*by, "__range")
+        dealt.groupBy(*by, "__range")
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__ahead", F.coalesce(F.sum("__n").over(order), F.lit(0)))
-        .drop("__n")
+        .select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__range").alias("__of"), "__ahead")
     )
+    same = F.col("__range") == F.col("__of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
     inside = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(lot_col, *ties))
-    return coarse.join(offsets, [*by, "__range"]).withColumn(out, (F.col("__ahead") + inside - 1).cast("long")).drop("__range", "__ahead")
+    ranked = dealt.withColumn("__inside", inside)
+    return ranked.join(offsets, same).withColumn(out, (F.col("__ahead") + F.col("__inside") - 1).cast("long")).drop("__range", "__ahead", "__of", "__inside", *(f"__{c}" for c in by))
 
 
 def shuffle_epoch_bundles(manifest: DataFrame, key: str, size: int, seed: int, epoch: int = 1) -> DataFrame:
@@ -49,16 +57,28 @@ def family_epoch_bundles(manifest: DataFrame, key: str, family: str, size: int,
     """Every task with its place in a family-balanced epoch: families in turn, each shuffled."""
     dealt = manifest.withColumn("lot", lot(key, seed, epoch)).withColumn("turn", lot(F.concat(F.lit("family:"), F.col(family)), seed, epoch))
     ranked = positioned(dealt, "lot", [key], "rn", [family])
-    # a task comes after all tasks of lower rank, and after families ahead of its own at its rank
-    sizes = manifest.groupBy(family).agg(F.count(F.lit(1)).alias("members")).withColumn("turn", lot(F.concat(F.lit("family:"), F.col(family)), seed, epoch))
-    table = sizes.agg(F.collect_list(F.struct("turn", "members")).alias("families"))  # one entry per family
-    ahead = F.aggregate(
-        "families",
-        F.lit(0).cast("long"),
-        lambda acc, f: acc + F.least(f["members"], F.col("rn")) + ((f["turn"] < F.col("turn")) & (f["members"] > F.col("rn"))).cast("long"),
+    # the families still in turn at a rank are those with more members: positions are prefix sums over ranks
+    ranks = ranked.groupBy("rn").agg(F.count(F.lit(1)).alias("width"))
+    return (
+        _after(ranked, ranks)
+        .withColumn("pos", F.col("ahead") + F.col("nth") - 1)
+        .drop("lot", "turn", "ahead", "nth", "width")
+        .withColumn("bundle", F.floor(F.col("pos") / size).cast("int"))
     )
-    placed = ranked.join(F.broadcast(table)).withColumn("pos", ahead)
-    return placed.drop("lot", "turn", "families").withColumn("bundle", F.floor(F.col("pos") / size).cast("int"))
+
+
+def _after(ranked: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Rows with the tasks of lower ranks (``ahead``) and their place by turn within their rank (``nth``)."""
+    placed = positioned(ranks.withColumn("key", F.format_string("%020d", "rn")), "key", [], "at")
+    block = F.floor(F.col("at") / 4096)
+    inside = Window.partitionBy("block").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for 4,096 ranks
+    blocked = placed.withColumn("block", block)
+    sums = blocked.groupBy("block").agg(F.sum("width").alias("w")).select(F.col("block").alias("of"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("base"))
+    ahead = blocked.withColumn("inside", F.coalesce(F.sum("width").over(inside), F.lit(0))).join(sums, F.col("block") == F.col("of"))
+    ahead = staged(ahead.select(F.col("rn").alias("__rn"), (F.col("base") + F.col("inside")).alias("ahead")), "ranks")
+    nth = F.row_number().over(Window.partitionBy("rn").orderBy("turn"))  # at most one task of each family
+    return ranked.withColumn("nth", nth).join(ahead, F.col("rn") == F.col("__rn")).drop("rn", "__rn")
 
 
 def bundle_mode(round_index: Column, frequency: int = 2) -> Column:
@@ -106,11 +126,25 @@ def mixed_bundle(manifest: DataFrame, key: str, family: str, variation: str, siz
 
 
 def stratified_split(manifest: DataFrame, key: str, stratum: str, scenario: str, per_stratum: int, seed: int) -> DataFrame:
-    """Per stratum ``per_stratum`` scenarios, each by one task; strata with too few keep what they have."""
+    """Per stratum ``per_stratum`` scenarios, each by one task; a stratum with too few fails the query."""
     dealt = manifest.withColumn("lot", lot(key, seed))
     one = dealt.groupBy(stratum, scenario).agg(F.min(F.struct("lot", *manifest.columns)).alias("t")).select("t.*", lot(F.col(f"t.{scenario}"), seed).alias("turn"))
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy("turn", "lot"))
-    return one.withColumn("rn", rank).where(F.col("rn") <= per_stratum).drop("lot", "turn", "rn")
+    by = Window.partitionBy(stratum)
+    rows = one.withColumns({"rn": F.row_number().over(by.orderBy("turn", "lot")), "held": F.count(F.lit(1)).over(by)})
+    short = F.concat(F.lit("too few scenarios in "), F.coalesce(F.col(stratum).cast("string"), F.lit("null")))
+    checked = F.when(F.col("held") < per_stratum, F.raise_error(short).cast(dict(manifest.dtypes)[key])).otherwise(F.col(key))
+    return rows.where(F.col("rn") <= per_stratum).withColumn(key, checked).drop("lot", "turn", "rn", "held")
+
+
+def looked_up(ids: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """The whole item of each id; an id without one keeps its key alone."""
+    return ids.join(items, key, "left")
+
+
+def bundle_counts(tasks: int, size: int, epochs: int) -> tuple[int, int]:
+    """(bundles of an epoch, bundles of all epochs)."""
+    each = -(-tasks // max(1, size))
+    return each, each * epochs
 
 
 def balanced_by_count(manifest: DataFrame, key: str, family: str, counts: DataFrame, count: str, size: int, seed: int) -> DataFrame:

@@ -132,6 +132,40 @@ def run_lengths(steps: DataFrame, key: str, order: str, action: str, limit: int
     )
 
 
+def segment_runs(segments: Column, limit: int = 12) -> Column:
+    """Actions of several segments (arrays of steps) in run-length form, one after the other.
+
+    Each segment is sorted by step, of equal steps the first first, cleaned of blank actions and cut at
+    ``limit``. Of several segments each is numbered from 1.
+    """
+
+    def runs(steps: Column) -> Column:
+        numbered = F.transform(steps, lambda s, i: F.struct(s["step"].alias("step"), i.alias("i"), X.squeeze(s["action"]).alias("action")))
+        actions = F.transform(F.filter(F.array_sort(numbered), lambda s: s["action"] != ""), lambda s: s["action"])
+        kept = F.slice(actions, 1, limit)
+        empty = F.array().cast("array<struct<a:string,n:int>>")
+
+        def add(acc: Column, a: Column) -> Column:
+            last = F.element_at(acc, -1)
+            again = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), (last["n"] + 1).alias("n"))))
+            new = F.concat(acc, F.array(F.struct(a.alias("a"), F.lit(1).alias("n"))))
+            return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["a"] == a), again).otherwise(new)
+
+        counted = F.aggregate(kept, empty, add)
+        said = F.transform(counted, lambda r: F.when(r["n"] > 1, F.concat(r["a"], F.lit(" x"), r["n"].cast("string"))).otherwise(r["a"]))
+        return F.array_join(F.when(F.size(actions) > limit, F.concat(said, F.array(F.lit("[truncated]")))).otherwise(said), " -> ")
+
+    several = F.size(segments) > 1
+    parts = F.transform(segments, lambda s, i: F.struct((i + 1).alias("i"), runs(s).alias("t")))
+    parts = F.filter(parts, lambda p: p["t"] != "")
+    return F.array_join(F.transform(parts, lambda p: F.when(several, F.concat(F.lit("segment "), p["i"].cast("string"), F.lit(": "), p["t"])).otherwise(p["t"])), "\n")
+
+
+def legacy_record(results: DataFrame) -> DataFrame:
+    """Canonical records under their former limits and name of the reward."""
+    return normal_record(results, limit=24, chars=1500).withColumnRenamed("final_reward", "observed_reward")
+
+
 def compact_text(steps: Column, limit: int = 3000, full: bool = False) -> Column:
     """A trajectory as lines of thought, observation, action and what came next, cut in the middle."""
 

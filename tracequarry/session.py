@@ -30,7 +30,8 @@ def get_session(master: str | None = None, **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, local mode) a temporary folder is made and set.
+    Only in local mode, where the driver is the one executor, a temporary folder may stand in for it; on
+    a cluster a folder of one machine would lose rows, so there a missing setting is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -38,6 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     folder = context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="tracequarry-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         context.setCheckpointDir("file://" + own)
