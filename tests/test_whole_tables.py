@@ -22,7 +22,7 @@ def of(spark, name):
 @needs_tables
 def test_every_customer_gets_a_window(spark):
     nation = {r["c_custkey"]: r["c_nationkey"] for r in of(spark, "customer").collect()}
-    got = registry.queries()["pack_windows_all"](spark, SF).collect()
+    got = registry.queries()["pack_windows"](spark, SF).collect()
     assert Counter(r["c_custkey"] for r in got) == Counter(list(nation))
     sizes, held = Counter(r["window"] for r in got), Counter(nation.values())
     assert max(sizes.values()) <= 20
@@ -49,14 +49,14 @@ def test_texts_with_apostrophes_are_redacted(spark, tmp_path):
     texts = ["it's plain", "it's password = 'x y' and token: \"z\"", 'my_secret="don\'t"', None, "", "otp = '1'\napi_key: '2' isn't", "can't: Bearer a.b-c"]
     schema = "doc_id long, text string"
     spark.createDataFrame(list(enumerate(texts)), schema).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["text_sha"] for r in registry.queries()["redact_text_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["text_sha"] for r in registry.queries()["redact_text"](spark, str(tmp_path)).collect()}
     assert got == {i: hashlib.sha256(redacted(t).encode()).hexdigest() for i, t in enumerate(texts)}
     assert redacted(texts[1]) == "it's password = '[REDACTED]' and token: \"[REDACTED]\""
 
 
 @needs_tables
 def test_every_document_is_redacted(spark):
-    got = registry.queries()["redact_text_all"](spark, SF).collect()
+    got = registry.queries()["redact_text"](spark, SF).collect()
     want = [(r["doc_id"], hashlib.sha256(redacted(r["text"]).encode()).hexdigest()) for r in of(spark, "documents").collect()]
     assert Counter(tuple(r) for r in got) == Counter(want)
 
@@ -64,7 +64,7 @@ def test_every_document_is_redacted(spark):
 @needs_tables
 def test_every_task_is_in_one_report(spark):
     category = {r["o_custkey"]: r["category"] for r in registry.queries()["longitudinal_pairs"](spark, SF).collect()}
-    reports = [r["report"] for r in registry.queries()["comparison_report_all"](spark, SF).collect()]
+    reports = [r["report"] for r in registry.queries()["comparison_report"](spark, SF).collect()]
     assert Counter(int(x) for r in reports for x in re.findall(r"#### Task (\d+):", r)) == Counter(list(category))
     heads = {"improved": "Improved", "regressed": "Regressed", "persistent_fail": "Persistent failures", "stable_success": "Stable successes"}
     for c, head in heads.items():
@@ -80,14 +80,14 @@ def test_one_report_for_each_group(spark):
 
 @needs_tables
 def test_every_order_gives_a_job(spark):
-    got = registry.queries()["comparison_jobs_all"](spark, SF).collect()
+    got = registry.queries()["comparison_jobs"](spark, SF).collect()
     known = {r["c_custkey"] for r in of(spark, "customer").collect()}
     want = Counter((f"M{r['o_custkey']:06d}", f"T{r['o_orderkey'] % 200}") for r in of(spark, "orders").collect() if r["o_custkey"] in known)
-    assert Counter({(r["edit_id"], r["task_id"]): r["n"] for r in got}) == want
+    assert Counter((r["edit_id"], r["task_id"]) for r in got) == want
 
 
 @needs_tables
 def test_every_shared_nation_is_found(spark):
-    got = registry.queries()["split_intersection_all"](spark, SF).collect()
+    got = registry.queries()["split_intersection"](spark, SF).collect()
     sides = [{r[c] for r in of(spark, t).collect()} for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"))]
     assert sorted(r["key"] for r in got) == sorted(sides[0] & sides[1])

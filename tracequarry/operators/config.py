@@ -6,7 +6,7 @@ import json
 import re
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MISSING = object()
@@ -123,6 +123,15 @@ def resolve_profile(raw: dict, profile: str, variables: dict[str, str], folder:
     return {"profile": profile, "environment": environment, "arguments": arguments, "watcher": watcher}
 
 
+# fixed values: path parts that stand for what is to be filled in
+PLACEHOLDER = r"(?i)(?:^|/)(?:path|your|replace[-_ ]?me)(?:/|$)"
+
+
+def is_placeholder(value: Column) -> Column:
+    """Whether a text value still holds a placeholder."""
+    return F.coalesce(F.regexp_like(value, F.lit(PLACEHOLDER)), F.lit(False))
+
+
 def read_yaml(path: str) -> dict:
     """A configuration file; needs the optional package yaml."""
     try:

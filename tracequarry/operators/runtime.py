@@ -13,7 +13,7 @@ from collections.abc import Iterable, Mapping
 from pathlib import Path
 from typing import Any
 
-from tracequarry.operators.config import canonical, flatten, redacted
+from tracequarry.operators.config import PLACEHOLDER, canonical, flatten, redacted
 from tracequarry.sources.records import save_json
 
 # fixed values: settings that every run has, with their defaults
@@ -51,8 +51,6 @@ FROM_PROCESS = {
 }
 # fixed values: files of an output folder that say nothing about a run
 IDLE_FILES = (".generate.lock", "llm_context_config.json", "watch.log", "launcher.log")
-# fixed values: path parts that stand for what is to be filled in
-PLACEHOLDER = re.compile(r"(?:^|/)(?:path|your|replace[-_ ]?me)(?:/|$)", re.I)
 ABSENT = ("", None)
 
 
@@ -139,7 +137,7 @@ def write_snapshot(folder: str, resolved: Any, command: Iterable[str]) -> None:
 
 def placeholders(arguments: Mapping[str, Any]) -> list[str]:
     """Names of the arguments that still hold a placeholder."""
-    return [name for name, value in arguments.items() if isinstance(value, str) and PLACEHOLDER.search(value)]
+    return [name for name, value in arguments.items() if isinstance(value, str) and re.search(PLACEHOLDER, value)]
 
 
 def check_placeholders(arguments: Mapping[str, Any], allow: bool = False) -> None:

@@ -78,7 +78,7 @@ def _after(ranked: DataFrame, ranks: DataFrame) -> DataFrame:
     ahead = blocked.withColumn("inside", F.coalesce(F.sum("width").over(inside), F.lit(0))).join(sums, F.col("block") == F.col("of"))
     ahead = staged(ahead.select(F.col("rn").alias("__rn"), (F.col("base") + F.col("inside")).alias("ahead")), "ranks")
     nth = F.row_number().over(Window.partitionBy("rn").orderBy("turn"))  # at most one task of each family
-    return ranked.withColumn("nth", nth).join(ahead, F.col("rn") == F.col("__rn")).drop("rn", "__rn")
+    return ranked.withColumn("nth", nth).join(ahead, F.col("rn") == F.col("__rn")).drop("__rn")
 
 
 def bundle_mode(round_index: Column, frequency: int = 2) -> Column:
@@ -125,14 +125,17 @@ def mixed_bundle(manifest: DataFrame, key: str, family: str, variation: str, siz
     return ranked.withColumn("pos", F.row_number().over(Window.orderBy("pos")) - 1)
 
 
-def stratified_split(manifest: DataFrame, key: str, stratum: str, scenario: str, per_stratum: int, seed: int) -> DataFrame:
-    """Per stratum ``per_stratum`` scenarios, each by one task; a stratum with too few fails the query."""
+def stratified_split(manifest: DataFrame, key: str, stratum: str, scenario: str, per_stratum: int, seed: int, *, strict: bool = True) -> DataFrame:
+    """Per stratum ``per_stratum`` scenarios, each by one task.
+
+    A stratum with too few fails the query, or, if not ``strict``, keeps what it has.
+    """
     dealt = manifest.withColumn("lot", lot(key, seed))
     one = dealt.groupBy(stratum, scenario).agg(F.min(F.struct("lot", *manifest.columns)).alias("t")).select("t.*", lot(F.col(f"t.{scenario}"), seed).alias("turn"))
     by = Window.partitionBy(stratum)
     rows = one.withColumns({"rn": F.row_number().over(by.orderBy("turn", "lot")), "held": F.count(F.lit(1)).over(by)})
     short = F.concat(F.lit("too few scenarios in "), F.coalesce(F.col(stratum).cast("string"), F.lit("null")))
-    checked = F.when(F.col("held") < per_stratum, F.raise_error(short).cast(dict(manifest.dtypes)[key])).otherwise(F.col(key))
+    checked = F.when((F.col("held") < per_stratum) & F.lit(strict), F.raise_error(short).cast(dict(manifest.dtypes)[key])).otherwise(F.col(key))
     return rows.where(F.col("rn") <= per_stratum).withColumn(key, checked).drop("lot", "turn", "rn", "held")
 
 

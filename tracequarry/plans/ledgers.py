@@ -147,37 +147,20 @@ def evidence_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("evidence_id", F.col("attempts").cast("long").alias("attempts"), F.col("rejects").cast("long").alias("rejects"), "l2_status")
 
 
-def jobs_of(spark: SparkSession, sf_dir: str, customers: DataFrame) -> DataFrame:
-    """Replay jobs of one edit for each of the customers."""
+@P.query("""
+WITH r AS (SELECT o_custkey, 'T' || (o_orderkey % 200) AS task_id, o_orderkey % 5 AS start, o_orderkey % 5 + 3 AS "end", count(*) OVER (PARTITION BY o_custkey) AS support,
+  CASE WHEN (o_orderkey % 200) % 2 = 0 THEN 'even' ELSE '' END AS task_family FROM orders)
+SELECT printf('M%06d', c_custkey) AS edit_id, task_id, task_family, CAST(c_custkey AS VARCHAR) AS evidence_id, start, "end", support AS support_count,
+  CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY task_family, task_id, start) AS INTEGER) AS rn FROM customer JOIN r ON o_custkey = c_custkey""")
+def comparison_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replay jobs of all customers' edits, ranked for each edit."""
     task = F.concat(F.lit("T"), (F.col("o_orderkey") % 200).cast("string"))
     span = F.struct(task.alias("task_id"), (F.col("o_orderkey") % 5).alias("start"), (F.col("o_orderkey") % 5 + 3).alias("end"))
     known = F.when(F.col("o_orderkey") % 2 == 0, F.struct(task.alias("task_id"), F.lit("even").alias("task_family")))
     evidence = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("evidence_id")).agg(
-        F.count(F.lit(1)).alias("support_count"), F.collect_list(span).alias("trigger_ranges"), F.collect_list(known).alias("supporting_tasks")
+        F.count(F.lit(1)).alias("support_count"), F.array_sort(F.collect_list(span)).alias("trigger_ranges"), F.collect_list(known).alias("supporting_tasks")
     )
-    made = customers.select(
+    made = table(spark, sf_dir, "customer").select(
         F.format_string("M%06d", "c_custkey").alias("edit_id"), F.array(F.col("c_custkey").cast("string")).alias("evidence_ids")
     )
-    jobs = ledger.comparison_jobs(made, evidence)
-    return jobs.groupBy("edit_id", "task_id", "task_family", "support_count").agg(F.count(F.lit(1)).alias("n"))
-
-
-@P.query("""
-WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS evidence_id, count(*) AS support FROM orders GROUP BY 1),
-r AS (SELECT CAST(o_custkey AS VARCHAR) AS evidence_id, 'T' || (o_orderkey % 200) AS task_id, o_orderkey % 5 AS s FROM orders),
-e AS (SELECT printf('M%06d', c_custkey) AS edit_id, CAST(c_custkey AS VARCHAR) AS evidence_id, c_mktsegment FROM customer WHERE c_custkey % 3 = 0)
-SELECT e.edit_id, r.task_id, coalesce(CASE WHEN CAST(substr(r.task_id, 2) AS INTEGER) % 2 = 0 THEN 'even' END, '') AS task_family, c.support AS support_count, count(*) AS n
-FROM e JOIN c ON c.evidence_id = e.evidence_id JOIN r ON r.evidence_id = e.evidence_id GROUP BY 1, 2, 3, 4""")
-def comparison_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs_of(spark, sf_dir, table(spark, sf_dir, "customer").where("c_custkey % 3 = 0"))
-
-
-@P.query("""
-WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS evidence_id, count(*) AS support FROM orders GROUP BY 1),
-r AS (SELECT CAST(o_custkey AS VARCHAR) AS evidence_id, 'T' || (o_orderkey % 200) AS task_id, o_orderkey % 5 AS s FROM orders),
-e AS (SELECT printf('M%06d', c_custkey) AS edit_id, CAST(c_custkey AS VARCHAR) AS evidence_id, c_mktsegment FROM customer)
-SELECT e.edit_id, r.task_id, coalesce(CASE WHEN CAST(substr(r.task_id, 2) AS INTEGER) % 2 = 0 THEN 'even' END, '') AS task_family, c.support AS support_count, count(*) AS n
-FROM e JOIN c ON c.evidence_id = e.evidence_id JOIN r ON r.evidence_id = e.evidence_id GROUP BY 1, 2, 3, 4""")
-def comparison_jobs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replay jobs of all customers' edits."""
-    return jobs_of(spark, sf_dir, table(spark, sf_dir, "customer"))
+    return ledger.comparison_jobs(made, evidence)

@@ -68,7 +68,8 @@ def running_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def epoch(rows: DataFrame, year: int) -> DataFrame:
     fields = {"success": good(), "score": score(), "steps": (F.col("o_orderkey") % 50).cast("int")}
-    return compare.last_wins(rows.where(F.year("o_orderdate") == year), "o_custkey", ["o_orderdate", "o_orderkey"], fields)
+    within = (F.col("o_orderdate") >= F.lit(f"{year}-01-01").cast("timestamp")) & (F.col("o_orderdate") < F.lit(f"{year + 1}-01-01").cast("timestamp"))  # reaches the scan
+    return compare.last_wins(rows.where(within), "o_custkey", ["o_orderdate", "o_orderkey"], fields)
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,25 +107,6 @@ def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.category_counts(pairs(spark, sf_dir))
 
 
-@P.query(PAIRS_SQL + """, e AS (
-  SELECT category, o_custkey, chr(10) || '#### Task ' || o_custkey || ': Customer' || chr(10) || 'Task family: ' || task_family || chr(10) || '- Previous epoch: '
-    || CASE WHEN prev_success THEN 'PASS' ELSE 'FAIL' END || printf(' (score=%.2f, steps=%d)', prev_score, prev_steps) || chr(10) || '- Current epoch: '
-    || CASE WHEN curr_success THEN 'PASS' ELSE 'FAIL' END || printf(' (score=%.2f, steps=%d)', curr_score, curr_steps) AS t FROM pairs WHERE o_custkey <= 40
-), s AS (
-  SELECT o, title, string_agg(t, chr(10) ORDER BY o_custkey) AS body, count(t) AS n FROM (VALUES (1, 'regressed', 'Regressions (success -> fail) - HIGHEST PRIORITY'),
-    (2, 'persistent_fail', 'Persistent Failures (fail -> fail)'), (3, 'improved', 'Improvements (fail -> success)'), (4, 'stable_success', 'Stable Successes (success -> success)')) d(o, c, title)
-  LEFT JOIN e ON e.category = c GROUP BY 1, 2
-)
-SELECT '## Longitudinal Comparison Summary' || chr(10) || 'Total samples: ' || sum(n) || chr(10) || '- Improved (fail -> success): ' || max(n) FILTER (o = 3) || chr(10)
-  || '- Regressed (success -> fail): ' || max(n) FILTER (o = 1) || chr(10) || '- Persistent failures (fail -> fail): ' || max(n) FILTER (o = 2) || chr(10)
-  || '- Stable successes (success -> success): ' || max(n) FILTER (o = 4) || chr(10) || chr(10) || chr(10)
-  || string_agg('### ' || title || chr(10) || coalesce(body, '(none)' || chr(10)), chr(10) || chr(10) ORDER BY o) AS report FROM s""")
-def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of a small cohort: a report is one text, read whole."""
-    cohort = pairs(spark, sf_dir).where("o_custkey <= 40").withColumns({"id": F.col("o_custkey"), "task": F.lit("Customer")})
-    return compare.comparison_text(cohort, "o_custkey")
-
-
 @P.query(PAIRS_SQL + """, e AS (
   SELECT o_custkey // 1000 AS part, category, o_custkey, chr(10) || '#### Task ' || o_custkey || ': Customer' || chr(10) || 'Task family: ' || task_family || chr(10) || '- Previous epoch: '
     || CASE WHEN prev_success THEN 'PASS' ELSE 'FAIL' END || printf(' (score=%.2f, steps=%d)', prev_score, prev_steps) || chr(10) || '- Current epoch: '
@@ -139,7 +121,7 @@ SELECT part, '## Longitudinal Comparison Summary' || chr(10) || 'Total samples:
   || '- Regressed (success -> fail): ' || max(n) FILTER (o = 1) || chr(10) || '- Persistent failures (fail -> fail): ' || max(n) FILTER (o = 2) || chr(10)
   || '- Stable successes (success -> success): ' || max(n) FILTER (o = 4) || chr(10) || chr(10) || chr(10)
   || string_agg('### ' || title || chr(10) || coalesce(body, '(none)' || chr(10)), chr(10) || chr(10) ORDER BY o) AS report FROM s GROUP BY part""")
-def comparison_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tasks, in one report for each thousand of customer numbers, so that no text grows with the table."""
     rows = pairs(spark, sf_dir).withColumns({"part": F.floor(F.col("o_custkey") / 1000), "id": F.col("o_custkey"), "task": F.lit("Customer")})
     return compare.comparison_text(rows, "o_custkey", ["part"])

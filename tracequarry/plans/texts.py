@@ -14,13 +14,23 @@ from tracequarry.sources import records
 P = Plans()
 
 
-@P.query("""
-SELECT p_partkey, CASE WHEN k IN ('clean', 'heat', 'cool', 'examine') THEN k WHEN k = 'pick_two' THEN 'pick_two_obj_and_place' END AS task_type FROM (
-  SELECT p_partkey, ['clean', 'pick_two', 'heat', 'cool', 'examine', 'none'][p_partkey % 6 + 1] AS k FROM part)""")
+SPELLINGS = [*X.TASK_TYPES, "none", ""]
+
+
+def sql_text(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+@P.query(
+    f"""WITH t(i, v) AS (VALUES {", ".join(f"({i}, {sql_text(X.TASK_TYPES.get(k))})" for i, k in enumerate(SPELLINGS))})
+SELECT p_partkey, p_size, v AS task_type FROM part JOIN t ON t.i = p_partkey % {len(SPELLINGS)}"""
+)
 def family_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.array(*(F.lit(x) for x in (" Clean ", "pick-two", "HEAT", "cool!", "Examine", "none")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.get(said, (F.col("p_partkey") % 6).cast("int")).alias("said"))
-    return rows.select("p_partkey", X.task_type("said").alias("task_type"))
+    """Every known spelling, in changing case, with spaces or dashes, and unknown ones."""
+    said = F.get(F.array(*(F.lit(x) for x in SPELLINGS)), (F.col("p_partkey") % len(SPELLINGS)).cast("int"))
+    n = F.col("p_size") % 4
+    said = F.when(n == 0, F.upper(said)).when(n == 1, F.replace(said, F.lit("_"), F.lit("-"))).when(n == 2, F.concat(F.lit("  "), F.initcap(said), F.lit(" !"))).otherwise(said)
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", X.task_type(said).alias("task_type"))
 
 
 @P.query("""
@@ -47,16 +57,14 @@ def html_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.error_summary("html", 60).alias("summary"))
 
 
-@P.query(r"""
-SELECT doc_id, sha256(regexp_replace(text, '(?i)(\b(?:[a-z0-9_]*(?:password|passcode|token|secret|otp|verification_code|api_key|cvv|card_number)[a-z0-9_]*)\b\s*(?::|=)\s*)"([^"\n]*)"', '\1"[REDACTED]"', 'g')) AS text_sha
-FROM documents WHERE text NOT LIKE '%''%'""")
-def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(~F.col("text").contains("'"))
-    return rows.select("doc_id", F.sha2(X.redact("text"), 256).alias("text_sha"))
+ASSIGNED = r"(?i)(\b(?:[a-z0-9_]*(?:password|passcode|token|secret|otp|verification_code|api_key|cvv|card_number)[a-z0-9_]*)\b\s*(?::|=)\s*)"
 
 
-@P.query()
-def redact_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@P.query(rf"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{ASSIGNED}"([^"\n]*)"', '\1"[REDACTED]"', 'g') AS t FROM documents),
+s AS (SELECT doc_id, regexp_replace(t, '{ASSIGNED}\x27([^\x27\n]*)\x27', '\1' || chr(39) || '[REDACTED]' || chr(39), 'g') AS t FROM d)
+SELECT doc_id, sha256(regexp_replace(t, '(?i)\bBearer\s+[A-Za-z0-9._~+/=\-]+', 'Bearer [REDACTED]', 'g')) AS text_sha FROM s""")
+def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with both kinds of quotes; a null text counts as empty."""
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.redact("text"), 256).alias("text_sha"))
 
@@ -68,13 +76,13 @@ def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @P.query("""
-SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, upper(role) AS role, length(trim(text, ' ' || chr(10))) AS n FROM conversations WHERE role <> 'system'""")
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, upper(role) AS role, sha256(trim(text, ' ' || chr(10))) AS sha FROM conversations WHERE role <> 'system'""")
 def transcript_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.upper("role"), F.lit(":\n"), F.col("text"))
-    rows = table(spark, sf_dir, "conversations").where("role <> 'system'")
+    rows = table(spark, sf_dir, "conversations")  # what comes before the first mark belongs to no turn
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
     texts = whole.select("conv_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("raw"))
-    return records.parse_transcript(texts, "conv_id", "raw").select("conv_id", "pos", F.upper("role").alias("role"), F.char_length("content").cast("long").alias("n"))
+    return records.parse_transcript(texts, "conv_id", "raw").select("conv_id", "pos", F.upper("role").alias("role"), F.sha2("content", 256).alias("sha"))
 
 
 @P.query("""
@@ -87,9 +95,17 @@ def config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config.differences(want, rows.where("p_partkey % 11 <> 0").select("path", value.alias("value")))
 
 
-@P.query("SELECT conv_id, turn, role AS action FROM conversations")
+@P.query(r"""
+SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN role WHEN 1 THEN regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') WHEN 2 THEN 'first' ELSE '' END AS action FROM conversations""")
 def tagged_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("<think>x</think> <Action>\n "), F.col("role"), F.lit(" </ACTION> tail"))
+    """Tags in any case, over several lines, twice, and without an end."""
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    raw = (
+        F.when(kind == 0, F.concat(F.lit("<think>x</think> <Action>\n "), F.col("role"), F.lit(" </ACTION> tail")))
+        .when(kind == 1, F.concat(F.lit("<action>"), F.col("text"), F.lit("\n</action>")))
+        .when(kind == 2, F.concat(F.lit("<action>first</action><action>"), F.col("role"), F.lit("</action>")))
+        .otherwise(F.concat(F.lit("<action>"), F.col("role")))
+    )
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.tagged(raw, "action").alias("action"))
 
 
@@ -108,15 +124,26 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @P.query("""
-SELECT doc_id, lang AS region, length(rtrim(text)) + length(chr(10) || chr(10) || '<!-- LONGITUDINAL_MEMORY_START -->' || chr(10) || lang || chr(10) || '<!-- LONGITUDINAL_MEMORY_END -->' || chr(10)) AS n FROM documents""")
+SELECT doc_id, lang AS region, sha256(rtrim(text) || chr(10) || chr(10) || '<!-- LONGITUDINAL_MEMORY_START -->' || chr(10) || lang || chr(10) || '<!-- LONGITUDINAL_MEMORY_END -->' || chr(10)) AS sha FROM documents""")
 def protected_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", X.with_region("text", "lang").alias("doc"))
-    return rows.select("doc_id", X.region("doc").alias("region"), F.char_length("doc").cast("long").alias("n"))
+    return rows.select("doc_id", X.region("doc").alias("region"), F.sha2("doc", 256).alias("sha"))
 
 
-@P.query("""
-SELECT event_id, event_type = 'error' OR event_id % 3 = 0 AS transient, event_id % 200 + 400 IN (408, 409, 429) OR event_id % 200 + 400 >= 500 AS retryable FROM events""")
+SAID = [*scalar.TRANSIENT, *scalar.RETRY_TEXT, "bad request", "not found", ""]
+
+
+def says(phrases: tuple[str, ...], text: str) -> bool:
+    return any(p in text for p in phrases)
+
+
+@P.query(
+    f"""WITH t(i, transient, said) AS (VALUES {", ".join(f"({i}, {says(scalar.TRANSIENT, x)}, {says(scalar.RETRY_TEXT, x)})" for i, x in enumerate(SAID))})
+SELECT event_id, transient, event_id % 200 + 400 IN (408, 409, 429) OR event_id % 200 + 400 BETWEEN 500 AND 599 OR said AS retryable FROM events JOIN t ON t.i = event_id % {len(SAID)}"""
+)
 def transport_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.when(F.col("event_type") == "error", "HTTP 503 upstream").when(F.col("event_id") % 3 == 0, "Read timed out").otherwise("bad request")
-    rows = table(spark, sf_dir, "events").select("event_id", "event_type", said.alias("said"), (F.col("event_id") % 200 + 400).alias("status"))
-    return rows.select("event_id", scalar.transient_error("said").alias("transient"), scalar.retryable("status", F.lit("")).alias("retryable"))
+    """Every known phrase, in upper case inside a sentence, and some that say nothing."""
+    said = F.get(F.array(*(F.lit(x) for x in SAID)), (F.col("event_id") % len(SAID)).cast("int"))
+    said = F.concat(F.lit("Error: "), F.upper(said), F.lit(" (try again)"))
+    rows = table(spark, sf_dir, "events").select("event_id", said.alias("said"), (F.col("event_id") % 200 + 400).alias("status"))
+    return rows.select("event_id", scalar.transient_error("said").alias("transient"), scalar.retryable("status", "said").alias("retryable"))

@@ -41,10 +41,11 @@ def semantic_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @P.query("""
 WITH e AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(0, 64)) AS dim FROM embeddings), c AS (SELECT label, dim, avg(x) AS x, count(*) AS n FROM e GROUP BY 1, 2)
-SELECT label, max(n) AS n, round(max(x / l), 5) AS top FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY label)) AS l FROM c) GROUP BY 1""")
+SELECT label, n, CAST(dim AS INTEGER) AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 5) AS x FROM c""")
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each label and dimension."""
     made = embed.centroids(table(spark, sf_dir, "embeddings"), "label", "embedding")
-    return made.select("label", "n", F.round(F.array_max("centroid"), 5).alias("top"))
+    return made.select("label", "n", F.posexplode("centroid").alias("dim", "x")).withColumn("x", F.round("x", 5))
 
 
 @P.query("SELECT doc_id, 'm:' || sha256(text) AS cache_key FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0)")
@@ -54,22 +55,35 @@ def embedding_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.cache_split(docs, F.col("text"), "m", embed.latest_cache(old, "doc_id"))[1].select("doc_id", "cache_key")
 
 
-@P.query("SELECT doc_id, text IN (SELECT text FROM documents WHERE doc_id % 3 = 0) AS cached FROM documents")
+ENCODED_SQL = """
+WITH old AS (SELECT text, CAST(arg_max(n_chars, doc_id) AS DOUBLE) AS v FROM documents WHERE doc_id % 3 = 0 GROUP BY 1),
+e AS (SELECT d.doc_id, o.text IS NOT NULL AS cached, CASE WHEN o.text IS NOT NULL THEN [3 * o.v, 4 * o.v] ELSE [CAST(length(d.text) AS DOUBLE), CAST(len(string_split(d.text, ' ')) AS DOUBLE)] END AS v
+  FROM documents d LEFT JOIN old o ON o.text = d.text)
+"""
+
+
+def counts(texts: list[str]) -> list[list[float]]:
+    """An encoder of two counts: characters and words."""
+    return [[float(len(t)), float(len(t.split(" ")))] for t in texts]
+
+
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with vectors from a cache that has every third, else from the encoder of counts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    n = F.col("n_chars").cast("double")
+    old = docs.where("doc_id % 3 = 0").select(embed.cache_key(F.lit("m"), F.col("text")).alias("cache_key"), F.array(3 * n, 4 * n).alias("embedding"), "doc_id")
+    return embed.encode_cached(docs.select("doc_id", "text"), "text", "m", embed.latest_cache(old, "doc_id"), counts)
+
+
+@P.query(ENCODED_SQL + "SELECT doc_id, cached, round(v[1] / sqrt(v[1] * v[1] + v[2] * v[2]), 6) AS x, round(v[2] / sqrt(v[1] * v[1] + v[2] * v[2]), 6) AS y FROM e")
 def encode_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    old = docs.where("doc_id % 3 = 0").select(embed.cache_key(F.lit("m"), F.col("text")).alias("cache_key"), F.array(F.lit(1.0)).alias("embedding"), "doc_id")
-    return embed.encode_cached(docs, "text", "m", embed.latest_cache(old, "doc_id")).select("doc_id", "cached")
+    e = F.col("embedding")
+    return encoded(spark, sf_dir).select("doc_id", "cached", F.round(e[0], 6).alias("x"), F.round(e[1], 6).alias("y"))
 
 
-@P.query("""
-WITH s AS (SELECT c_custkey, c_nationkey AS g, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer WHERE c_custkey % 29 = 0),
-h AS (SELECT *, CASE WHEN n < 4 THEN 'small' ELSE 'g' || g END AS home FROM s),
-p AS (SELECT *, count(*) OVER (PARTITION BY home) AS size, row_number() OVER (PARTITION BY home ORDER BY g, c_custkey) - 1 AS spot FROM h)
-SELECT c_custkey, home || ':' || CAST(floor(spot * ceil(size / 20) / size) AS BIGINT) AS "window" FROM p""")
-def pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows over a thin slice of customers, so that groups under the floor occur."""
-    rows = table(spark, sf_dir, "customer").where("c_custkey % 29 = 0").select("c_custkey", "c_nationkey")
-    return embed.pack_windows(rows, "c_custkey", "c_nationkey")
+@P.query(ENCODED_SQL + "SELECT 'm' AS model, CAST(sum(CAST(cached AS INTEGER)) AS BIGINT) AS hits, CAST(sum(1 - CAST(cached AS INTEGER)) AS BIGINT) AS misses, count(*) AS count FROM e")
+def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.cache_stats(encoded(spark, sf_dir), "m")
 
 
 @P.query("""
@@ -77,6 +91,6 @@ WITH s AS (SELECT c_custkey, c_nationkey AS g, count(*) OVER (PARTITION BY c_nat
 h AS (SELECT *, CASE WHEN n < 4 THEN 'small' ELSE 'g' || g END AS home FROM s),
 p AS (SELECT *, count(*) OVER (PARTITION BY home) AS size, row_number() OVER (PARTITION BY home ORDER BY g, c_custkey) - 1 AS spot FROM h)
 SELECT c_custkey, home || ':' || CAST(floor(spot * ceil(size / 20) / size) AS BIGINT) AS "window" FROM p""")
-def pack_windows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over all customers."""
     return embed.pack_windows(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey")

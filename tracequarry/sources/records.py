@@ -62,12 +62,18 @@ def read_quarantined(spark: SparkSession, path: str, schema: T.StructType) -> tu
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Embedding cache lines (cache_key, embedding, ord); broken ones are skipped. No file, no rows."""
-    schema = struct("cache_key string, model string, text_hash string").add("embedding", T.ArrayType(T.DoubleType())).add("ord", T.LongType())
+    """Embedding cache lines (cache_key, embedding, ord); broken ones are skipped. No file, no rows.
+
+    ``ord`` is the place of a line: its file by name, then its place there.
+    """
+    place = T.StructType([T.StructField("file", T.StringType()), T.StructField("start", T.LongType()), T.StructField("n", T.LongType())])
+    schema = struct("cache_key string, model string, text_hash string").add("embedding", T.ArrayType(T.DoubleType())).add("ord", place)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], schema)
-    rows = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).withColumn("v", F.try_parse_json("value"))
+    # a block of a file is read in order by one task, whose ids only grow
+    spot = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    rows = spark.read.text(path).select("value", spot.alias("ord"), F.try_parse_json("value").alias("v"))
 
     def text(name: str) -> Column:
         return F.try_variant_get("v", f"$.{name}", "string").alias(name)
@@ -132,11 +138,13 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 
 def write_splits(manifest: DataFrame, path: str, split: str = "split") -> DataFrame:
-    """Manifests by split, and a summary with counts and fingerprints."""
+    """Manifests by split below ``manifests``, and beside them a summary with counts and fingerprints, which is returned."""
     from tracequarry.operators.audit import fingerprint
 
-    manifest.write.mode("overwrite").partitionBy(split).parquet(path)
-    return fingerprint(manifest, F.col("task_id").cast("string"), ["ord"], [split])
+    manifest.write.mode("overwrite").partitionBy(split).parquet(f"{path}/manifests")
+    summary = fingerprint(manifest, F.col("task_id").cast("string"), ["ord"], [split])
+    summary.write.mode("overwrite").json(f"{path}/split_manifest")  # a row for each split
+    return manifest.sparkSession.read.schema(summary.schema).json(f"{path}/split_manifest")
 
 
 def save_json(value: Any, path: str) -> None:
