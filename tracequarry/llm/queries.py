@@ -236,6 +236,55 @@ FROM caps c LEFT JOIN hits h ON h.rn = 1 AND c.page_id IS NOT DISTINCT FROM h.pa
 """
 )
 
+OP7_SQL = r"""
+WITH items AS (
+  SELECT min(item_id) AS item_id, count(*) AS n_items, ws, least(5, len(ws)) AS k, len(ws) - least(5, len(ws)) + 1 AS n
+  FROM (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS ws FROM benchmark) WHERE ws[1] <> '' GROUP BY ws
+), item_grams AS (
+  SELECT item_id, n_items, k, n, s, count(*) AS weight FROM (
+    SELECT item_id, n_items, k, n, unnest(list_transform(range(1, n + 1), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS s FROM items) GROUP BY ALL
+), docs AS (
+  SELECT DISTINCT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS ws FROM documents
+), grams AS (
+  SELECT doc_id, k, len(ws) - k + 1 AS total, unnest(range(0, len(ws) - k + 1)) AS pos, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS s
+  FROM docs CROSS JOIN (SELECT DISTINCT k FROM items) WHERE len(ws) >= k
+), starts AS (
+  SELECT g.doc_id, g.k, g.total, g.pos, i.item_id, i.n_items, i.n FROM grams g JOIN item_grams i ON i.k = g.k AND i.s = g.s
+), counted AS (
+  SELECT a.doc_id, a.item_id, a.n_items, a.n, a.pos, least(a.n, a.total - a.pos) AS size, a.k, g.s, count(*) AS held
+  FROM starts a JOIN grams g ON g.doc_id IS NOT DISTINCT FROM a.doc_id AND g.k = a.k AND g.pos BETWEEN a.pos AND a.pos + a.n - 1 GROUP BY ALL
+), shared AS (
+  SELECT c.doc_id, c.item_id, c.n_items, c.n, c.pos, c.size, sum(least(c.held, i.weight)) AS common
+  FROM counted c JOIN item_grams i ON i.item_id = c.item_id AND i.s = c.s GROUP BY ALL
+), scored AS (
+  SELECT *, common / (size + n - common) AS similarity FROM shared WHERE common / (size + n - common) >= 0.8
+)
+SELECT doc_id, item_id, n_items, CAST(min(pos) AS BIGINT) AS start_word, round(any_value(similarity), 6) AS similarity FROM (
+  SELECT *, max(similarity) OVER (PARTITION BY doc_id, item_id) AS top FROM scored) WHERE similarity = top GROUP BY doc_id, item_id, n_items
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY 1
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON y.s = x.s AND y.doc_id <> x.doc_id GROUP BY 1, 2)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9
+), reach(node, root) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node
+), classes AS (
+  SELECT node, min(root) AS class_id FROM reach GROUP BY 1
+), counted AS (
+  SELECT a, count(*) AS n FROM links GROUP BY 1
+)
+SELECT d.doc_id, c.class_id, coalesce(l.n, 0) AS n_links, c.class_id = d.doc_id AS keep
+FROM documents d JOIN classes c ON c.node = d.doc_id LEFT JOIN counted l ON l.a = d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_html_text": op2_html_text,
@@ -252,5 +301,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
     "op5_source_mix": OP5_SQL,
+    "op7_decontam": OP7_SQL,
+    "op9_near_dups": OP9_SQL,
     "op10_url_lists": OP10_SQL,
 }
