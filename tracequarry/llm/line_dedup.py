@@ -133,12 +133,13 @@ def dedup_lines(
     min_chars: int = MIN_CHARS,
     min_docs: int = MIN_DOCS,
     out_col: str = "kept_text",
+    counts: bool = True,
 ) -> DataFrame:
     """All rows and columns of ``docs`` plus n_lines, n_dropped and the kept text.
 
     Rows that lose nothing keep their text as it is (a null text becomes the empty text). Columns of
     ``docs`` that are called n_lines, n_dropped or like ``out_col`` are replaced by the new ones;
-    no other name clashes. Nulls, repeated rows and empty tables as in ``keep_bitmaps``.
+    no other name clashes. Without ``counts`` only the text is added. Nulls, repeated rows and empty tables as in ``keep_bitmaps``.
     """
     maps = keep_bitmaps(docs, id_col, text_col, min_chars=min_chars, min_docs=min_docs)
     doc, version, flips, dropped = unused(docs, "doc", "version", "flips", "dropped")
@@ -148,10 +149,8 @@ def dedup_lines(
     text = F.when(F.col(flips).isNull(), F.coalesce(quoted(text_col), F.lit(""))).otherwise(
         F.array_join(apply_bitmap(lines, F.col(flips)), "\n")
     )
-    added = {
-        "n_lines": F.size(lines).cast("long"),
-        "n_dropped": F.coalesce(F.col(dropped), F.lit(0).cast("long")),
-        out_col: text,
-    }
+    added = {out_col: text}
+    if counts:
+        added = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.col(dropped), F.lit(0).cast("long")), **added}
     places = [added.pop(c).alias(c) if c == out_col == text_col else quoted(c) for c in docs.columns if c not in added or c == out_col == text_col]
     return joined.select(*places, *(v.alias(k) for k, v in added.items()))
