@@ -42,6 +42,8 @@ TOLERANCE = 1e-5
 SMALL = 16
 BLOCK = 384
 CHUNK = 1 << 16
+#: Shingles that are compared with one text at a time, so that a block of long texts needs little memory.
+PART = 1 << 20
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -226,6 +228,20 @@ def sketch_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pdf.loc[near, ["comp", "chunks", "i", "j", "chunk", "k1", "k2", "n_docs", "sketch"]]
 
 
+def parts_of(js: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """``js`` in parts of about PART shingles, at least one each."""
+    return np.split(js, np.flatnonzero(np.diff(np.cumsum(lengths[js]) // PART)) + 1)
+
+
+def shared_with(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many of the sorted values ``mine`` each of the others, none of them empty, holds."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(mine, flat)
+    hit = mine[np.minimum(at, len(mine) - 1)] == flat
+    sizes = np.array([len(x) for x in others])
+    return np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+
+
 def compare_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Exact links in one block: pairs inside a chunk, or across two chunks.
 
@@ -234,11 +250,8 @@ def compare_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     first, second = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
     pdf = pdf.sort_values(["chunk", "k1", "k2"], ignore_index=True)
     n = len(pdf)
-    sets = [shingles(t) for t in pdf["text"]]
+    sets = [shingles(t) for t in pdf.pop("text")]
     lengths = np.array([len(s) for s in sets])
-    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
     sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(n, SKETCH)
     weight = pdf["n_docs"].to_numpy(np.int64)
     border = int((pdf["chunk"] == first).sum())
@@ -250,7 +263,6 @@ def compare_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             x = root[x]
         return x
 
-    held = np.zeros(len(names), bool)
     for i in range(n if first == second else border):
         js = np.arange(i + 1 if first == second else border, n)
         js = js[np.minimum(lengths[js], lengths[i]) >= threshold * np.maximum(lengths[js], lengths[i])]
@@ -259,10 +271,7 @@ def compare_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         js = js[survivors(np.broadcast_to(sketch[i], (len(js), SKETCH)), sketch[js], threshold)]
         if not len(js):
             continue
-        mine = ids[starts[i] : ends[i]]
-        held[mine] = True
-        common = np.array([held[ids[starts[j] : ends[j]]].sum() for j in js])
-        held[mine] = False
+        common = np.concatenate([shared_with(sets[i], [sets[j] for j in part]) for part in parts_of(js, lengths)])
         js = js[common >= threshold * (lengths[i] + lengths[js] - common) - 1e-9]
         links[i] += weight[js].sum()
         links[js] += weight[i]
