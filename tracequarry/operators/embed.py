@@ -92,8 +92,10 @@ def nearest(vectors: DataFrame, others: DataFrame, key: str, vector: str, k: int
     rows a vector come back. The work is that of all pairs; rows are pairs of blocks and k for each
     vector and block.
     """
-    counts = [max(1, -(-x.count() // block)) for x in (vectors, others)]
-    left, right = (staged(packed(x, key, vector, n), "packed") for x, n in zip((vectors, others), counts, strict=True))
+    sides = [vectors] if vectors is others else [vectors, others]
+    counts = [max(1, -(-x.count() // block)) for x in sides]
+    tables = [staged(packed(x, key, vector, n), "packed") for x, n in zip(sides, counts, strict=True)]
+    (left, right), counts = (tables[0], tables[-1]), (counts[0], counts[-1])
     pairs = left.select("ids", "data", F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))).alias("b")).join(
         right.select("b", F.col("ids").alias("other_ids"), F.col("data").alias("other_data")), "b"
     )

@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracequarry.session import staged
-
 
 def lot(key: Column | str, seed: Column | int, epoch: Column | int = 0) -> Column:
     """Place of a key in the shuffle of an epoch."""
@@ -25,16 +23,17 @@ def lot(key: Column | str, seed: Column | int, epoch: Column | int = 0) -> Colum
 
 
 def positioned(rows: DataFrame, lot_col: str, ties: list[str], out: str = "pos", by: list[str] | None = None) -> DataFrame:
-    """Position from 0 in the order of a lot, within ``by`` where given, by two-level ranks.
+    """Position from 0 in the order of a hexadecimal lot, within ``by`` where given, by two-level ranks.
 
-    Rows are dealt into as many ranges of (by, lot) as there are shuffle partitions, so that a group that
-    holds most rows spans many of them.
+    Lots are spread evenly, so equal ranges of them hold equal shares; there are as many ranges as
+    shuffle partitions, and a group that holds most rows spans all of them.
     """
     by = by or []
-    dealt = staged(rows.repartitionByRange(*by, lot_col, *ties).withColumn("__range", F.spark_partition_id()), "lots")
+    parts = max(256, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    coarse = rows.withColumn("__range", F.floor(F.conv(F.substring(lot_col, 1, 8), 16, 10).cast("double") * (parts / 2**32)).cast("int"))
     order = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        dealt.groupBy(*by, "__range")
+        coarse.groupBy(*by, "__range")
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__ahead", F.coalesce(F.sum("__n").over(order), F.lit(0)))
         .select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__range").alias("__of"), "__ahead")
@@ -43,7 +42,7 @@ def positioned(rows: DataFrame, lot_col: str, ties: list[str], out: str = "pos",
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
     inside = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(lot_col, *ties))
-    ranked = dealt.withColumn("__inside", inside)
+    ranked = coarse.withColumn("__inside", inside)
     return ranked.join(offsets, same).withColumn(out, (F.col("__ahead") + F.col("__inside") - 1).cast("long")).drop("__range", "__ahead", "__of", "__inside", *(f"__{c}" for c in by))
 
 
@@ -69,14 +68,12 @@ def family_epoch_bundles(manifest: DataFrame, key: str, family: str, size: int,
 
 def _after(ranked: DataFrame, ranks: DataFrame) -> DataFrame:
     """Rows with the tasks of lower ranks (``ahead``) and their place by turn within their rank (``nth``)."""
-    placed = positioned(ranks.withColumn("key", F.format_string("%020d", "rn")), "key", [], "at")
-    block = F.floor(F.col("at") / 4096)
     inside = Window.partitionBy("block").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for 4,096 ranks
-    blocked = placed.withColumn("block", block)
+    blocked = ranks.withColumn("block", F.floor(F.col("rn") / 4096))
     sums = blocked.groupBy("block").agg(F.sum("width").alias("w")).select(F.col("block").alias("of"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("base"))
     ahead = blocked.withColumn("inside", F.coalesce(F.sum("width").over(inside), F.lit(0))).join(sums, F.col("block") == F.col("of"))
-    ahead = staged(ahead.select(F.col("rn").alias("__rn"), (F.col("base") + F.col("inside")).alias("ahead")), "ranks")
+    ahead = ahead.select(F.col("rn").alias("__rn"), (F.col("base") + F.col("inside")).alias("ahead"))
     nth = F.row_number().over(Window.partitionBy("rn").orderBy("turn"))  # at most one task of each family
     return ranked.withColumn("nth", nth).join(ahead, F.col("rn") == F.col("__rn")).drop("__rn")
 
