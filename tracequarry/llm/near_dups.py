@@ -318,8 +318,7 @@ def near_duplicates(
         ),
         "near-members",
     )
-    # a table of its own: a join with an aggregate's output could not split a large group
-    sizes = staged(members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks")), "near-sizes")
+    sizes = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int")
     placed = (
         members.join(sizes, "comp")
@@ -338,7 +337,7 @@ def near_duplicates(
             "comp long, chunks int, i int, j int, chunk int, k1 long, k2 long, n_docs long, sketch binary",
         )
     )
-    likely = staged(placed.where(F.col("chunks") == 1).select(*fields).unionByName(sketched), "near-likely")
+    likely = placed.where(F.col("chunks") == 1).select(*fields).unionByName(sketched)
     version = F.xxhash64(quoted(text_col))
     texts = docs.select(quoted(id_col).alias("__doc"), version.alias("__version"), quoted(text_col).alias("text"), F.xxhash64(quoted(id_col), version).alias("__key"))
     wanted = members.select("doc", "version", "k1", "k2", F.xxhash64("doc", "version").alias("__key"))
