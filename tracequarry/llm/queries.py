@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.llm import (
+    centroid_clusters,
     decontam,
     html_text,
     line_dedup,
     media_avi,
     near_dups,
+    packing,
     pii,
+    ranked_search,
     source_mix,
     token_counts,
     toxicity,
@@ -285,6 +288,73 @@ SELECT d.doc_id, c.class_id, coalesce(l.n, 0) AS n_links, c.class_id = d.doc_id
 FROM documents d JOIN classes c ON c.node = d.doc_id LEFT JOIN counted l ON l.a = d.doc_id
 """
 
+
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def clusters_sql(k: int = 40, rounds: int = 5, width: int = 64) -> str:
+    """SQL of the clusters: each round is a pair of relations, the assignment and the means."""
+    near = """a{i} AS MATERIALIZED (
+  SELECT vec_id, v, arg_min(c.n, (d, c.n)) AS cluster, min(d) AS distance FROM (
+    SELECT x.rid, x.vec_id, x.v, c.n, list_sum(list_transform(list_zip(x.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM x CROSS JOIN c{i} c) c
+  GROUP BY rid, vec_id, v
+)"""
+    means = """m{i} AS (
+  SELECT cluster, dim, sum(y) AS s, count(*) AS k FROM (SELECT cluster, unnest(v) AS y, unnest(range(0, {width})) AS dim FROM a{i}) GROUP BY 1, 2
+), c{j} AS MATERIALIZED (
+  SELECT c.n, coalesce(g.c, c.c) AS c FROM c{i} c LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % k + k) % k)) // k AS BIGINT) ORDER BY dim) AS c FROM m{i} GROUP BY 1) g ON g.cluster = c.n
+)"""
+    parts = [
+        f"""WITH x AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda y: CAST(floor(256 * CAST(y AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0
+), c0 AS MATERIALIZED (
+  SELECT n, v AS c FROM (SELECT v, row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS n FROM x) WHERE n < {k}
+)"""
+    ]
+    for i in range(rounds):
+        parts += [near.format(i=i), means.format(i=i, j=i + 1, width=width)]
+    parts.append(near.format(i=rounds))
+    return ", ".join(parts) + f"""
+SELECT a.vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(a.distance AS BIGINT) AS distance,
+  CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.n = a.cluster"""
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), docs AS (
+  SELECT rid, doc_id, ws, CAST(len(ws) AS BIGINT) AS n FROM words WHERE len(ws) > 0
+), totals AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs
+), asked AS (
+  SELECT item_id, text, t, count(*) AS times FROM (
+    SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL
+), held AS (
+  SELECT rid, doc_id, n, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, doc_id, n, unnest(ws) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM held GROUP BY t) CROSS JOIN totals
+), scored AS (
+  SELECT a.item_id, a.text, h.rid, h.doc_id,
+    CAST(sum(a.times * w.w * ((1000000000 * h.tf) // (1000 * h.tf + 8 * (100 - 75 + (75 * h.n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked a JOIN held h ON h.t = a.t JOIN weights w ON w.t = a.t CROSS JOIN totals GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_html_text": op2_html_text,
@@ -296,6 +366,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontam": op7_decontam,
     "op9_near_dups": op9_near_dups,
     "op10_url_lists": op10_url_lists,
+    "op11_clusters": op11_clusters,
+    "op12_packing": op12_packing,
+    "op13_search": op13_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -304,4 +377,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_decontam": OP7_SQL,
     "op9_near_dups": OP9_SQL,
     "op10_url_lists": OP10_SQL,
+    "op11_clusters": clusters_sql(),
+    "op13_search": OP13_SQL,
 }
