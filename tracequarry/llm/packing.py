@@ -8,7 +8,7 @@ numbered within their length, and the number says which sequence holds a piece a
 
 Texts are encoded once, in tasks. Text without white space inside is encoded by the tokenizer; what it
 gives for a chunk between ASCII white space doesn't depend on the rest of the text (tests compare), so a
-task remembers chunks.
+worker remembers chunks, and the words of simple ones.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from tracequarry.session import staged
 
 LIMIT = 4096
 END = 1
-#: Chunks that a task remembers before it starts anew, and the longest that it remembers, in bytes.
-REMEMBERED, LONGEST = 600_000, 60
+#: Chunks, and words, that a worker remembers before it starts anew, and the longest chunk that it remembers, in bytes.
+REMEMBERED, LONGEST = 900_000, 60
 #: Chunks of these alone fall into the tokenizer's words as the second pattern says: letters of Latin-1, digits, marks.
 SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!#-&(-;=>?@\[-`{-~]+")
 WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!#-&(-/:;=>?@\[-`{-~]+")
@@ -55,47 +55,52 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.chunks: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of each chunk. Simple ones are encoded as one text and told apart by the ends of words."""
-        out, simple, texts, other = {}, [], [], []
+        """The ids of each chunk. Simple ones are put together from the ids of their words."""
+        simple, other = {}, []
         for c in chunks:
             text = c.decode()
             if SIMPLE.fullmatch(text):
-                simple.append(c)
-                texts.append(text)
+                simple[c] = WORD.findall(text.lower())
             else:
                 other.append(c)
-        words = [len(WORD.findall(t)) for t in texts]
-        if simple:
-            (ids,) = self.ids([" ".join(texts)])
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == sum(words):
-                cuts = [0, *stops[np.cumsum(words) - 1].tolist()]
-                joined = ids.tobytes()
-                out = {c: joined[4 * a : 4 * b] for c, a, b in zip(simple, cuts, cuts[1:], strict=False)}
-            else:
-                other += simple
+        new = list(set(filterfalse(self.words.__contains__, chain.from_iterable(simple.values()))))
+        if new:
+            if len(self.words) + len(new) > REMEMBERED:
+                self.words.clear()
+                new = list(set(chain.from_iterable(simple.values())))
+            self.words.update(zip(new, self.ids_of_words(new), strict=True))
+        word = self.words.__getitem__
+        out = {c: b"".join(map(word, parts)) for c, parts in simple.items()}
         out |= {c: i.tobytes() for c, i in zip(other, self.ids([c.decode() for c in other]), strict=True)}
         return out
 
+    def ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Words are encoded as one text and told apart by the tokens that end one."""
+        (ids,) = self.ids([" ".join(words)])
+        cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+        if len(cuts) != len(words) + 1:
+            return [i.tobytes() for i in self.ids(words)]
+        joined = ids.tobytes()
+        return [joined[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
+        known = [list(map(self.chunks.get, chunks)) for chunks in split]
+        new = {c for chunks, ids in zip(split, known, strict=True) for c, i in zip(chunks, ids, strict=True) if i is None}
         if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = set(chain.from_iterable(split))
-            learnt = self.learn(sorted(new))
-            self.known.update((c, i) for c, i in learnt.items() if len(c) <= LONGEST)
-            lookup = {**self.known, **learnt} if any(len(c) > LONGEST for c in learnt) else self.known
-        else:
-            lookup = self.known
-        return [b"".join(map(lookup.__getitem__, chunks)) for chunks in split]
+            learnt = self.learn(list(new))
+            if len(self.chunks) + len(learnt) > REMEMBERED:
+                self.chunks.clear()
+            self.chunks.update((c, i) for c, i in learnt.items() if len(c) <= LONGEST)
+            known = [[learnt[c] if i is None else i for c, i in zip(chunks, ids, strict=True)] for chunks, ids in zip(split, known, strict=True)]
+        return [b"".join(ids) for ids in known]
 
 
 @lru_cache(maxsize=2)
