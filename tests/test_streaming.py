@@ -1,6 +1,8 @@
 """Streams against the same computation in batch."""
 
-from tracequarry.streaming import runs
+from datetime import datetime
+
+from tracequarry.streaming import ordered, runs
 
 
 def drain(df, name, mode):
@@ -69,3 +71,44 @@ def test_windowed_rewards(spark, tmp_path):
     rows = spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,cast(id*4 as int)) as ts, 1.0d as reward from range(10)")
     got = drain(runs.windowed_rewards(stream_of(spark, rows.coalesce(1), str(tmp_path / "in")), "ts"), "rewards", "update")
     assert sum(r["steps"] for r in got.collect()) == 10
+
+
+def in_batches(spark, tmp_path, batches, schema, make):
+    """What a stream has put out when each batch has come by itself and the query was started anew for it."""
+    ordered.use_rocksdb(spark)
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        ordered.to_folder(make(spark.readStream.schema(schema).parquet(source)), out, mark).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def at(minute):
+    return datetime(2024, 1, 1, minute // 60, minute % 60)
+
+
+def test_order_holds_over_micro_batches_and_restarts(spark, tmp_path):
+    schema = "evidence_id string, ord int, ts timestamp, outcome string"
+    # the reactivation comes a batch before the rejects that precede it in time; the last batch only moves the watermark
+    batches = [
+        [("e", 9, at(9), "reactivate"), ("f", 0, at(1), "accept")],
+        [("e", 2, at(2), "reject"), ("e", 3, at(2), "reject"), ("f", 1, at(3), "reactivate")],
+        [("z", 0, at(200), "attempt")],
+    ]
+    got = in_batches(spark, tmp_path, batches, schema, lambda s: ordered.lifecycle(s, "ts", "30 minutes"))
+    found = {(r.evidence_id, r.ord): (r.attempts, r.rejects, r.status) for r in got.collect()}
+    assert found == {("e", 2): (1, 1, "active"), ("e", 3): (2, 2, "stale"), ("e", 9): (2, 0, "active"), ("f", 0): (1, 0, "archived"), ("f", 1): (1, 0, "active")}
+
+
+def test_idle_keys_are_forgotten(spark, tmp_path):
+    schema = "evidence_id string, ord int, ts timestamp, outcome string"
+    batches = [[("e", 0, at(1), "reject"), ("z", 0, at(100), "attempt")], [("z", 1, at(200), "attempt")], [("e", 1, at(201), "reject"), ("z", 2, at(300), "attempt")]]
+    got = in_batches(spark, tmp_path, batches, schema, lambda s: ordered.lifecycle(s, "ts", "10 minutes", idle_ms=20 * 60_000))
+    assert {(r.evidence_id, r.ord): r.rejects for r in got.where("evidence_id = 'e'").collect()} == {("e", 0): 1, ("e", 1): 1}
+
+
+def test_ordered_count_windows(spark, tmp_path):
+    schema = "pool string, ord int, ts timestamp, evidence_id string"
+    batches = [[("p", i, at(i), f"E{i}") for i in (5, 1, 3)], [("p", i, at(i), f"E{i}") for i in (4, 0, 2)], [("q", 9, at(90), "x")]]
+    got = in_batches(spark, tmp_path, batches, schema, lambda s: ordered.count_windows(s, "pool", "ts", 4, "20 minutes"))
+    assert [(r.pool, r.window, r.evidence_ids) for r in got.collect()] == [("p", 0, ["E0", "E1", "E2", "E3"])]

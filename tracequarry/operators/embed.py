@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +12,9 @@ from pyspark.sql.window import Window
 
 from tracequarry.functions.scalar import cache_key, unit
 from tracequarry.operators.graph import components
+from tracequarry.operators.metric import BLOCK, nearest
 from tracequarry.session import staged
 
-BLOCK = 2048
-
 
 def hashing_encoder(texts: list[str], width: int = 64) -> list[list[float]]:
     """Offline stand-in for a model: signed hashed word counts."""
@@ -70,54 +68,6 @@ def cache_stats(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.agg(F.lit(model).alias("model"), hit.alias("hits"), (F.count(F.lit(1)) - hit).alias("misses"), F.count(F.lit(1)).alias("count"))
 
 
-def packed(vectors: DataFrame, key: str, vector: str, blocks: int) -> DataFrame:
-    """(b, ids, data): the unit vectors of each block, ordered by id, as the bytes of one matrix of doubles."""
-    kind = vectors.schema[key].dataType.simpleString()
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.array(pdf["v"].tolist())
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        return pd.DataFrame({"b": [int(pdf["b"].iloc[0])], "ids": [pdf["id"].tolist()], "data": [x.tobytes()]})
-
-    dealt = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("b").applyInPandas(pack, f"b int, ids array<{kind}>, data binary")
-
-
-def nearest(vectors: DataFrame, others: DataFrame, key: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
-    """(key, neighbour, cosine, rn): the k of ``others`` most alike to each vector but itself, exactly.
-
-    Both sides are packed into one row a block, and each pair of blocks is one matrix product of which k
-    rows a vector come back. The work is that of all pairs; rows are pairs of blocks and k for each
-    vector and block.
-    """
-    sides = [vectors] if vectors is others else [vectors, others]
-    counts = [max(1, -(-x.count() // block)) for x in sides]
-    tables = [staged(packed(x, key, vector, n), "packed") for x, n in zip(sides, counts, strict=True)]
-    (left, right), counts = (tables[0], tables[-1]), (counts[0], counts[-1])
-    pairs = left.select("ids", "data", F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))).alias("b")).join(
-        right.select("b", F.col("ids").alias("other_ids"), F.col("data").alias("other_data")), "b"
-    )
-    kind = vectors.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                ids, other = np.array(r.ids), np.array(r.other_ids)
-                x, y = np.frombuffer(r.data).reshape(len(ids), -1), np.frombuffer(r.other_data).reshape(len(other), -1)
-                near = np.round(x @ y.T, 6)
-                near[ids[:, None] == other[None, :]] = -np.inf
-                order = np.argsort(-near, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                made = pd.DataFrame({"id": ids[rows], "neighbour": other[order.ravel()], "cosine": near[rows, order.ravel()]})
-                yield made[np.isfinite(made["cosine"])]
-
-    met = pairs.repartition(max(1, min(counts[0] * counts[1], 10_000))).mapInPandas(run, f"id {kind}, neighbour {kind}, cosine double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
-    return met.withColumn("rn", rank).where(F.col("rn") <= k).withColumnRenamed("id", key)
-
-
 def top_neighbours(vectors: DataFrame, key: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
     """The k most alike others of each vector, exactly: ``nearest`` of the table to itself."""
     return nearest(vectors, vectors, key, vector, k, block)

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tracequarry.functions import text as X
 from tracequarry.functions.scalar import last_n
+from tracequarry.operators import scan
 
 
 def select_steps(steps: Column, mode: str = "prefix", limit: int = 24, head: int = 1, tail: int = 8) -> Column:
@@ -31,19 +32,16 @@ def select_steps(steps: Column, mode: str = "prefix", limit: int = 24, head: int
     )
 
 
-def ranked(steps: DataFrame, key: str, order: list[str]) -> DataFrame:
+def ranked(steps: DataFrame, key: str, order: list[str], most: int = scan.MOST) -> DataFrame:
     """Rows with their position from the start (``rn``) and from the end (``rev``)."""
-    w = Window.partitionBy(key)
-    return steps.withColumn("rn", F.row_number().over(w.orderBy(*order))).withColumn(
-        "rev", F.row_number().over(w.orderBy(*(F.desc(c) for c in order)))
-    )
+    return scan.ranked(steps, key, order, most)
 
 
-def step_rows(steps: DataFrame, key: str, order: list[str], mode: str, limit: int = 24, head: int = 1, tail: int = 8) -> DataFrame:
+def step_rows(steps: DataFrame, key: str, order: list[str], mode: str, limit: int = 24, head: int = 1, tail: int = 8, most: int = scan.MOST) -> DataFrame:
     """Row form of ``select_steps``."""
     if mode == "full":
         return steps
-    rows = ranked(steps, key, order)
+    rows = ranked(steps, key, order, most)
     if mode == "prefix":
         rows = rows.where(F.col("rn") <= limit)
     elif mode == "tail":
@@ -91,35 +89,26 @@ def without_rewards(records: DataFrame) -> DataFrame:
     return records.withColumn("trajectory", dropped).drop("final_reward", "observed_reward")
 
 
-def history(steps: DataFrame, key: str, order: str, value: Column, size: int = 8) -> DataFrame:
+def history(steps: DataFrame, key: str, order: str, value: Column, size: int = 8, most: int = scan.MOST) -> DataFrame:
     """Rows with the values of the ``size`` rows before them, oldest first."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-size, -1)
-    return steps.withColumn("history", F.collect_list(value).over(w))
+    return scan.history(steps, key, [order], value, size, most=most)
 
 
-def transitions(steps: DataFrame, key: str, order: str, score: str, places: int = 10) -> DataFrame:
+def transitions(steps: DataFrame, key: str, order: str, score: str, places: int = 10, most: int = scan.MOST) -> DataFrame:
     """Rows with score_before, score_after and their rounded difference; null where a side is missing."""
-    before = F.lag(score).over(Window.partitionBy(key).orderBy(order))
-    return steps.withColumns(
-        {"score_before": before, "score_after": F.col(score), "score_delta": F.round(F.col(score) - before, places)}
-    )
+    rows = scan.lagged(steps, key, [order], F.col(score), "score_before", most)
+    return rows.withColumns({"score_after": F.col(score), "score_delta": F.round(F.col(score) - F.col("score_before"), places)})
 
 
-def run_lengths(steps: DataFrame, key: str, order: str, action: str, limit: int = 12) -> DataFrame:
+def run_lengths(steps: DataFrame, key: str, order: str, action: str, limit: int = 12, most: int = scan.MOST) -> DataFrame:
     """(key, sequence): actions of a key in order, equal neighbours as 'a xN', joined by arrows.
 
     Blank actions don't count; of more than ``limit`` the first are kept and a mark is added.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    rows = (
-        steps.select(key, order, X.squeeze(action).alias("action"))
-        .where("action <> ''")
-        .withColumn("rn", F.row_number().over(w))
-        .withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(key)))
-        .where(F.col("rn") <= limit)
-        .withColumn("new", F.coalesce((F.lag("action").over(w) != F.col("action")).cast("int"), F.lit(1)))
-        .withColumn("run", F.sum("new").over(w))
-    )
+    named = steps.select(key, order, X.squeeze(action).alias("action")).where("action <> ''")
+    w = Window.partitionBy(key).orderBy("rn")  # over ``limit`` rows a key at most
+    rows = ranked(named, key, [order], most).withColumn("total", F.col("rn") + F.col("rev") - 1).where(F.col("rn") <= limit)
+    rows = rows.withColumn("new", F.coalesce((F.lag("action").over(w) != F.col("action")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
     runs = rows.groupBy(key, "run").agg(F.first("action").alias("action"), F.count(F.lit(1)).alias("n"), F.max("total").alias("total"))
     said = F.when(F.col("n") > 1, F.concat("action", F.lit(" x"), F.col("n").cast("string"))).otherwise(F.col("action"))
     ordered = F.array_sort(F.collect_list(F.struct("run", said.alias("said"))))

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracequarry.plans import ledgers, lifecycle, manifests, records, runs, scans, steps, texts, vectors
+from tracequarry.plans import ledgers, lifecycle, manifests, records, runs, scans, steps, streams, texts, vectors
 
 FLAGSHIP = "longitudinal_pairs"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-MODULES = (runs, steps, manifests, ledgers, lifecycle, vectors, texts, records, scans)
+MODULES = (runs, steps, manifests, ledgers, lifecycle, vectors, texts, records, scans, streams)
 
 
 def queries() -> dict[str, Query]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracequarry.functions import scalar
-from tracequarry.operators import trajectory
+from tracequarry.operators import scan, trajectory
 from tracequarry.plans.base import Plans, table
 
 P = Plans()
@@ -62,6 +62,15 @@ def action_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectory.run_lengths(rows, "user_id", "at", "event_type")
 
 
+@P.query("""
+WITH r AS (SELECT user_id, event_type, row_number() OVER w AS rn, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), g AS (SELECT user_id, event_type, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY rn) AS BIGINT) AS run FROM r)
+SELECT user_id, run, min(event_type) AS value, count(*) AS n FROM g GROUP BY 1, 2""")
+def action_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs of equal events of each user, by scans over ranges: no user's events in one task."""
+    return scan.runs(events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], F.col("event_type"), most=500)
+
+
 @P.query("""
 WITH c AS (SELECT conv_id, turn, role, text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before FROM conversations)
 SELECT conv_id, turn FROM c WHERE lower(text) LIKE '%nothing happens%' OR lower(text) LIKE '%i don''t understand%' OR lower(text) LIKE '%you can''t%' OR lower(text) LIKE '%not possible%'

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.operators import embed
+from tracequarry.operators import density, embed
 from tracequarry.plans.base import Plans, table
 
 P = Plans()
@@ -39,6 +39,29 @@ def semantic_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.semantic_groups(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", K, THRESHOLD)
 
 
+@P.query("""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, CAST(round(round(list_dot_product(a.e, b.e), 6) * 1000000) AS BIGINT) AS likeness FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+c AS (SELECT a, likeness AS core FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY likeness DESC) = 5),
+r AS MATERIALIZED (SELECT s.a, s.b, least(likeness, x.core, y.core) AS reach FROM s JOIN c x ON x.a = s.a JOIN c y ON y.a = s.b),
+prim(step, node, done, best) AS (
+  SELECT 0, vec_id, vec_id = (SELECT min(vec_id) FROM embeddings), coalesce(r.reach, 0) FROM embeddings LEFT JOIN r ON r.a = (SELECT min(vec_id) FROM embeddings) AND r.b = vec_id
+  UNION ALL
+  SELECT step + 1, p.node, done OR p.node = pick, CASE WHEN done OR p.node = pick THEN best ELSE greatest(best, r.reach) END
+  FROM (SELECT *, arg_max(node, best) FILTER (NOT done) OVER () AS pick FROM prim) p LEFT JOIN r ON r.a = pick AND r.b = p.node WHERE pick IS NOT NULL
+)
+SELECT best AS reach, count(*) AS n_edges FROM prim WHERE step = (SELECT count(*) - 1 FROM embeddings) AND node <> (SELECT min(vec_id) FROM embeddings) GROUP BY 1""")
+def density_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many edges of the tree of mutual reach lie at each level, which is the same for every such tree."""
+    tree, _ = density.reach_tree(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5)
+    return tree.groupBy("reach").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+@P.query()
+def density_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.density_groups(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5, 5)
+
+
 @P.query("""
 WITH e AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(0, 64)) AS dim FROM embeddings), c AS (SELECT label, dim, avg(x) AS x, count(*) AS n FROM e GROUP BY 1, 2)
 SELECT label, n, CAST(dim AS INTEGER) AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 5) AS x FROM c""")
