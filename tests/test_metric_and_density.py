@@ -181,10 +181,10 @@ def test_density_of_few_or_no_vectors(spark):
 
 def test_choice_by_rounds_equals_choice_in_one_task(spark):
     rng = random.Random(9)
-    rows = [("c0", None, 1, None, 5.0)] + [(f"c{i}", f"c{rng.randrange(max(0, i - 4), i)}", 1, 1, round(rng.random() * 4, 3)) for i in range(1, 60)]
+    rows = [("c0", None, 1, None, 5.0)] + [(f"c{i}", f"c{rng.randrange(i)}", 1, 1, round(rng.random() * 4, 3)) for i in range(1, 60)]
     tree = spark.createDataFrame(rows, "cluster string, parent string, size long, at long, stability double")
-    got = [Counter(map(tuple, density.choose(tree, n).collect())) for n in (0, 7, 1000)]
-    assert got[0] == got[1] == got[2] and len(got[0]) == 60
+    got = [Counter(map(tuple, density.choose(tree, n).collect())) for n in (3, 1000)]
+    assert got[0] == got[1] and len(got[0]) == 60
     picked = tree.join(density.choose(tree), "cluster")
     tops = {r["cluster"]: r["top"] for r in density.highest_picked(picked).collect()}
     flags = {r["cluster"]: (r["parent"], r["picked"]) for r in picked.collect()}

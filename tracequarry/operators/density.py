@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.operators import metric
-from tracequarry.operators.graph import components
+from tracequarry.operators.graph import components, joined_groups
 from tracequarry.session import staged
 
 MILLION = 1_000_000
@@ -81,7 +81,7 @@ def reach_tree(vectors: DataFrame, key: str, vector: str, min_samples: int = 5,
         chosen = staged(best_of(out.unionByName(found)).select("best.*").distinct() if found is not None else best.select("best.*").distinct(), "density-chosen")
         grown = chosen.select("a", "b", "reach")
         tree = grown if tree is None else tree.unionByName(grown)
-        joined = components(chosen.select("ga", "gb"), "ga", "gb")
+        joined = joined_groups(chosen.select("ga", "gb"), "ga", "gb")
         labels = staged(
             labels.join(joined.withColumnRenamed("node", "grp"), "grp", "left").select("id", F.coalesce("root", "grp").alias("grp"), "core", "cap"), "density-labels"
         )

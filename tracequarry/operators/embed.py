@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracequarry.functions.scalar import cache_key, unit
-from tracequarry.operators.graph import components
+from tracequarry.operators.graph import joined_groups
 from tracequarry.operators.metric import BLOCK, nearest
 from tracequarry.session import staged
 
@@ -95,7 +95,7 @@ def mutual_edges(neighbours: DataFrame, key: str, threshold: float) -> DataFrame
 def semantic_groups(vectors: DataFrame, key: str, vector: str, k: int = 8, threshold: float = 0.68) -> DataFrame:
     """(key, grp): components of the mutual neighbour graph; a vector without an edge is its own group."""
     edges = staged(mutual_edges(top_neighbours(vectors, key, vector, k), key, threshold), "mutual")
-    found = components(edges).withColumnRenamed("node", key)
+    found = joined_groups(edges, "a", "b").withColumnRenamed("node", key)
     return vectors.select(key).join(found, key, "left").select(key, F.coalesce("root", F.col(key)).alias("grp"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from tracequarry.session import staged
 HUB_SHARE = 1000
 #: Tables of fewer edges need no split.
 LEAST_EDGES = 2_000
+#: Edges that one task may join.
+FEW_EDGES = 200_000
 
 
 def met(rows: DataFrame, least: DataFrame, key: str, edges: int) -> DataFrame:
@@ -64,3 +67,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
+
+
+def joined_groups(edges: DataFrame, a: str, b: str, most: int = FEW_EDGES) -> DataFrame:
+    """(node, root) as ``components`` gives them; few edges are joined in one task, many in rounds."""
+    if edges.count() > most:
+        return components(edges, a, b)
+    kind = edges.schema[a].dataType.simpleString()
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        up: dict = {}
+
+        def root(g):
+            while up.setdefault(g, g) != g:
+                up[g] = up[up[g]]
+                g = up[g]
+            return g
+
+        for x, y in zip(pdf[a].tolist(), pdf[b].tolist(), strict=True):
+            x, y = sorted((root(x), root(y)))
+            up[y] = x
+        return pd.DataFrame({"node": list(up), "root": [root(g) for g in up]})
+
+    return edges.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda pdf: join(pdf), f"node {kind}, root {kind}")
