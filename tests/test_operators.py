@@ -1,3 +1,5 @@
+import hashlib
+import random
 """Operators on edge cases and by properties."""
 
 import json
@@ -195,17 +197,50 @@ def test_ids_and_pool(spark):
     assert dict(ledger.pool_counts(cards).collect()) == {"archived": 1, "stale": 1, "active": 1}
 
 
-def test_pick_tasks():
-    jobs = [
-        {"edit_id": "A", "task_id": "t1", "rn": 1, "support_count": 2, "task_family": ""},
-        {"edit_id": "A", "task_id": "t2", "rn": 2, "support_count": 1, "task_family": ""},
-        {"edit_id": "B", "task_id": "t1", "rn": 1, "support_count": 1, "task_family": ""},
-        {"edit_id": "C", "task_id": "t3", "rn": 1, "support_count": 1, "task_family": ""},
-    ]
-    got = ledger.pick_tasks(jobs, ["A", "B", "C"], seed=1, limit=2)
-    assert [g["task_id"] for g in got] == ["t1", "t3"]
-    assert got[0]["origin_edit_ids"] == ["A", "B"]
-    assert ledger.pick_tasks([], ["A"], 1) == []
+def picked_in_turn(jobs, edits, seed, limit):
+    """The rule one pick after the other, for one list."""
+    chosen, covered = {}, set()
+
+    def take(edit, job):
+        row = chosen.setdefault(job["task_id"], {**job, "origin": []})
+        if edit not in row["origin"]:
+            row["origin"].append(edit)
+
+    for edit in edits:
+        own = [j for j in jobs if j["edit_id"] == edit and j["rn"] == 1]
+        if own and (own[0]["task_id"] in chosen or len(chosen) < limit):
+            take(edit, own[0])
+            covered.add(edit)
+
+    def key(j):
+        lot = hashlib.sha256(f"{seed}:{j['edit_id']}:{j['task_id']}:{j['rn']}".encode()).hexdigest()
+        return (j["edit_id"] in covered, -j["support_count"], j["task_family"], j["task_id"], j["edit_id"], lot)
+
+    for j in sorted(jobs, key=key):
+        if len(chosen) >= limit:
+            break
+        take(j["edit_id"], j)
+    return [(j["task_id"], j["edit_id"], j["start"], tuple(j["origin"])) for j in chosen.values()]
+
+
+@pytest.mark.parametrize("limit", [0, 1, 4, 9, 50])
+def test_picked_tasks_equal_picks_in_turn(spark, limit):
+    rng = random.Random(limit)
+    edits = [(f"L{i % 4}", f"e{i}", i) for i in range(40)]
+    jobs = []
+    for _, e, _ in edits[:-3]:
+        jobs += [(e, f"t{rng.randrange(12)}", rng.choice(["", "f"]), "c", n, n + 1, rng.randrange(1, 4), n + 1) for n in range(rng.randrange(5))]
+    names = ["edit_id", "task_id", "task_family", "evidence_id", "start", "end", "support_count", "rn"]
+    made = ledger.picked_tasks(
+        spark.createDataFrame(jobs, "edit_id string, task_id string, task_family string, evidence_id string, start long, end long, support_count long, rn int"),
+        spark.createDataFrame(edits, "list string, edit_id string, ord int"), "list", 7, limit,
+    ).collect()
+    for k in range(4):
+        own = [e for which, e, _ in edits if which == f"L{k}"]
+        want = picked_in_turn([dict(zip(names, j, strict=True)) for j in jobs if j[0] in own], own, 7, limit)
+        got = sorted((r for r in made if r["list"] == f"L{k}"), key=lambda r: r["place"])
+        assert [r["place"] for r in got] == list(range(len(got)))
+        assert [(r["task_id"], r["edit_id"], r["start"], tuple(r["origin_edit_ids"])) for r in got] == want
 
 
 @pytest.mark.parametrize(

@@ -55,21 +55,53 @@ EDIT_OPS = ("append", "insert_after", "insert_after_section", "replace", "delete
 FALLBACK_CODE = "print(apis.api_docs.show_app_descriptions())"
 
 
+#: Objects nested deeper than this count as no objects, with all that they hold.
+DEEPEST = 400
+#: What an object may begin with; all else can't decode.
+BEGINNING = re.compile(r'\{\s*(?:\}|"(?:[^"\\]|\\.)*"\s*:)', re.S)
+MARKS = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}\[\]]', re.S)
+
+
+def nesting(text: str, at: int, end: int) -> tuple[int, int, set[int]]:
+    """(greatest depth, place behind the value that begins at ``at``, or ``end``, objects still open at ``end``)."""
+    deepest, open_ = 0, []
+    for m in MARKS.finditer(text, at, end):
+        mark = m[0][0]
+        if mark in "{[":
+            open_.append(m.start() if mark == "{" else -1)
+            deepest = max(deepest, len(open_))
+        elif mark in "}]" and open_:
+            open_.pop()
+            if not open_:
+                return deepest, m.end(), set()
+    return deepest, end, set(open_)
+
+
 def first_object(text: str | None) -> str | None:
-    """JSON of the text, else of the first place from which an object decodes; None if there is none."""
+    """JSON of the text, else of the first place from which an object decodes; None if there is none.
+
+    An object that is open where decoding fails can't decode from its own place either, so those places
+    aren't tried again: the time grows with the text, however many braces it has.
+    """
     text = re.sub(r"^```[A-Za-z]*\s*|\s*```$", "", (text or "").strip())
-    try:
-        value = json.loads(text)
-        return json.dumps(value, ensure_ascii=False) if isinstance(value, dict) else None
-    except ValueError:
-        pass
-    at = text.find("{")
-    while at >= 0:
+    if nesting(text, 0, len(text))[0] <= DEEPEST:
         try:
-            value, _ = DECODER.raw_decode(text, at)
-            return json.dumps(value, ensure_ascii=False)
+            value = json.loads(text)
+            return json.dumps(value, ensure_ascii=False) if isinstance(value, dict) else None
         except ValueError:
-            at = text.find("{", at + 1)
+            pass
+    at, hopeless = text.find("{"), set()
+    while at >= 0:
+        if at not in hopeless and BEGINNING.match(text, at):
+            try:
+                value, _ = DECODER.raw_decode(text, at)
+                return json.dumps(value, ensure_ascii=False)
+            except ValueError as e:
+                hopeless |= nesting(text, at, getattr(e, "pos", len(text)))[2]
+            except RecursionError:
+                # too deep, and so are the objects around its innermost ones: go on behind it
+                at = max(at, nesting(text, at, len(text))[1] - 1)
+        at = text.find("{", at + 1)
     return None
 
 
@@ -85,7 +117,7 @@ def code_of(text: str | None, fallback: str = FALLBACK_CODE) -> str:
         return code
     try:
         compile(text, "<text>", "exec")
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return fallback
     return text or fallback
 
@@ -101,7 +133,7 @@ def redact_value(value):
     if value.strip()[:1] in ("{", "["):
         try:
             return json.dumps(redact_value(json.loads(value)), ensure_ascii=False, indent=1)
-        except ValueError:
+        except (ValueError, RecursionError):  # no JSON, or nested too deep to be taken apart: hidden as plain text
             pass
     return TOKEN.sub("Bearer [REDACTED]", QUOTED.sub(r"\1\2[REDACTED]\4", value))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracequarry.operators import fold, scan
 from tracequarry.session import staged
 
 
@@ -24,11 +25,18 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def fingerprint(rows: DataFrame, line: Column, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """SHA-256 of the lines joined by newlines in order. The text of a group is one value."""
+def fingerprint(rows: DataFrame, line: Column, order: list[str], by: list[str] | None = None, most: int = scan.MOST) -> DataFrame:
+    """SHA-256 of the lines joined by newlines in order; null lines are left out, but count.
+
+    Where a group has more than ``most`` rows, its lines stream through a fold instead of one value.
+    """
+    by = by or []
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    if (sizes.agg(F.max("n")).head()[0] or 0) > most:
+        return fold.fingerprint(rows, line, order, by)
     ordered = F.array_sort(F.collect_list(F.struct(*order, line.alias("__line"))))
     joined = F.array_join(F.transform(ordered, lambda s: s["__line"]), "\n")
-    return rows.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.sha2(joined, 256).alias("fingerprint"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sha2(joined, 256).alias("fingerprint"))
 
 
 def positions(rows: DataFrame, key: str, order: list[str], by: str | None = None) -> DataFrame:

@@ -146,7 +146,7 @@ class Searcher:
             for pdf in batches:
                 taus, where = [], []
                 for r in pdf.itertuples():
-                    x = np.frombuffer(r.data).reshape(len(r.ids), -1)
+                    x = metric.matrix(r.data, len(r.ids), r.width)
                     found = np.array(r.found)
                     tau = np.where(found < -MILLION, np.inf, np.sqrt(np.maximum(0, 2 - 2 * found / MILLION) + metric.SLACK))
                     tau[~x.any(axis=1)] = np.inf
@@ -155,7 +155,7 @@ class Searcher:
                     where.append(np.flatnonzero((d - c.reach <= tau[:, None] + metric.SLACK).any(axis=0)).astype(np.int32).tolist())
                 yield pdf.assign(tau=taus, cells=where)
 
-        columns = f"cell int, size int, far double, ids array<{kind}>, data binary, middle binary, radius double, b bigint, grps array<{kind}>, cores array<bigint>"
+        columns = f"cell int, size int, far double, ids array<{kind}>, width int, data binary, middle binary, radius double, b bigint, grps array<{kind}>, cores array<bigint>"
         left = staged(mine.select(*[c.split(" ")[0] for c in columns.split(", ")], "found").mapInPandas(reach_of, columns + ", found array<bigint>, tau binary, cells array<int>"), "density-asking")
         right = staged(self.with_labels(self.blocks, labels), "density-blocks")
 
@@ -163,24 +163,23 @@ class Searcher:
             for pdf in batches:
                 for r in pdf.itertuples():
                     ids, other = np.array(r.ids), np.array(r.o_ids)
-                    x, y = np.frombuffer(r.data).reshape(len(ids), -1), np.frombuffer(r.o_data).reshape(len(other), -1)
-                    part = metric.taking_part(x, np.frombuffer(r.tau), r.o_middle, r.o_radius)
-                    if not len(part):
-                        continue
-                    own, theirs = np.array(r.grps)[part], np.array(r.o_grps)
-                    reach = np.rint(np.round(x[part] @ y.T, 6) * MILLION)
-                    reach = np.minimum(np.minimum(reach, np.array(r.cores)[part][:, None]), np.array(r.o_cores)[None])
-                    reach[own[:, None] == theirs[None]] = -np.inf
-                    at = reach.argmax(axis=1)
-                    best = reach[np.arange(len(part)), at]
-                    good = best > np.array(r.found)[part]
-                    u, w = ids[part][good], other[at[good]]
-                    gu, gw = own[good], theirs[at[good]]
-                    first = u < w
-                    yield pd.DataFrame({
-                        "a": np.where(first, u, w), "b": np.where(first, w, u), "reach": best[good].astype(np.int64),
-                        "ga": np.where(first, gu, gw), "gb": np.where(first, gw, gu),
-                    })
+                    x, y = metric.matrix(r.data, len(ids), r.width), metric.matrix(r.o_data, len(other), r.o_width)
+                    groups, theirs, cores, found = np.array(r.grps), np.array(r.o_grps), np.array(r.cores), np.array(r.found)
+                    for part in metric.slices(metric.taking_part(x, np.frombuffer(r.tau), r.o_middle, r.o_radius)):
+                        own = groups[part]
+                        reach = np.rint(np.round(x[part] @ y.T, 6) * MILLION)
+                        reach = np.minimum(np.minimum(reach, cores[part][:, None]), np.array(r.o_cores)[None])
+                        reach[own[:, None] == theirs[None]] = -np.inf
+                        at = reach.argmax(axis=1)
+                        best = reach[np.arange(len(part)), at]
+                        good = best > found[part]
+                        u, w = ids[part][good], other[at[good]]
+                        gu, gw = own[good], theirs[at[good]]
+                        first = u < w
+                        yield pd.DataFrame({
+                            "a": np.where(first, u, w), "b": np.where(first, w, u), "reach": best[good].astype(np.int64),
+                            "ga": np.where(first, gu, gw), "gb": np.where(first, gw, gu),
+                        })
 
         edges = f"a {kind}, b {kind}, reach bigint, ga {kind}, gb {kind}"
         found = metric.met(left, right, metric.meetings(left, right), run, edges)

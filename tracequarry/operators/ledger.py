@@ -209,56 +209,67 @@ def mark_attempts(cards: DataFrame, tried: DataFrame, rejected: DataFrame, max_r
     ).drop("__t", "__r")
 
 
-def comparison_jobs(edits: DataFrame, cards: DataFrame) -> DataFrame:
-    """(edit_id, task_id, task_family, evidence_id, start, end, support_count, rn): replay jobs per edit.
-
-    An edit's cards and their trigger ranges, best supported first. ``edits`` needs edit_id and
-    evidence_ids; ``cards`` evidence_id, support_count, trigger_ranges and supporting_tasks.
-    """
+def job_spans(edits: DataFrame, cards: DataFrame) -> DataFrame:
+    """One row for each edit, card and trigger range: what ``comparison_jobs`` ranks, with the places of card and range."""
     wanted = edits.select("edit_id", F.posexplode("evidence_ids").alias("at", "evidence_id"))
     ranges = cards.select(
         "evidence_id", F.coalesce("support_count", F.lit(1)).alias("support_count"), "supporting_tasks", F.posexplode("trigger_ranges").alias("nth", "r")
     ).where(F.coalesce("r.task_id", F.lit("")) != "")
     family = F.get(F.reverse(F.filter("supporting_tasks", lambda t: t["task_id"] == F.col("r.task_id"))), F.lit(0))["task_family"]
-    jobs = wanted.join(ranges, "evidence_id").select(
+    return wanted.join(ranges, "evidence_id").select(
         "edit_id", F.col("r.task_id").alias("task_id"), F.coalesce(family, F.lit("")).alias("task_family"), "evidence_id",
         F.col("r.start").alias("start"), F.col("r.end").alias("end"), "support_count", "at", "nth",
     )
+
+
+def comparison_jobs(edits: DataFrame, cards: DataFrame) -> DataFrame:
+    """(edit_id, task_id, task_family, evidence_id, start, end, support_count, rn): replay jobs per edit.
+
+    An edit's cards and their trigger ranges, best supported first. ``edits`` needs edit_id and
+    evidence_ids; ``cards`` evidence_id, support_count, trigger_ranges and supporting_tasks.
+    """
     order = Window.partitionBy("edit_id").orderBy(F.desc("support_count"), "task_family", "task_id", "at", "nth")
-    return jobs.withColumn("rn", F.row_number().over(order)).drop("at", "nth")
+    return job_spans(edits, cards).withColumn("rn", F.row_number().over(order)).drop("at", "nth")
 
 
-def pick_tasks(jobs: list[dict], edits: list[str], seed: int, limit: int = 20) -> list[dict]:
-    """Tasks to compare: one per edit in turn, then the rest, edits without one first.
+def picked_tasks(jobs: DataFrame, edits: DataFrame, by: str, seed: int, limit: int = 20) -> DataFrame:
+    """(by, place, task_id, edit_id, evidence_id, start, end, support_count, origin_edit_ids): the tasks each list compares.
 
-    Each pick depends on those before it, so this runs on one edit list, of at most ``limit``
-    picks. ``jobs`` are rows of ``comparison_jobs``.
+    The rule picks one after the other, but needs no loop. First each edit, in order, asks for the task of
+    its best job: the tasks taken are those first asked for, up to ``limit``, and the edits that asked for
+    them are covered. Then jobs come in the order of (not covered first, support, family, task, edit, lot):
+    the tasks added are the first new ones of that order, and it ends with the one that fills the list. So
+    both steps are the least places of tasks, and edits join a task for each job up to that end.
+
+    ``jobs`` are rows of ``comparison_jobs``, ``edits`` has ``by``, edit_id (each in one list) and ord. A
+    list without jobs has no rows. Places count from 0. Ranks are over tasks of a list and keep ``limit``.
     """
-    import hashlib
-
-    chosen: dict[str, dict] = {}
-    covered: set[str] = set()
-    by_edit: dict[str, list[dict]] = {}
-    for j in sorted(jobs, key=lambda j: (j["edit_id"], j["rn"])):
-        by_edit.setdefault(j["edit_id"], []).append(j)
-
-    def take(edit: str, job: dict) -> None:
-        row = chosen.setdefault(job["task_id"], {**job, "origin_edit_ids": []})
-        if edit not in row["origin_edit_ids"]:
-            row["origin_edit_ids"].append(edit)
-
-    for edit in edits:
-        own = by_edit.get(edit)
-        if own and (own[0]["task_id"] in chosen or len(chosen) < limit):
-            take(edit, own[0])
-            covered.add(edit)
-
-    def key(j: dict) -> tuple:
-        shuffled = hashlib.sha256(f"{seed}:{j['edit_id']}:{j['task_id']}:{j['rn']}".encode()).hexdigest()
-        return (j["edit_id"] in covered, -j["support_count"], j["task_family"], j["task_id"], j["edit_id"], shuffled)
-
-    for j in sorted(jobs, key=key):
-        if len(chosen) >= limit:
-            break
-        take(j["edit_id"], j)
-    return list(chosen.values())[:limit]
+    limit = max(0, limit)
+    own = jobs.join(edits.select(by, "edit_id", F.col("ord").alias("turn")), "edit_id")
+    job = F.struct("edit_id", "evidence_id", "start", "end", "support_count")
+    top = own.where("rn = 1")
+    asked = top.groupBy(by, "task_id").agg(F.min(F.struct("turn", job.alias("job"))).alias("first"))
+    spot = F.row_number().over(Window.partitionBy(by).orderBy("first.turn", "first.job.edit_id"))
+    taken = asked.withColumn("place", spot).where(F.col("place") <= limit)
+    taken = staged(taken.select(by, "task_id", (F.col("place") - 1).alias("place"), "first.job"), "picked")
+    covering = top.join(taken.select(by, "task_id"), [by, "task_id"])
+    covered = covering.select("edit_id", F.lit(1).alias("covered")).distinct()
+    shuffled = F.sha2(F.concat_ws(":", F.lit(str(seed)), "edit_id", "task_id", F.col("rn").cast("string")), 256)
+    rank = F.struct(F.coalesce("covered", F.lit(0)).alias("covered"), (-F.col("support_count")).alias("less"), "task_family", "task_id", "edit_id", shuffled.alias("lot"))
+    rest = staged(own.join(covered, "edit_id", "left").select(by, "task_id", "edit_id", rank.alias("rank"), job.alias("job")), "rest")
+    held = taken.groupBy(by).agg(F.count(F.lit(1)).alias("held"))
+    fresh = rest.join(taken.select(by, "task_id"), [by, "task_id"], "left_anti").groupBy(by, "task_id").agg(F.min(F.struct("rank", "job")).alias("first"))
+    fresh = fresh.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy("first.rank"))).where(F.col("nth") <= limit)
+    fresh = fresh.join(held, by, "left").withColumn("held", F.coalesce("held", F.lit(0))).where(F.col("held") + F.col("nth") <= limit)
+    fresh = staged(fresh.select(by, "task_id", (F.col("held") + F.col("nth") - 1).cast("int").alias("place"), "first.job", "first.rank"), "picked")
+    chosen = taken.unionByName(fresh.drop("rank"))
+    # a full list ends with the job that filled it; one that isn't goes through all jobs, one full from the start through none
+    ends = chosen.groupBy(by).agg(F.count(F.lit(1)).alias("n")).join(fresh.groupBy(by).agg(F.max("rank").alias("end")), by, "left")
+    later = rest.join(ends, by).where((F.col("n") < limit) | (F.col("rank") <= F.col("end")))
+    none = F.lit(None).cast(rest.schema["rank"].dataType)
+    said = covering.select(by, "task_id", "edit_id", F.struct(F.lit(0).alias("step"), "turn", none.alias("rank")).alias("o")).unionByName(
+        later.select(by, "task_id", "edit_id", F.struct(F.lit(1).alias("step"), F.lit(0).cast(edits.schema["ord"].dataType).alias("turn"), "rank").alias("o"))
+    )
+    origins = said.groupBy(by, "task_id", "edit_id").agg(F.min("o").alias("o")).groupBy(by, "task_id").agg(F.sort_array(F.collect_list(F.struct("o", "edit_id"))).alias("e"))
+    met = chosen.join(origins, [by, "task_id"])
+    return met.select(by, "place", "task_id", "job.*", F.transform("e", lambda x: x["edit_id"]).alias("origin_edit_ids"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracequarry.functions.text import REGION_END, REGION_START
+from tracequarry.operators import fold
 
 OPS = ("append", "insert_after", "insert_after_section", "replace", "delete")
 
@@ -74,22 +75,25 @@ def fold_edits(documents: DataFrame, edits: DataFrame, key: str = "doc_id", text
     """(key, text, applied, failed): each document with its edits applied in order; failures don't stop.
 
     With ``whole`` one failure leaves the document as it was. ``edits`` needs the key, ord, edit_id, op,
-    target and content. Each document is folded by itself.
+    target and content. A document's edits stream through a fold, which keeps the document and the ids;
+    rows with one key are documents of their own, each with all edits. Edits without a document are lost.
     """
-    schema = f"{key} {documents.schema[key].dataType.simpleString()}, {text} string, applied array<string>, failed array<string>"
-
-    def run(keys, docs: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for k, doc in zip(docs[key], docs[text], strict=True):
-            doc, applied, failed = doc or "", [], []
-            given = doc
-            for e in todo.sort_values(["ord", "edit_id"]).itertuples():
-                doc, reason = apply_edit(doc, e.op, e.target, e.content)
-                (failed if reason else applied).append(e.edit_id if not reason else f"{e.edit_id}:{reason}")
-            if whole and failed:
-                doc, applied = given, []
-            out.append((k, doc, applied, failed))
-        return pd.DataFrame(out, columns=[key, text, "applied", "failed"])
-
-    wanted = edits.select(key, "ord", "edit_id", "op", "target", "content")
-    return documents.select(key, text).groupBy(key).cogroup(wanted.groupBy(key)).applyInPandas(run, schema)
+    none = {c: F.lit(None).cast(t) for c, t in {"name": "string", "op": "string", "target": "string", "content": "string"}.items()}
+    orders = {c: edits.schema[c].dataType for c in ("ord", "edit_id")}
+    given = documents.select(F.col(key).alias("k"), F.lit(0).alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in orders.items()), *(v.alias(c) for c, v in none.items()), F.col(text).alias("doc"))
+    wanted = edits.select(F.col(key).alias("k"), F.lit(1).alias("kind"), "ord", "edit_id", F.col("edit_id").cast("string").alias("name"), "op", "target", "content", F.lit(None).cast("string").alias("doc"))
+
+    def step(docs: list, row) -> None:
+        if not row.kind:
+            docs.append([row.doc or "", row.doc or "", [], []])
+            return
+        for d in docs:
+            d[0], reason = apply_edit(d[0], row.op, row.target, row.content)
+            (d[3] if reason else d[2]).append(f"{row.name}:{reason}" if reason else row.name)
+
+    def end(k, docs: list) -> list[tuple]:
+        return [(k, before, [], failed) if whole and failed else (k, now, applied, failed) for now, before, applied, failed in docs]
+
+    schema = f"k {documents.schema[key].dataType.simpleString()}, {text} string, applied array<string>, failed array<string>"
+    made = fold.folded(given.unionByName(wanted), "k", ["kind", "ord", "edit_id"], list, step, end, schema)
+    return made.withColumnRenamed("k", key)

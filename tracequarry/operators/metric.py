@@ -5,7 +5,8 @@ pivot, into blocks of bounded size, so a cell that holds most vectors has many b
 its middle and its radius. A vector's k-th neighbour is at most as far as the k-th within its own block,
 or as the far end of any cell that holds enough vectors; blocks meet only if, by the triangle inequality,
 a vector of one can lie that near to a vector of the other. Inside a meeting only the rows that can gain
-from it take part.
+from it take part; products are made in single precision, and what may be near enough, their error
+allowed for, is computed again in double precision.
 
 How much that saves is a matter of the data: vectors in groups or of few dimensions meet few blocks,
 while random ones of many dimensions are all about equally far from each other, and meet most.
@@ -24,8 +25,10 @@ from pyspark.sql.window import Window
 
 from tracequarry.session import staged
 
-BLOCK = 1024
+BLOCK = 8192
 PIVOTS = 1024
+#: Rows of a block that are compared at once.
+SLICE = 1024
 #: Squared distances may be off by this much: cosines are rounded to six decimals.
 SLACK = 1e-5
 
@@ -36,6 +39,23 @@ def units(rows: pd.Series) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def matrix(data: bytes, count: int, width: int) -> np.ndarray:
+    """The unit vectors of a block, which holds them as they came, in single or double precision."""
+    kind = np.float32 if len(data) == 4 * count * width else np.float64
+    x = np.frombuffer(data, dtype=kind).reshape(count, width).astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def error(width: int) -> float:
+    """How far a product of unit vectors in single precision may be off."""
+    return (width + 4) * 2.0**-23
+
+
+def slices(rows: np.ndarray) -> Iterator[np.ndarray]:
+    for at in range(0, len(rows), SLICE):
+        yield rows[at : at + SLICE]
+
+
 def placed(x: np.ndarray) -> np.ndarray:
     """Points for the bounds: a vector of zeros, whose cosines are all 0, gets a dimension of its own."""
     return np.hstack([x, (~x.any(axis=1)).astype(np.float64)[:, None]])
@@ -71,11 +91,13 @@ def pivots_of(vectors: DataFrame, count: int, block: int = BLOCK) -> np.ndarray:
 
 
 def blocks_of(vectors: DataFrame, pivots: np.ndarray, count: int, block: int = BLOCK) -> DataFrame:
-    """(b, cell, size, far, ids, data, middle, radius): blocks of one cell each, ids ascending.
+    """(b, cell, size, far, ids, width, data, middle, radius): blocks of one cell each, ids ascending.
 
-    Takes (id, v). ``data`` is a matrix of doubles, ``far`` the largest distance from the pivot.
+    Takes (id, v). ``data`` is the vectors as they came, of single or double precision, ``far`` the largest
+    distance from the pivot.
     """
-    kind = vectors.schema["id"].dataType.simpleString()
+    kind, own = (vectors.schema[c].dataType.simpleString() for c in ("id", "v"))
+    stored = np.float32 if own == "array<float>" else np.float64
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -89,18 +111,18 @@ def blocks_of(vectors: DataFrame, pivots: np.ndarray, count: int, block: int = B
             for cell, own in pdf.groupby("cell"):
                 for at in range(0, len(own), block):
                     part = own.iloc[at : at + block].sort_values("id")
-                    x = units(part["v"])
-                    points = placed(x)
+                    raw = np.array(part["v"].tolist(), dtype=stored)
+                    points = placed(units(part["v"]))
                     middle = points.mean(axis=0)
                     radius = distances(points, middle[None]).max()
                     yield pd.DataFrame({
                         "cell": [int(cell)], "size": [len(part)], "far": [part["r"].max()], "ids": [part["id"].tolist()],
-                        "data": [x.tobytes()], "middle": [middle.tobytes()], "radius": [radius],
+                        "width": [raw.shape[1]], "data": [raw.tobytes()], "middle": [middle.tobytes()], "radius": [radius],
                     })
 
-    dealt = vectors.mapInPandas(deal, f"id {kind}, v array<double>, cell int, r double")
+    dealt = vectors.mapInPandas(deal, f"id {kind}, v {own}, cell int, r double")
     runs = dealt.repartitionByRange(max(1, -(-count // (8 * block))), "cell", "r", "id").sortWithinPartitions("cell", "r", "id")
-    packed = runs.mapInPandas(pack, f"cell int, size int, far double, ids array<{kind}>, data binary, middle binary, radius double")
+    packed = runs.mapInPandas(pack, f"cell int, size int, far double, ids array<{kind}>, width int, data binary, middle binary, radius double")
     return staged(packed.withColumn("b", F.monotonically_increasing_id()), "metric-blocks")
 
 
@@ -121,13 +143,16 @@ def asking(blocks: DataFrame, cells: Cells, k: int, same: bool) -> DataFrame:
         for pdf in batches:
             taus, where = [], []
             for r in pdf.itertuples():
-                x = np.frombuffer(r.data).reshape(len(r.ids), -1)
+                x = matrix(r.data, len(r.ids), r.width)
                 d = distances(placed(x), c.pivots)
                 far = np.where(c.size >= k + 1, d + c.reach, np.inf).min(axis=1)
                 if same and len(x) > k:
-                    near = np.round(x @ x.T, 6)
-                    np.fill_diagonal(near, -np.inf)
-                    far = np.minimum(far, np.sqrt(np.maximum(0, 2 - 2 * -np.partition(-near, k - 1, axis=1)[:, k - 1])))
+                    single = x.astype(np.float32)
+                    for rows in slices(np.arange(len(x))):
+                        near = single[rows] @ single.T
+                        near[np.arange(len(rows)), rows] = -np.inf
+                        kth = np.partition(near, -k, axis=1)[:, -k].astype(np.float64) - error(r.width)
+                        far[rows] = np.minimum(far[rows], np.sqrt(np.maximum(0, 2 - 2 * kth)))
                 tau = np.sqrt(far * far + SLACK)
                 tau[~x.any(axis=1)] = np.inf
                 taus.append(tau.tobytes())
@@ -135,7 +160,7 @@ def asking(blocks: DataFrame, cells: Cells, k: int, same: bool) -> DataFrame:
             yield pdf.assign(tau=taus, cells=where)
 
     kind = blocks.schema["ids"].dataType.simpleString()
-    out = f"cell int, size int, far double, ids {kind}, data binary, middle binary, radius double, b bigint, tau binary, cells array<int>"
+    out = f"cell int, size int, far double, ids {kind}, width int, data binary, middle binary, radius double, b bigint, tau binary, cells array<int>"
     return blocks.mapInPandas(run, out)
 
 
@@ -196,16 +221,18 @@ def nearest(vectors: DataFrame, others: DataFrame, key: str, vector: str, k: int
         for pdf in batches:
             for r in pdf.itertuples():
                 ids, other = np.array(r.ids), np.array(r.o_ids)
-                x, y = np.frombuffer(r.data).reshape(len(ids), -1), np.frombuffer(r.o_data).reshape(len(other), -1)
-                part = taking_part(x, np.frombuffer(r.tau), r.o_middle, r.o_radius)
-                if not len(part):
-                    continue
-                near = np.round(x[part] @ y.T, 6)
-                near[ids[part][:, None] == other[None, :]] = -np.inf
-                order = np.argsort(-near, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(part)), order.shape[1])
-                made = pd.DataFrame({"id": ids[part][rows], "neighbour": other[order.ravel()], "cosine": near[rows, order.ravel()]})
-                yield made[np.isfinite(made["cosine"])]
+                x, y, tau = matrix(r.data, len(ids), r.width), matrix(r.o_data, len(other), r.o_width), np.frombuffer(r.tau)
+                single = y.astype(np.float32).T
+                least = 1 - tau * tau / 2 - SLACK - error(r.width)
+                for part in slices(taking_part(x, tau, r.o_middle, r.o_radius)):
+                    row, col = np.nonzero(x[part].astype(np.float32) @ single >= least[part][:, None])
+                    row, col = (v[ids[part][row] != other[col]] for v in (row, col))
+                    cosine = np.round((x[part][row] * y[col]).sum(axis=1), 6)
+                    order = np.lexsort((col, -cosine, row))
+                    row, col, cosine = row[order], col[order], cosine[order]
+                    starts = np.searchsorted(row, np.arange(len(part)))
+                    best = np.arange(len(row)) - starts[row] < k
+                    yield pd.DataFrame({"id": ids[part][row[best]], "neighbour": other[col[best]], "cosine": cosine[best]})
 
     pairs = meetings(asked, right)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
@@ -213,7 +240,8 @@ def nearest(vectors: DataFrame, others: DataFrame, key: str, vector: str, k: int
 
 
 def whole(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    v = F.col(vector).cast("array<double>")
+    v = F.col(vector)
+    v = v if vectors.schema[vector].dataType.simpleString() == "array<float>" else v.cast("array<double>")
     return vectors.select(F.col(key).alias("id"), v.alias("v")).where(v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull()))
 
 
