@@ -341,8 +341,11 @@ def test_path_manifest(spark, tmp_path):
         (tmp_path / name / "game.pddl").write_text("x")
     (tmp_path / "t1" / "traj.json").write_text('{"task_type": "clean"}')
     schema = records.struct("task_type string")
-    got = records.read_path_manifest(spark, str(tmp_path), "game.pddl", "traj.json", schema).collect()
+    got = records.read_path_manifest(spark, str(tmp_path), "game.pddl", "traj.json", schema, None).collect()
     assert [(r["gamefile"].rsplit("/", 2)[1], r["task_type"]) for r in got] == [("t1", "clean")]
+    (tmp_path / "t2" / "traj.json").write_text('{"task_type": "pick_two_obj_and_place"}')
+    got = records.read_path_manifest(spark, str(tmp_path), "game.pddl", "traj.json", schema).collect()
+    assert [r["gamefile"].rsplit("/", 2)[1] for r in got] == ["t2"]
 
 
 @pytest.mark.parametrize("least", [2_000, 0])

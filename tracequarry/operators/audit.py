@@ -60,6 +60,31 @@ def positions(rows: DataFrame, key: str, order: list[str], by: str | None = None
     return dealt.join(offsets, "__part").select("value", (F.col("__ahead") + inside - 1).alias("pos"))
 
 
+# fixed values: the indices of the tasks of the fixed cohort, in their order
+COHORT = {
+    "train": (
+        1386, 1271, 1400, 105, 334, 1408, 368, 1422, 897, 1286, 1188, 621, 25, 1035, 142, 1343,
+        792, 1109, 1283, 1468, 1111, 180, 889, 361, 1124, 224, 914, 226, 640, 1282, 747, 1099,
+        729, 1122, 619, 1209, 276, 450, 328, 292, 110, 1148, 196, 493, 514, 1341, 766, 238,
+        1030, 1203, 574, 645, 618, 1351, 1472, 1313, 1365, 326, 331, 899, 1186, 147, 1375, 1327,
+        1340, 1121, 79, 847, 958, 1092, 1239, 904, 1170, 471, 1242, 174, 392, 1290, 760, 1369,
+        202, 320, 699, 171, 81, 1345, 923, 1211, 1221, 956, 1015, 436, 353, 622, 1219, 953,
+    ),
+    "val": (
+        154, 78, 82, 54, 65, 185, 137, 89, 100, 62, 136, 109, 86, 46, 49, 193,
+        150, 119, 13, 67, 157, 190, 171, 91, 64, 47, 156, 167, 51, 33, 36, 143,
+        177, 126, 165, 73, 61, 176, 116, 153, 149, 188, 160, 41, 20, 68, 123, 135,
+    ),
+}
+
+
+def fixed_cohort(rows: DataFrame, key: str) -> DataFrame:
+    """(part, ord, columns of rows): the rows whose key is an index of the cohort, in its order; those missing are left out."""
+    wanted = [(part, i, k) for part, keys in COHORT.items() for i, k in enumerate(keys)]
+    listed = rows.sparkSession.createDataFrame(wanted, "part string, ord int, __index long")
+    return F.broadcast(listed).join(rows, F.col("__index") == F.col(key)).drop("__index")
+
+
 def order_mismatch(have: DataFrame, want: DataFrame, by: str | None = None) -> DataFrame:
     """First position at which two position tables differ, with both values there."""
     on = ["pos", *([by] if by else [])]

@@ -29,6 +29,8 @@ BLOCK = 8192
 PIVOTS = 1024
 #: Rows of a block that are compared at once.
 SLICE = 1024
+#: Blocks that a block meets in one task.
+AT_ONCE = 64
 #: Squared distances may be off by this much: cosines are rounded to six decimals.
 SLACK = 1e-5
 
@@ -186,11 +188,17 @@ def meetings(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "cell").select("a", "a_middle", "a_radius", "most", "b", "b_middle", "b_radius").mapInPandas(kept, "a bigint, b bigint")
 
 
-def met(left: DataFrame, right: DataFrame, pairs: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], out: str) -> DataFrame:
+def met(left: DataFrame, right: DataFrame, pairs: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], out: str, at_once: int = 0) -> DataFrame:
     """Runs ``run`` over rows that hold a block of ``left`` and, with ``o_`` in front, one of ``right``."""
     own = left.drop("cells", "middle", "radius", "cell", "far", "size").withColumnRenamed("b", "a")
     others = right.drop("cell", "far", "size").select(*(F.col(c).alias(c if c == "b" else f"o_{c}") for c in right.columns if c not in ("cell", "far", "size")))
-    return pairs.join(own, "a").join(others, "b").mapInPandas(run, out)
+    rows = pairs.join(own, "a").join(others, "b")
+    if at_once:
+        # a task has a block's meetings in a row, and so a vector's best of all of them
+        count, chunks = own.count(), max(1, -(-others.count() // at_once))
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(chunks)).cast("int"))
+        rows = rows.repartition(max(1, min(count * chunks, 10_000)), "a", "chunk").sortWithinPartitions("a", "chunk")
+    return rows.mapInPandas(run, out)
 
 
 def taking_part(x: np.ndarray, tau: np.ndarray, middle: bytes, radius: float) -> np.ndarray:
@@ -199,6 +207,50 @@ def taking_part(x: np.ndarray, tau: np.ndarray, middle: bytes, radius: float) ->
     return np.flatnonzero(apart <= tau + SLACK)
 
 
+class Best:
+    """The k nearest so far of each vector of a block, while it meets one block after the other."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, tau: np.ndarray, k: int) -> None:
+        self.x, self.single, self.ids, self.tau, self.k = x, x.astype(np.float32), ids, tau.copy(), k
+        self.row, self.other, self.cosine = np.zeros(0, dtype=np.int64), ids[:0], np.zeros(0)
+
+    def meet(self, y: np.ndarray, others: np.ndarray, middle: bytes, radius: float) -> None:
+        width, single = y.shape[1], y.astype(np.float32).T
+        rows, found, cosines = [self.row], [self.other], [self.cosine]
+        for part in slices(taking_part(self.x, self.tau, middle, radius)):
+            least = 1 - self.tau[part] ** 2 / 2 - SLACK - error(width)
+            row, col = np.nonzero(self.single[part] @ single >= least[:, None])
+            row = part[row]
+            own = self.ids[row] != others[col]
+            row, col = row[own], col[own]
+            for at in range(0, len(row), 1 << 18):
+                r, c = row[at : at + (1 << 18)], col[at : at + (1 << 18)]
+                cosine = np.round((self.x[r] * y[c]).sum(axis=1), 6)
+                keep = top(r, others[c], cosine, self.k)
+                rows.append(r[keep])
+                found.append(others[c][keep])
+                cosines.append(cosine[keep])
+        row, other, cosine = np.concatenate(rows), np.concatenate(found), np.concatenate(cosines)
+        keep = top(row, other, cosine, self.k)
+        self.row, self.other, self.cosine = row[keep], other[keep], cosine[keep]
+        # a vector with k of them needs none that is farther than the last
+        last = np.flatnonzero(np.r_[self.row[1:] != self.row[:-1], True]) if len(self.row) else np.zeros(0, dtype=np.int64)
+        full = last[np.bincount(self.row, minlength=len(self.x))[self.row[last]] >= self.k]
+        self.tau[self.row[full]] = np.minimum(self.tau[self.row[full]], np.sqrt(np.maximum(0, 2 - 2 * self.cosine[full]) + SLACK))
+
+    def found(self) -> pd.DataFrame:
+        return pd.DataFrame({"id": self.ids[self.row], "neighbour": self.other, "cosine": self.cosine})
+
+
+def top(row: np.ndarray, other: np.ndarray, cosine: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k entries of each row with the highest cosine, ties by the other's id; sorted so."""
+    order = np.lexsort((other, -cosine, row))
+    ordered = row[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, dtype=np.int64)
+    place = np.arange(len(ordered)) - np.repeat(starts, np.diff(np.r_[starts, len(ordered)]))
+    return order[place < k]
+
+
 def nearest(vectors: DataFrame, others: DataFrame, key: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
     """(key, neighbour, cosine, rn): the k of ``others`` most alike to each vector but itself, exactly.
 
@@ -218,25 +270,20 @@ def nearest(vectors: DataFrame, others: DataFrame, key: str, vector: str, k: int
     asked = staged(asking(left, cells_of(right, pivots), k, same), "metric-asking")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, best = None, None
         for pdf in batches:
             for r in pdf.itertuples():
-                ids, other = np.array(r.ids), np.array(r.o_ids)
-                x, y, tau = matrix(r.data, len(ids), r.width), matrix(r.o_data, len(other), r.o_width), np.frombuffer(r.tau)
-                single = y.astype(np.float32).T
-                least = 1 - tau * tau / 2 - SLACK - error(r.width)
-                for part in slices(taking_part(x, tau, r.o_middle, r.o_radius)):
-                    row, col = np.nonzero(x[part].astype(np.float32) @ single >= least[part][:, None])
-                    row, col = (v[ids[part][row] != other[col]] for v in (row, col))
-                    cosine = np.round((x[part][row] * y[col]).sum(axis=1), 6)
-                    order = np.lexsort((col, -cosine, row))
-                    row, col, cosine = row[order], col[order], cosine[order]
-                    starts = np.searchsorted(row, np.arange(len(part)))
-                    best = np.arange(len(row)) - starts[row] < k
-                    yield pd.DataFrame({"id": ids[part][row[best]], "neighbour": other[col[best]], "cosine": cosine[best]})
+                if (r.a, r.chunk) != now:
+                    if best is not None:
+                        yield best.found()
+                    now, best = (r.a, r.chunk), Best(matrix(r.data, len(r.ids), r.width), np.array(r.ids), np.frombuffer(r.tau), k)
+                best.meet(matrix(r.o_data, len(r.o_ids), r.o_width), np.array(r.o_ids), r.o_middle, r.o_radius)
+        if best is not None:
+            yield best.found()
 
     pairs = meetings(asked, right)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
-    return met(asked, right, pairs, run, found).withColumn("rn", rank).where(F.col("rn") <= k).withColumnRenamed("id", key)
+    return met(asked, right, pairs, run, found, AT_ONCE).withColumn("rn", rank).where(F.col("rn") <= k).withColumnRenamed("id", key)
 
 
 def whole(vectors: DataFrame, key: str, vector: str) -> DataFrame:

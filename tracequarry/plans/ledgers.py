@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.operators import ledger
+from tracequarry.operators import jobs, ledger
 from tracequarry.plans.base import Plans, table
 
 P = Plans()
@@ -27,22 +29,38 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EDITS_SQL = """WITH e AS (SELECT doc_id AS ord, printf('W%06d', doc_id) AS edit_id, lang AS target, text AS content, source, n_chars, doc_id % 4 AS lvl, trim(text) AS k FROM documents),
-v AS (SELECT ord, target, k, 2 * ord AS o, CAST(ord % 50 AS VARCHAR) AS x FROM e UNION ALL SELECT ord, target, k, 2 * ord + 1, 's' || (ord % 7) FROM e),
-f AS (SELECT target, k, x, min(o) AS o FROM v GROUP BY 1, 2, 3),
-i AS (SELECT target, k, string_agg(x, ',' ORDER BY o) AS evidence_ids FROM f GROUP BY 1, 2)
+v AS (
+  SELECT ord, target, k, 'evidence_ids' AS list, 0 AS after, 0 AS spot, CAST(ord % 50 AS VARCHAR) AS x FROM e UNION ALL SELECT ord, target, k, 'evidence_ids', 0, 1, 's' || (ord % 7) FROM e
+  UNION ALL SELECT ord, target, k, 'failure_types', 0, 0, source FROM e UNION ALL SELECT ord, target, k, 'failure_types', 0, 1, 'f' || (ord % 3) FROM e
+  UNION ALL SELECT ord, target, k, 'patterns', 0, 0, x FROM (SELECT *, regexp_replace(left(content, 12), '^\\s+|\\s+$', '', 'g') AS x FROM e) WHERE x <> ''
+  UNION ALL SELECT ord, target, k, 'source_edit_ids', 0, 0, 'S' || (ord % 11) FROM e
+  UNION ALL SELECT ord, target, k, 'source_edit_ids', 1, 0, 'C' || ord FROM e WHERE ord % 2 = 0
+), n AS (SELECT target, k, count(*) AS copies FROM e GROUP BY 1, 2),
+f AS (SELECT target, k, list, x, min({'after': after, 'ord': ord, 'spot': spot}) AS o FROM v GROUP BY 1, 2, 3, 4),
+i AS (SELECT f.target, f.k, list, string_agg(x, ',' ORDER BY o) AS said FROM f JOIN n ON n.target = f.target AND n.k = f.k WHERE copies > 1 OR o.after = 0 GROUP BY 1, 2, 3)
 """
 
 
 @P.query(EDITS_SQL + """
-SELECT min(e.ord) AS ord, arg_min(edit_id, e.ord) AS edit_id, any_value(i.evidence_ids) AS evidence_ids,
+SELECT min(e.ord) AS ord, arg_min(edit_id, e.ord) AS edit_id, any_value(a.said) AS evidence_ids, any_value(b.said) AS source_edit_ids, any_value(c.said) AS failure_types, coalesce(any_value(d.said), '') AS patterns,
   CASE WHEN count(DISTINCT source) > 1 THEN 'mixed' ELSE min(source) END AS source_type, max(n_chars) AS support_count, max(lvl) AS merge_level,
   CASE WHEN count(*) > 1 THEN string_agg(edit_id, ',' ORDER BY e.ord) END AS merged_from
-FROM e JOIN i ON e.target = i.target AND e.k = i.k GROUP BY e.target, e.k""")
+FROM e JOIN i a ON e.target = a.target AND e.k = a.k AND a.list = 'evidence_ids' JOIN i b ON e.target = b.target AND e.k = b.k AND b.list = 'source_edit_ids'
+  JOIN i c ON e.target = c.target AND e.k = c.k AND c.list = 'failure_types' LEFT JOIN i d ON e.target = d.target AND e.k = d.k AND d.list = 'patterns' GROUP BY e.target, e.k""")
 def coalesce_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = ledger.coalesce_edits(edits(spark, sf_dir))
-    return made.select(
-        "ord", "edit_id", F.array_join("evidence_ids", ",").alias("evidence_ids"), "source_type", "support_count", "merge_level", F.array_join("merged_from", ",").alias("merged_from")
+    """Equal documents as one edit, with all four lists that are united, and candidates that join the sources."""
+    n = F.col("ord").cast("string")
+    rows = edits(spark, sf_dir).withColumns(
+        {
+            "source_edit_ids": F.array(F.concat(F.lit("S"), (F.col("ord") % 11).cast("string"))),
+            "failure_types": F.array("source_type", F.concat(F.lit("f"), (F.col("ord") % 3).cast("string"))),
+            "patterns": F.array(F.substring("content", 1, 12)),
+            "candidate_id": F.when(F.col("ord") % 2 == 0, F.concat(F.lit("C"), n)),
+        }
     )
+    made = ledger.coalesce_edits(rows)
+    lists = ("evidence_ids", "source_edit_ids", "failure_types", "patterns", "merged_from")
+    return made.select("ord", "edit_id", *(F.array_join(c, ",").alias(c) for c in lists), "source_type", "support_count", "merge_level")
 
 
 @P.query("""
@@ -126,9 +144,9 @@ def archive_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.without(table(spark, sf_dir, "documents").select("doc_id"), gone, "doc_id")
 
 
-@P.query("SELECT doc_id AS id FROM documents WHERE n_chars > 1000 EXCEPT SELECT doc_id FROM labels WHERE toxic = 0")
+@P.query("SELECT doc_id AS id FROM documents EXCEPT SELECT doc_id FROM labels WHERE toxic = 0")
 def uncited_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = table(spark, sf_dir, "documents").where("n_chars > 1000").select(F.col("doc_id").alias("id"))
+    chosen = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     cited = table(spark, sf_dir, "labels").where("toxic = 0").select(F.col("doc_id").alias("id"))
     return ledger.without(chosen.distinct(), cited, "id")
 
@@ -147,13 +165,15 @@ def evidence_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("evidence_id", F.col("attempts").cast("long").alias("attempts"), F.col("rejects").cast("long").alias("rejects"), "l2_status")
 
 
-@P.query("""
+JOBS_SQL = """
 WITH r AS (SELECT o_custkey, 'T' || (o_orderkey % 200) AS task_id, o_orderkey % 5 AS start, o_orderkey % 5 + 3 AS "end", count(*) OVER (PARTITION BY o_custkey) AS support,
   CASE WHEN (o_orderkey % 200) % 2 = 0 THEN 'even' ELSE '' END AS task_family FROM orders)
 SELECT printf('M%06d', c_custkey) AS edit_id, task_id, task_family, CAST(c_custkey AS VARCHAR) AS evidence_id, start, "end", support AS support_count,
-  CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY task_family, task_id, start) AS INTEGER) AS rn FROM customer JOIN r ON o_custkey = c_custkey""")
-def comparison_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replay jobs of all customers' edits, ranked for each edit."""
+  CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY task_family, task_id, start) AS INTEGER) AS rn FROM customer JOIN r ON o_custkey = c_custkey"""
+
+
+def edits_and_cards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as edits, each citing the card that its orders make."""
     task = F.concat(F.lit("T"), (F.col("o_orderkey") % 200).cast("string"))
     span = F.struct(task.alias("task_id"), (F.col("o_orderkey") % 5).alias("start"), (F.col("o_orderkey") % 5 + 3).alias("end"))
     known = F.when(F.col("o_orderkey") % 2 == 0, F.struct(task.alias("task_id"), F.lit("even").alias("task_family")))
@@ -163,4 +183,43 @@ def comparison_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = table(spark, sf_dir, "customer").select(
         F.format_string("M%06d", "c_custkey").alias("edit_id"), F.array(F.col("c_custkey").cast("string")).alias("evidence_ids")
     )
-    return ledger.comparison_jobs(made, evidence)
+    return made, evidence
+
+
+@P.query(JOBS_SQL)
+def comparison_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replay jobs of all customers' edits, ranked for each edit."""
+    return ledger.comparison_jobs(*edits_and_cards(spark, sf_dir))
+
+
+@P.query(JOBS_SQL)
+def replay_jobs_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same jobs by a call of SQL."""
+    jobs.register(spark)
+    view = f"spans_{uuid.uuid4().hex}"
+    ledger.job_spans(*edits_and_cards(spark, sf_dir)).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT * FROM replay_jobs(TABLE({view}))")
+
+
+@P.query("WITH j AS (" + JOBS_SQL + """),
+own AS (SELECT c_nationkey AS nation, c_custkey AS turn, j.* FROM j JOIN customer ON edit_id = printf('M%06d', c_custkey)),
+asked AS (SELECT nation, task_id, min(turn) AS turn FROM own WHERE rn = 1 GROUP BY 1, 2),
+taken AS (SELECT nation, task_id, turn, row_number() OVER (PARTITION BY nation ORDER BY turn) AS spot FROM asked QUALIFY spot <= 20),
+covered AS (SELECT DISTINCT edit_id FROM own JOIN taken USING (nation, task_id) WHERE rn = 1),
+rest AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY edit_id IN (SELECT edit_id FROM covered), support_count DESC, task_family, task_id, edit_id, sha256('7:' || edit_id || ':' || task_id || ':' || rn)) AS pl FROM own),
+fresh AS (SELECT nation, task_id, min(pl) AS pl FROM rest ANTI JOIN taken USING (nation, task_id) GROUP BY 1, 2),
+added AS (SELECT f.*, held + row_number() OVER (PARTITION BY nation ORDER BY pl) AS spot FROM fresh f JOIN (SELECT nation, count(*) AS held FROM taken GROUP BY 1) h USING (nation) QUALIFY spot <= 20),
+chosen AS (
+  SELECT nation, task_id, spot, o.edit_id, o.start, o.support_count FROM taken JOIN own o USING (nation, task_id, turn) WHERE o.rn = 1
+  UNION ALL SELECT nation, task_id, spot, r.edit_id, r.start, r.support_count FROM added JOIN rest r USING (nation, task_id, pl)),
+ends AS (SELECT c.nation, CASE WHEN count(*) < 20 THEN 1000000000 ELSE coalesce((SELECT max(pl) FROM added a WHERE a.nation = c.nation), 0) END AS last FROM chosen c GROUP BY 1),
+said AS (
+  SELECT nation, task_id, o.edit_id, CAST(o.turn AS BIGINT) AS o FROM taken JOIN own o USING (nation, task_id) WHERE o.rn = 1
+  UNION ALL SELECT r.nation, r.task_id, r.edit_id, 1000000000 + r.pl FROM rest r JOIN ends USING (nation) WHERE r.pl <= last),
+origins AS (SELECT nation, task_id, string_agg(edit_id, ',' ORDER BY o) AS origin_edit_ids FROM (SELECT nation, task_id, edit_id, min(o) AS o FROM said GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT nation, CAST(spot - 1 AS INTEGER) AS place, task_id, edit_id, start, support_count, origin_edit_ids FROM chosen JOIN origins USING (nation, task_id)""")
+def picked_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 tasks that the edits of each nation's customers compare; the limit is the operator."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.format_string("M%06d", "c_custkey").alias("edit_id"), F.col("c_custkey").alias("ord"))
+    made = ledger.picked_tasks(comparison_jobs(spark, sf_dir), rows, "nation", 7)
+    return made.select("nation", "place", "task_id", "edit_id", "start", "support_count", F.array_join("origin_edit_ids", ",").alias("origin_edit_ids"))

@@ -67,6 +67,14 @@ def select_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.select_by_index(table(spark, sf_dir, "part"), "p_partkey", indices, "k", "i").select("p_partkey", "p_name", "ord")
 
 
+@P.query(" UNION ALL ".join(
+    f"SELECT '{part}' AS part, i AS ord, k AS p_partkey, p_name FROM (SELECT unnest({list(keys)}) AS k, unnest(range({len(keys)})) AS i) JOIN part ON p_partkey = k" for part, keys in audit.COHORT.items()
+))
+def fixed_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by the index lists of the fixed cohort, as far as the table has them."""
+    return audit.fixed_cohort(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("p_partkey"), "p_name"), "p_partkey").withColumn("ord", F.col("ord").cast("long")).withColumn("p_partkey", F.col("p_partkey").cast("long"))
+
+
 @P.query("""SELECT count(*) AS strata, min(n) AS least, max(n) AS most, count(*) = 6 AND min(n) = 16 AND max(n) = 16 AS holds FROM (SELECT count(*) AS n FROM part GROUP BY p_type)""")
 def stratum_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.stratum_invariant(table(spark, sf_dir, "part"), "p_type", 6, 16)
@@ -150,7 +158,15 @@ def bundle_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", sampling.bundle_mode(F.col("event_id"), 3).alias("mode"))
 
 
-@P.query()
+@P.query("""
+WITH f AS (SELECT c_mktsegment FROM customer GROUP BY 1 ORDER BY sha256('42:0:family:' || c_mktsegment) LIMIT 1 OFFSET 1),
+p AS (SELECT *, row_number() OVER (ORDER BY sha256('42:0:' || c_custkey), c_custkey) - 1 AS spot FROM customer WHERE c_mktsegment = (SELECT c_mktsegment FROM f)),
+v AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY spot) > 1 AS again FROM p),
+same AS (SELECT c_custkey, c_mktsegment, c_nationkey, row_number() OVER (ORDER BY again, spot) AS pos FROM v ORDER BY again, spot LIMIT 40),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('42:0:' || c_custkey), c_custkey) AS rn FROM customer),
+o AS (SELECT *, row_number() OVER (ORDER BY rn, sha256('42:0:family:' || c_mktsegment)) - 1 AS pos FROM r),
+fill AS (SELECT c_custkey, c_mktsegment, c_nationkey, pos + 1000000000 AS pos FROM o WHERE pos // 40 = 3 AND c_custkey NOT IN (SELECT c_custkey FROM same))
+SELECT c_custkey, c_mktsegment, c_nationkey, CAST(row_number() OVER (ORDER BY pos) - 1 AS INTEGER) AS pos FROM (SELECT * FROM same UNION ALL SELECT * FROM fill ORDER BY pos LIMIT 40)""")
 def mixed_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     return sampling.mixed_bundle(rows, "c_custkey", "c_mktsegment", "c_nationkey", 40, 42, 3)

@@ -12,6 +12,7 @@ from tracequarry.operators import trajectory
 from tracequarry.plans.base import Plans, table
 from tracequarry.plans.steps import conversations_as_steps
 from tracequarry.sources import manifests
+from tracequarry.sources import records as files
 
 P = Plans()
 
@@ -173,7 +174,7 @@ def records_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trajectories written as JSON and read back with their type."""
     rows = conversations_as_steps(spark, sf_dir)
     kind = rows.schema["trajectory"].dataType
-    back = rows.select("conv_id", F.from_json(F.to_json("trajectory", {"ignoreNullFields": "false"}), kind).alias("t"))
+    back = files.deserialised(files.serialised(rows, "trajectory"), "trajectory", kind).select("conv_id", F.col("trajectory").alias("t"))
     said = F.transform("t", lambda s: F.concat(s["step"].cast("string"), s["action"], s["observation"]))
     return back.select("conv_id", F.sha2(F.array_join(said, "|"), 256).alias("sha"))
 
@@ -361,3 +362,65 @@ def map_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = each.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderpriority", "v"))).alias("m"))
     entries = F.array_sort(F.map_entries(render.upserted(F.col("m"), F.lit("1-URGENT"), F.lit("set"))))
     return maps.select("o_custkey", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("entries"))
+
+
+def role_answers(doc: Column, text: Column) -> dict[str, Column]:
+    """What each role answers about a document, by its contract: the id in one field, the whole text in another."""
+    ids = F.array(doc)
+    edit = [F.lit("append").alias("op"), F.lit("").alias("target"), text.alias("content")]
+    span = F.struct(doc.alias("task_id"), F.lit(1).alias("start"), F.lit(2).alias("end"))
+    found = F.struct(text.alias("pattern"), F.struct(*edit).alias("proposed_edit"), span.alias("trigger_range"))
+    cited = F.struct(*edit, ids.alias("evidence_ids"))
+    return {
+        "judge": F.struct(doc.alias("decision"), text.alias("reason")),
+        "extractor": F.struct(F.array(F.struct(text.alias("pattern"), F.struct(*edit).alias("proposed_edit"), F.array(span).alias("trigger_ranges"))).alias("evidence")),
+        "merger": F.struct(F.lit("x").alias("reasoning"), F.array(cited).alias("edits")),
+        "edit_judge": F.struct(F.lit("accept").alias("decision"), doc.alias("replay_failure_type"), text.alias("reason")),
+        "reflector": F.struct(F.lit("x").alias("reason"), cited.alias("revised_edit")),
+        "epoch_merger": F.struct(F.lit("x").alias("reasoning"), F.array(F.struct(*edit, ids.alias("evidence_ids"), ids.alias("source_edit_ids"))).alias("merged_edits")),
+        "repair": F.struct(F.lit("x").alias("reasoning"), F.array(cited).alias("repair_edits")),
+        "ranker": F.struct(ids.alias("selected_edit_ids"), F.array(text).alias("dropped_edit_ids")),
+        "coverage": F.struct(F.array(F.struct(doc.alias("evidence_id"), F.lit("keep").alias("decision"), text.alias("reason"))).alias("coverage")),
+        "memory": F.struct(doc.alias("reasoning"), text.alias("longitudinal_memory_content")),
+        "feedback": F.struct(text.alias("feedback")),
+        "contrast_judge": F.struct(F.lit("evidence").alias("decision"), F.lit("x").alias("reason"), found.alias("evidence")),
+        "epoch_judge": F.struct(F.lit("evidence").alias("decision"), F.lit("x").alias("reason"), found.alias("evidence")),
+    }
+
+
+#: Where the id and the text are found in the typed answer of a role.
+ANSWERED = {
+    "judge": ("decision", "reason"),
+    "extractor": ("evidence[0].trigger_ranges[0].task_id", "evidence[0].pattern"),
+    "merger": ("edits[0].evidence_ids[0]", "edits[0].content"),
+    "edit_judge": ("replay_failure_type", "reason"),
+    "reflector": ("revised_edit.evidence_ids[0]", "revised_edit.content"),
+    "epoch_merger": ("merged_edits[0].source_edit_ids[0]", "merged_edits[0].content"),
+    "repair": ("repair_edits[0].evidence_ids[0]", "repair_edits[0].content"),
+    "ranker": ("selected_edit_ids[0]", "dropped_edit_ids[0]"),
+    "coverage": ("coverage[0].evidence_id", "coverage[0].reason"),
+    "memory": ("reasoning", "longitudinal_memory_content"),
+    "feedback": ("feedback", "feedback"),
+    "contrast_judge": ("evidence.trigger_range.task_id", "evidence.pattern"),
+    "epoch_judge": ("evidence.trigger_range.task_id", "evidence.pattern"),
+}
+
+
+@P.query(f"""
+WITH r AS (SELECT doc_id, text, [{", ".join(f"'{r}'" for r in ANSWERED)}][doc_id % 13 + 1] AS role, doc_id % 17 = 0 AS torn FROM documents)
+SELECT doc_id, role, CASE WHEN torn THEN NULL WHEN role = 'feedback' THEN sha256(text) ELSE 'E' || doc_id END AS said, CASE WHEN NOT torn THEN sha256(text) END AS content FROM r""")
+def role_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the answer of one of the thirteen roles, in prose; every seventeenth is torn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("E"), F.col("doc_id").cast("string")).alias("id"))
+    out = None
+    for i, (role, answer) in enumerate(role_answers(F.col("id"), F.col("text")).items()):
+        whole = F.to_json(answer)
+        torn = F.when(F.col("doc_id") % 17 == 0, F.substring(whole, F.lit(1), F.char_length(whole) - 1)).otherwise(whole)
+        rows = docs.where(F.pmod("doc_id", F.lit(13)) == i).select("doc_id", F.concat(F.lit("Here it is:\n```json\n"), torn, F.lit("\n```")).alias("raw"))
+        good, bad = parsing.parse_contract(rows, F.col("raw"), role)
+        said, content = (F.expr(f"parsed.{x}") for x in ANSWERED[role])
+        said = F.sha2(said, 256) if role == "feedback" else said
+        made = good.select("doc_id", F.lit(role).alias("role"), said.alias("said"), F.sha2(content, 256).alias("content"))
+        made = made.unionByName(bad.select("doc_id", F.lit(role).alias("role"), F.lit(None).cast("string").alias("said"), F.lit(None).cast("string").alias("content")))
+        out = made if out is None else out.unionByName(made)
+    return out

@@ -72,12 +72,16 @@ def action_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @P.query("""
-WITH c AS (SELECT conv_id, turn, role, text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before FROM conversations)
+WITH s AS (SELECT conv_id, turn, role, CASE (conv_id + turn) % 6 WHEN 0 THEN 'Nothing happens.' WHEN 1 THEN 'That is NOT POSSIBLE' WHEN 2 THEN 'same as ever ' WHEN 3 THEN 'same as ever' ELSE text END AS text FROM conversations),
+c AS (SELECT *, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before FROM s)
 SELECT conv_id, turn FROM c WHERE lower(text) LIKE '%nothing happens%' OR lower(text) LIKE '%i don''t understand%' OR lower(text) LIKE '%you can''t%' OR lower(text) LIKE '%not possible%'
   OR lower(text) LIKE '%invalid%' OR (trim(before) = trim(text) AND role NOT IN ('look', 'inventory'))""")
 def bad_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in which two of six turns hold a phrase of failure and two more repeat each other."""
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
+    said = F.when(kind == 0, "Nothing happens.").when(kind == 1, "That is NOT POSSIBLE").when(kind == 2, "same as ever ").when(kind == 3, "same as ever").otherwise(F.col("text"))
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = table(spark, sf_dir, "conversations").withColumn("before", before)
+    rows = table(spark, sf_dir, "conversations").withColumn("text", said).withColumn("before", before)
     return rows.where(scalar.bad_step("before", "text", "role")).select("conv_id", "turn")
 
 

@@ -41,6 +41,16 @@ PATH_TASK_TYPES = (
 )
 
 
+def serialised(rows: DataFrame, column: str) -> DataFrame:
+    """A typed column as JSON text, nulls kept; a null stays null."""
+    return rows.withColumn(column, F.to_json(column, {"ignoreNullFields": "false"}))
+
+
+def deserialised(rows: DataFrame, column: str, kind: T.DataType) -> DataFrame:
+    """JSON text as a typed column; text that is no such JSON fails the query, null stays null."""
+    return rows.withColumn(column, F.from_json(column, kind, {"mode": "FAILFAST"}))
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A JSON document: an object, or an array of objects as rows."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -107,14 +117,15 @@ def read_pinned(spark: SparkSession, path: str, pins: dict[str, str]) -> DataFra
     return rows.withColumn("sha256", checked)
 
 
-def read_path_manifest(spark: SparkSession, root: str, pattern: str, sidecar: str, schema: T.StructType) -> DataFrame:
-    """Files found below a root, each with the fields of the sidecar beside it."""
+def read_path_manifest(spark: SparkSession, root: str, pattern: str, sidecar: str, schema: T.StructType, types: tuple[str, ...] | None = PATH_TASK_TYPES) -> DataFrame:
+    """Files found below a root, each with the fields of the sidecar beside it; of task types that aren't among ``types`` none."""
     def found(name: str) -> DataFrame:
         rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
         return rows.withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
 
     beside = found(sidecar).select("folder", F.from_json(F.col("content").cast("string"), schema).alias("side"))
-    return found(pattern).select(F.col("path").alias("gamefile"), "folder").join(beside, "folder").select("gamefile", "side.*")
+    met = found(pattern).select(F.col("path").alias("gamefile"), "folder").join(beside, "folder").select("gamefile", "side.*")
+    return met if types is None else met.where(F.col("task_type").isin(*types))
 
 
 def parse_transcript(rows: DataFrame, key: str, text: str, drop_first: str | None = None) -> DataFrame:
