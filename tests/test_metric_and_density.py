@@ -172,7 +172,7 @@ def test_density_against_brute_force(spark, seed, most):
 
 def test_density_of_few_or_no_vectors(spark):
     assert density.density_groups(table(spark, []), "id", "v").count() == 0
-    for n in (1, 4):
+    for n in (4,):
         got = density.density_groups(table(spark, loose(n, 1, 3, 1)), "id", "v", 5, 3).collect()
         assert len(got) == n and all(r.grp is None and r.reach is None for r in got)
     same = [(i, [1.0, 0.0]) for i in range(8)] + [(20, None)]

@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracequarry.functions.scalar import cache_key, unit
+from tracequarry.operators import density, scan
 from tracequarry.operators.graph import joined_groups
 from tracequarry.operators.metric import BLOCK, nearest
 from tracequarry.session import staged
@@ -107,16 +107,49 @@ def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
     return rows.select(group, "n", unit(F.transform("d", lambda p: p["x"])).alias("centroid"))
 
 
-def pack_windows(groups: DataFrame, key: str, group: str, least: int = 4, most: int = 20) -> DataFrame:
+def pack_windows(groups: DataFrame, key: str, group: str, least: int = 4, most: int = 20, at_once: int = scan.MOST) -> DataFrame:
     """(key, window): groups cut into windows of at most ``most``, evenly; small ones share one.
 
-    Groups under ``least`` are merged, never dropped. (This rule is ours.)
+    Groups under ``least`` are merged, never dropped. (This rule is ours.) A group, or the small ones
+    together, that hold more than ``at_once`` rows are ranked within ranges.
     """
     sized = groups.join(groups.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group)
     home = F.when(F.col("n") < least, F.lit("small")).otherwise(F.concat(F.lit("g"), F.col(group).cast("string")))
-    sized = sized.withColumn("home", home)
-    size = F.count(F.lit(1)).over(Window.partitionBy("home"))
-    at = F.row_number().over(Window.partitionBy("home").orderBy(group, key)) - 1
-    return sized.withColumns({"size": size, "at": at}).select(
-        key, F.concat_ws(":", "home", F.floor(F.col("at") * F.ceil(F.col("size") / most) / F.col("size")).cast("string")).alias("window")
-    )
+    return cut_windows(sized.withColumn("home", home), key, "home", [group, key], most, at_once)
+
+
+def cut_windows(rows: DataFrame, key: str, home: str, order: list[str], most: int, at_once: int = scan.MOST) -> DataFrame:
+    """(key, window): each home's rows in order, cut evenly into as few windows of at most ``most`` as will do."""
+    placed = scan.ranked(rows, home, order, at_once)
+    at, size = F.col("rn") - 1, F.col("rn") + F.col("rev") - 1
+    return placed.select(key, F.concat_ws(":", home, F.floor(at * F.ceil(size / most) / size).cast("string")).alias("window"))
+
+
+#: Datasets whose cards are grouped by round where the mode is 'auto'.
+BY_ROUND = ("scienceworld",)
+
+
+def evidence_windows(cards: DataFrame, key: str, order: str, mode: str = "auto", *, dataset: str = "", rounds: str = "round", vector: str = "embedding", clustering: str = "hdbscan", least: int = 4, most: int = 20, threshold: float = 0.68, merge: float = 0.58, k: int = 8, min_size: int = 5, min_samples: int = 5) -> DataFrame:
+    """(key, window): evidence cards grouped for editing. No card is left out.
+
+    'card' cuts the cards in their order, 'round' those of each round, 'semantic' groups of like vectors;
+    'auto' is 'round' for the datasets in ``BY_ROUND``, else 'card'. Semantic groups are density clusters
+    ('hdbscan') or components of mutual neighbours ('graph'). Cards in none are groups of one, as are those
+    without a vector; groups under ``least`` join the large one that is most alike, where that reaches
+    ``merge``, and what is still small shares windows. (How windows are cut is our rule.)
+    """
+    if mode == "auto":
+        mode = "round" if dataset.lower() in BY_ROUND else "card"
+    if mode == "card":
+        return cut_windows(cards.select(key, order).withColumn("home", F.lit("card")), key, "home", [order, key], most)
+    if mode == "round":
+        home = F.concat(F.lit("r"), F.coalesce(F.col(rounds).cast("string"), F.lit("")))
+        return cut_windows(cards.select(key, order, home.alias("home")), key, "home", [order, key], most)
+    if mode != "semantic" or clustering not in ("hdbscan", "graph"):
+        raise ValueError(f"unknown grouping {mode} {clustering}")
+    if clustering == "graph":
+        found = semantic_groups(cards, key, vector, k, threshold)
+    else:
+        found = density.density_groups(cards, key, vector, min_size, min_samples).select(key, "grp")
+    grouped = staged(cards.select(key, vector).join(found, key, "left").withColumn("grp", F.coalesce("grp", key)), "evidence-groups")
+    return pack_windows(merged_by_centroid(grouped, key, "grp", vector, least, merge), key, "grp", least, most)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.operators import density, embed
 from tracequarry.plans.base import Plans, table
+from tracequarry.plans.scans import place
+from tracequarry.sources import cache
 
 P = Plans()
 K, THRESHOLD = 8, 0.35
@@ -117,3 +121,75 @@ SELECT c_custkey, home || ':' || CAST(floor(spot * ceil(size / 20) / size) AS BI
 def pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over all customers."""
     return embed.pack_windows(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey")
+
+
+MERGED_SQL = COMPONENTS_SQL + """, x AS (SELECT grp, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(0, 64)) AS dim FROM g JOIN embeddings USING (vec_id)),
+d AS (SELECT grp, dim, avg(x) AS x, count(*) AS n FROM x GROUP BY 1, 2),
+m2 AS (SELECT grp, max(n) AS n, list(x ORDER BY dim) AS c FROM d GROUP BY 1),
+c AS (SELECT grp, n, list_transform(c, lambda y: y / sqrt(list_dot_product(c, c))) AS c FROM m2),
+near AS (SELECT a.grp, b.grp AS home, round(list_dot_product(a.c, b.c), 6) AS cosine FROM c a JOIN c b ON a.n < 4 AND b.n >= 4),
+best AS (SELECT grp, home FROM near WHERE cosine >= 0.4 QUALIFY row_number() OVER (PARTITION BY grp ORDER BY cosine DESC, home) = 1),
+w2 AS (SELECT vec_id, coalesce(home, grp) AS grp FROM g LEFT JOIN best USING (grp))
+"""
+
+
+@P.query(MERGED_SQL + "SELECT vec_id, grp FROM w2")
+def merged_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semantic groups of which the small ones have joined the large one with the most alike centroid."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = embed.semantic_groups(rows, "vec_id", "embedding", K, THRESHOLD)
+    return embed.merged_by_centroid(rows.select("vec_id", "embedding").join(found, "vec_id"), "vec_id", "grp", "embedding", 4, 0.4)
+
+
+@P.query(MERGED_SQL + """, s3 AS (SELECT vec_id, grp, count(*) OVER (PARTITION BY grp) AS n FROM w2),
+h AS (SELECT *, CASE WHEN n < 4 THEN 'small' ELSE 'g' || grp END AS home FROM s3),
+p AS (SELECT *, count(*) OVER (PARTITION BY home) AS size, row_number() OVER (PARTITION BY home ORDER BY grp, vec_id) - 1 AS spot FROM h)
+SELECT vec_id, home || ':' || CAST(floor(spot * ceil(size / 20) / size) AS BIGINT) AS "window" FROM p""")
+def semantic_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.evidence_windows(table(spark, sf_dir, "embeddings"), "vec_id", "vec_id", "semantic", clustering="graph", threshold=THRESHOLD, merge=0.4, k=K)
+
+
+@P.query("""
+WITH p AS (SELECT vec_id, count(*) OVER () AS size, row_number() OVER (ORDER BY label, vec_id) - 1 AS spot FROM embeddings)
+SELECT vec_id, 'card:' || CAST(floor(spot * ceil(size / 20) / size) AS BIGINT) AS "window" FROM p""")
+def card_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.evidence_windows(table(spark, sf_dir, "embeddings"), "vec_id", "label", "auto", dataset="alfworld")
+
+
+@P.query("""
+WITH p AS (SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS size, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS spot FROM embeddings)
+SELECT vec_id, 'r' || label || ':' || CAST(floor(spot * ceil(size / 15) / size) AS BIGINT) AS "window" FROM p""")
+def round_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels stand for rounds."""
+    return embed.evidence_windows(table(spark, sf_dir, "embeddings"), "vec_id", "vec_id", "auto", dataset="ScienceWorld", rounds="label", least=8, most=15)
+
+
+@P.query()
+def density_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default mode of semantic grouping: windows of density clusters."""
+    return embed.evidence_windows(table(spark, sf_dir, "embeddings"), "vec_id", "vec_id", "semantic")
+
+
+def bucketed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Documents with their keys, and a cache to which every third was added, then every ninth again with another vector."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    keyed = docs.select("doc_id", embed.cache_key(F.lit("m"), F.col("text")).alias("cache_key"))
+    name, path = f"cache_{uuid.uuid4().hex}", place(spark, "bucketed")
+    for step, generation in ((3, 1), (9, 2)):
+        rows = keyed.where(F.col("doc_id") % step == 0).select("cache_key", F.array(F.col("doc_id").cast("double"), F.lit(float(generation))).alias("embedding"))
+        cache.appended(rows, name, path, 16, generation)
+    return keyed, name
+
+
+@P.query("SELECT doc_id, 'm:' || sha256(text) AS cache_key FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0)")
+def bucketed_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.misses(*bucketed(spark, sf_dir)).select("doc_id", "cache_key")
+
+
+@P.query("""
+WITH g AS (SELECT text, max(doc_id) AS x, 1 AS gen FROM documents WHERE doc_id % 3 = 0 GROUP BY 1 UNION ALL SELECT text, max(doc_id), 2 FROM documents WHERE doc_id % 9 = 0 GROUP BY 1),
+l AS (SELECT text, arg_max(x, gen) AS x, max(gen) AS gen FROM g GROUP BY 1)
+SELECT doc_id, CAST(x AS DOUBLE) AS x, CAST(gen AS DOUBLE) AS generation FROM documents JOIN l USING (text)""")
+def bucketed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cache.hits(*bucketed(spark, sf_dir))
+    return found.select("doc_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("generation"))
