@@ -153,3 +153,8 @@ def test_report(success: Column, num_tests: Column, passes: Column, failures: Co
     failed = F.greatest(failed, total - passed)
     good = F.coalesce(success, F.lit(False)) & (total > 0) & (passed == total)
     return F.struct(good.alias("success"), total.alias("num_tests"), passed.alias("passed"), failed.alias("failed"))
+
+
+def episode_success(flag: Column, score: Column, full: float = 1.0) -> Column:
+    """Whether an episode ended well: its flag, or where it has none, a score of ``full`` or more; never null."""
+    return F.coalesce(flag, score >= full, F.lit(False))

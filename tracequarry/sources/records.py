@@ -167,6 +167,18 @@ def save_json(value: Any, path: str) -> None:
     os.replace(temporary, path)
 
 
+def write_ledger(rows: DataFrame, path: str, parts: tuple[str, ...] = ("epoch", "bundle")) -> None:
+    """Evidence rows as JSON lines by epoch and bundle; only the parts that come are replaced."""
+    write_jsonl(rows, path, list(parts))
+
+
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """(name, description) of apps from a JSON list: nameless ones go, a missing description is empty; 'admin' is left out."""
+    rows = read_json(spark, path, struct("name string, description string"))
+    named = rows.select(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("description", F.lit("")).alias("description"))
+    return named.where((F.col("name") != "") & (F.col("name") != "admin"))
+
+
 def completed(done: DataFrame, todo: DataFrame, keys: list[str]) -> DataFrame:
     """What is left to do: keys without a completed row."""
     return todo.join(done.select(*keys).distinct(), keys, "left_anti")
