@@ -146,3 +146,12 @@ def test_choice_text(spark):
     said = ['{"choices":[{"message":{"content":"a"}}]}', '{"choices":[{"message":{"content":[{"type":"text","text":"b"},{"type":"text","text":"c"}]}}]}', '{"choices":[{"message":{"content":"","refusal":"no"}}]}', '{"choices":[{"text":"t"}]}', "bad"]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string")
     assert [r[0] for r in df.orderBy("i").select(parsing.choice_text(F.col("s"))).collect()] == ["a", "bc", "no", "t", None]
+
+
+def test_places_are_those_of_c(spark):
+    xs = [i / 200 for i in range(-401, 402)] + [i / 1000 for i in range(1001)] + [-0.0, -0.001, 0.125, 0.375, 1e-300, 2.675, 99.995, 123456.785, 1e9 + 0.125, 1e12]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double")
+    for places in (2, 4):
+        got = rows.select("x", scalar.fixed(F.col("x"), places).alias("t")).collect()
+        assert [r["t"] for r in got] == [f"{x:.{places}f}" for x in xs]
+    assert one(spark, scalar.fixed(F.lit(None).cast("double"))) is None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.functions.scalar import CATEGORIES, outcome
+from tracequarry.functions.scalar import CATEGORIES, fixed, outcome
 
 
 def last_wins(rows: DataFrame, key: str, order: list[str], fields: dict[str, Column]) -> DataFrame:
@@ -49,7 +49,7 @@ def comparison_text(pairs: DataFrame, order: str, by: list[str] | None = None) -
 
     def mark(side: str) -> Column:
         passed = F.when(F.col(f"{side}_success"), "PASS").otherwise("FAIL")
-        return F.format_string("%s (score=%.2f, steps=%d)", passed, F.col(f"{side}_score"), F.col(f"{side}_steps"))
+        return F.format_string("%s (score=%s, steps=%d)", passed, fixed(F.col(f"{side}_score")), F.col(f"{side}_steps"))
 
     def shown(side: str, title: str) -> Column:
         if not has_text:
