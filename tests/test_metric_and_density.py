@@ -194,3 +194,9 @@ def test_choice_by_rounds_equals_choice_in_one_task(spark):
             way.append(at)
             at = flags[at][0]
         assert tops[c] == next((x for x in reversed(way) if flags[x][1]), None)
+
+
+def test_blocks_meet_without_being_written_again(spark):
+    found = metric.nearest(rows := table(spark, grouped(200, 5, 3, 9)), rows, "id", "v", 3, 16)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "hashpartitioning(a" not in plan and "BroadcastHashJoin" not in plan

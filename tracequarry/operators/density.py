@@ -144,19 +144,20 @@ class Searcher:
         def reach_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             c = cells.value
             for pdf in batches:
-                taus, where = [], []
+                taus, most, where = [], [], []
                 for r in pdf.itertuples():
                     x = metric.matrix(r.data, len(r.ids), r.width)
                     found = np.array(r.found)
                     tau = np.where(found < -MILLION, np.inf, np.sqrt(np.maximum(0, 2 - 2 * found / MILLION) + metric.SLACK))
                     tau[~x.any(axis=1)] = np.inf
                     taus.append(tau.tobytes())
+                    most.append(tau.max())
                     d = metric.distances(metric.placed(x), c.pivots)
                     where.append(np.flatnonzero((d - c.reach <= tau[:, None] + metric.SLACK).any(axis=0)).astype(np.int32).tolist())
-                yield pdf.assign(tau=taus, cells=where)
+                yield pdf.assign(tau=taus, most=most, cells=where)
 
-        columns = f"cell int, size int, far double, ids array<{kind}>, width int, data binary, middle binary, radius double, b bigint, grps array<{kind}>, cores array<bigint>"
-        left = staged(mine.select(*[c.split(" ")[0] for c in columns.split(", ")], "found").mapInPandas(reach_of, columns + ", found array<bigint>, tau binary, cells array<int>"), "density-asking")
+        columns = f"cell int, size int, far double, ids array<{kind}>, width int, data binary, middle array<double>, radius double, b bigint, grps array<{kind}>, cores array<bigint>"
+        left = staged(mine.select(*[c.split(" ")[0] for c in columns.split(", ")], "found").mapInPandas(reach_of, columns + ", found array<bigint>, tau binary, most double, cells array<int>"), "density-asking")
         right = staged(self.with_labels(self.blocks, labels), "density-blocks")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +183,7 @@ class Searcher:
                         })
 
         edges = f"a {kind}, b {kind}, reach bigint, ga {kind}, gb {kind}"
-        found = metric.met(left, right, metric.meetings(left, right), run, edges)
+        found = metric.met(left, right, self.count, run, edges, ("grps", "cores", "found"))
         # one edge a group and search: the best
         by = F.struct((-F.col("reach")).alias("minus"), "a", "b", "reach", "ga", "gb")
         groups = open_.select("grp").distinct()

@@ -9,17 +9,18 @@ from it take part; products are made in single precision, and what may be near e
 allowed for, is computed again in double precision.
 
 How much that saves is a matter of the data: vectors in groups or of few dimensions meet few blocks,
-while random ones of many dimensions are all about equally far from each other, and meet most.
+while random ones of many dimensions are all about equally far from each other, and meet most. Blocks meet in
+a nested loop over the files of the two sides, so no matrix is written again for the blocks that it meets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,8 +30,8 @@ BLOCK = 8192
 PIVOTS = 1024
 #: Rows of a block that are compared at once.
 SLICE = 1024
-#: Blocks that a block meets in one task.
-AT_ONCE = 64
+#: Vectors that a block meets in one task, which holds them.
+AT_ONCE = 262_144
 #: Squared distances may be off by this much: cosines are rounded to six decimals.
 SLACK = 1e-5
 
@@ -111,20 +112,20 @@ def blocks_of(vectors: DataFrame, pivots: np.ndarray, count: int, block: int = B
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for cell, own in pdf.groupby("cell"):
-                for at in range(0, len(own), block):
-                    part = own.iloc[at : at + block].sort_values("id")
+                for rows in np.array_split(np.arange(len(own)), -(-len(own) // block)):
+                    part = own.iloc[rows].sort_values("id")
                     raw = np.array(part["v"].tolist(), dtype=stored)
                     points = placed(units(part["v"]))
                     middle = points.mean(axis=0)
                     radius = distances(points, middle[None]).max()
                     yield pd.DataFrame({
                         "cell": [int(cell)], "size": [len(part)], "far": [part["r"].max()], "ids": [part["id"].tolist()],
-                        "width": [raw.shape[1]], "data": [raw.tobytes()], "middle": [middle.tobytes()], "radius": [radius],
+                        "width": [raw.shape[1]], "data": [raw.tobytes()], "middle": [middle], "radius": [radius],
                     })
 
     dealt = vectors.mapInPandas(deal, f"id {kind}, v {own}, cell int, r double")
-    runs = dealt.repartitionByRange(max(1, -(-count // (8 * block))), "cell", "r", "id").sortWithinPartitions("cell", "r", "id")
-    packed = runs.mapInPandas(pack, f"cell int, size int, far double, ids array<{kind}>, width int, data binary, middle binary, radius double")
+    runs = dealt.repartitionByRange(max(1, -(-count // block)), "cell", "r", "id").sortWithinPartitions("cell", "r", "id")
+    packed = runs.mapInPandas(pack, f"cell int, size int, far double, ids array<{kind}>, width int, data binary, middle array<double>, radius double")
     return staged(packed.withColumn("b", F.monotonically_increasing_id()), "metric-blocks")
 
 
@@ -137,13 +138,13 @@ def cells_of(blocks: DataFrame, pivots: np.ndarray) -> Cells:
 
 
 def asking(blocks: DataFrame, cells: Cells, k: int, same: bool) -> DataFrame:
-    """Blocks with ``tau``, the distance within which each vector's k nearest lie, and the cells to look in."""
+    """Blocks with ``tau``, the distance within which each vector's k nearest lie, ``most``, the largest, and the cells to look in."""
     known = blocks.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = known.value
         for pdf in batches:
-            taus, where = [], []
+            taus, most, where = [], [], []
             for r in pdf.itertuples():
                 x = matrix(r.data, len(r.ids), r.width)
                 d = distances(placed(x), c.pivots)
@@ -158,52 +159,43 @@ def asking(blocks: DataFrame, cells: Cells, k: int, same: bool) -> DataFrame:
                 tau = np.sqrt(far * far + SLACK)
                 tau[~x.any(axis=1)] = np.inf
                 taus.append(tau.tobytes())
+                most.append(tau.max())
                 where.append(np.flatnonzero((d - c.reach <= tau[:, None] + SLACK).any(axis=0)).astype(np.int32).tolist())
-            yield pdf.assign(tau=taus, cells=where)
+            yield pdf.assign(tau=taus, most=most, cells=where)
 
     kind = blocks.schema["ids"].dataType.simpleString()
-    out = f"cell int, size int, far double, ids {kind}, width int, data binary, middle binary, radius double, b bigint, tau binary, cells array<int>"
+    out = f"cell int, size int, far double, ids {kind}, width int, data binary, middle array<double>, radius double, b bigint, tau binary, most double, cells array<int>"
     return blocks.mapInPandas(run, out)
 
 
-def meetings(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b): blocks of ``left`` and the blocks of ``right`` that some of its vectors can gain from.
+def meeting() -> Column:
+    """Whether some vector of a block can gain from another one, whose columns have ``o_`` in front."""
+    squares = F.zip_with("middle", "o_middle", lambda x, y: (x - y) * (x - y))
+    apart = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)) - F.col("radius") - F.col("o_radius")
+    return F.array_contains("cells", F.col("o_cell")) & (apart <= F.col("most") + SLACK)
 
-    ``left`` has b, middle, radius, tau and cells. Middles meet here, matrices don't.
-    """
 
-    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x, y = (np.frombuffer(b"".join(pdf[c])).reshape(len(pdf), -1) for c in ("a_middle", "b_middle"))
-                apart = np.sqrt(((x - y) ** 2).sum(axis=1)) - pdf["a_radius"] - pdf["b_radius"]
-                yield pdf.loc[apart <= pdf["most"] + SLACK, ["a", "b"]]
-
-    def most(tau: pd.Series) -> pd.Series:
-        return tau.map(lambda t: float(np.frombuffer(t).max()))
+def meetings(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b): blocks of ``left`` and the blocks of ``right`` that some of its vectors can gain from."""
+    others = right.select("b", *(F.col(c).alias(f"o_{c}") for c in ("cell", "middle", "radius")))
+    return left.select(F.col("b").alias("a"), "cells", "middle", "radius", "most").join(others, meeting()).select("a", "b")
 
-    farthest = F.pandas_udf(most, "double")
-    a = left.select(F.col("b").alias("a"), F.col("middle").alias("a_middle"), F.col("radius").alias("a_radius"), farthest("tau").alias("most"), F.explode("cells").alias("cell"))
-    b = right.select("b", "cell", F.col("middle").alias("b_middle"), F.col("radius").alias("b_radius"))
-    return a.join(b, "cell").select("a", "a_middle", "a_radius", "most", "b", "b_middle", "b_radius").mapInPandas(kept, "a bigint, b bigint")
 
+def met(left: DataFrame, right: DataFrame, count: int, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], out: str, more: Sequence[str] = ()) -> DataFrame:
+    """Runs ``run`` over rows that hold a block of ``left`` (as a) and, with ``o_`` in front, one of ``right``, which has ``count`` vectors.
 
-def met(left: DataFrame, right: DataFrame, pairs: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], out: str, at_once: int = 0) -> DataFrame:
-    """Runs ``run`` over rows that hold a block of ``left`` and, with ``o_`` in front, one of ``right``."""
-    own = left.drop("cells", "middle", "radius", "cell", "far", "size").withColumnRenamed("b", "a")
-    others = right.drop("cell", "far", "size").select(*(F.col(c).alias(c if c == "b" else f"o_{c}") for c in right.columns if c not in ("cell", "far", "size")))
-    rows = pairs.join(own, "a").join(others, "b")
-    if at_once:
-        # a task has a block's meetings in a row, and so a vector's best of all of them
-        count, chunks = own.count(), max(1, -(-others.count() // at_once))
-        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(chunks)).cast("int"))
-        rows = rows.repartition(max(1, min(count * chunks, 10_000)), "a", "chunk").sortWithinPartitions("a", "chunk")
-    return rows.mapInPandas(run, out)
+    Each task reads some files of the left and a part of the right of about ``AT_ONCE`` vectors; the meetings of
+    a block with such a part come in a row. Both sides are tables of files, which are read again by each task.
+    """
+    others = right.coalesce(max(1, -(-count // AT_ONCE))).select("b", *(F.col(c).alias(f"o_{c}") for c in right.columns if c not in ("b", "far", "size")))
+    pairs = left.withColumnRenamed("b", "a").join(others.hint("shuffle_replicate_nl"), meeting())
+    theirs = [c for c in others.columns if c != "o_cell"]
+    return pairs.select("a", "ids", "width", "data", "tau", *more, *theirs).mapInPandas(run, out)
 
 
-def taking_part(x: np.ndarray, tau: np.ndarray, middle: bytes, radius: float) -> np.ndarray:
+def taking_part(x: np.ndarray, tau: np.ndarray, middle: np.ndarray, radius: float) -> np.ndarray:
     """Rows that may have something within ``tau`` in a block of this middle and radius."""
-    apart = distances(placed(x), np.frombuffer(middle)[None])[:, 0] - radius
+    apart = distances(placed(x), middle[None])[:, 0] - radius
     return np.flatnonzero(apart <= tau + SLACK)
 
 
@@ -214,7 +206,7 @@ class Best:
         self.x, self.single, self.ids, self.tau, self.k = x, x.astype(np.float32), ids, tau.copy(), k
         self.row, self.other, self.cosine = np.zeros(0, dtype=np.int64), ids[:0], np.zeros(0)
 
-    def meet(self, y: np.ndarray, others: np.ndarray, middle: bytes, radius: float) -> None:
+    def meet(self, y: np.ndarray, others: np.ndarray, middle: np.ndarray, radius: float) -> None:
         width, single = y.shape[1], y.astype(np.float32).T
         rows, found, cosines = [self.row], [self.other], [self.cosine]
         for part in slices(taking_part(self.x, self.tau, middle, radius)):
@@ -273,17 +265,16 @@ def nearest(vectors: DataFrame, others: DataFrame, key: str, vector: str, k: int
         now, best = None, None
         for pdf in batches:
             for r in pdf.itertuples():
-                if (r.a, r.chunk) != now:
+                if r.a != now:
                     if best is not None:
                         yield best.found()
-                    now, best = (r.a, r.chunk), Best(matrix(r.data, len(r.ids), r.width), np.array(r.ids), np.frombuffer(r.tau), k)
+                    now, best = r.a, Best(matrix(r.data, len(r.ids), r.width), np.array(r.ids), np.frombuffer(r.tau), k)
                 best.meet(matrix(r.o_data, len(r.o_ids), r.o_width), np.array(r.o_ids), r.o_middle, r.o_radius)
         if best is not None:
             yield best.found()
 
-    pairs = meetings(asked, right)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
-    return met(asked, right, pairs, run, found, AT_ONCE).withColumn("rn", rank).where(F.col("rn") <= k).withColumnRenamed("id", key)
+    return met(asked, right, counts[-1], run, found).withColumn("rn", rank).where(F.col("rn") <= k).withColumnRenamed("id", key)
 
 
 def whole(vectors: DataFrame, key: str, vector: str) -> DataFrame:
