@@ -200,3 +200,11 @@ def test_blocks_meet_without_being_written_again(spark):
     found = metric.nearest(rows := table(spark, grouped(200, 5, 3, 9)), rows, "id", "v", 3, 16)
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "hashpartitioning(a" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_finished_rounds_leave_no_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tracequarry.session.shared_folder", lambda _: f"file://{tmp_path}")
+    tree, _ = density.reach_tree(table(spark, grouped(60, 12, 3, 8)), "id", "v", 2, 8)
+    assert tree.count() == 59
+    left = [p.name.rpartition("-")[0] for p in tmp_path.glob("*/*")]
+    assert left.count("density-chosen") > 1 and left.count("density-labels") <= 1 and not {"density-near", "density-out", "density-asking"} & set(left)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.operators import metric
 from tracequarry.operators.graph import components, joined_groups
-from tracequarry.session import staged
+from tracequarry.session import dropped, staged
 
 MILLION = 1_000_000
 #: Edges that one task joins in order, and clusters among which one task chooses.
@@ -66,7 +66,9 @@ def reach_tree(vectors: DataFrame, key: str, vector: str, min_samples: int = 5,
     edges = near.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"), "likeness").distinct()
     edges = edges.join(cores.select(F.col("id").alias("a"), F.col("core").alias("ca")), "a").join(cores.select(F.col("id").alias("b"), F.col("core").alias("cb")), "b")
     edges = staged(edges.select("a", "b", F.least("likeness", "ca", "cb").alias("reach")), "density-edges")
+    dropped(near)
     labels, tree = nodes.select("id", F.col("id").alias("grp"), "core", "cap"), None
+    rounds = []
     searcher = Searcher(nodes, block)
     while True:
         sizes = labels.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
@@ -82,11 +84,15 @@ def reach_tree(vectors: DataFrame, key: str, vector: str, min_samples: int = 5,
         grown = chosen.select("a", "b", "reach")
         tree = grown if tree is None else tree.unionByName(grown)
         joined = joined_groups(chosen.select("ga", "gb"), "ga", "gb")
+        old = [out, edges, *rounds]
         labels = staged(
             labels.join(joined.withColumnRenamed("node", "grp"), "grp", "left").select("id", F.coalesce("root", "grp").alias("grp"), "core", "cap"), "density-labels"
         )
         # edges within a group are done with
         edges = staged(out.select("a", "b", "reach").unionByName(found.select("a", "b", "reach")) if found is not None else out.select("a", "b", "reach"), "density-edges")
+        # a round needs the labels and edges of the one before, and nothing older
+        dropped(*old, *([found] if found is not None else []))
+        rounds = [labels]
     if tree is None:
         kind = vectors.schema[key].dataType.simpleString()
         tree = vectors.sparkSession.createDataFrame([], f"a {kind}, b {kind}, reach bigint")
@@ -136,7 +142,7 @@ class Searcher:
             return None
         self.prepare()
         kind, cells = self.kind, asked.sparkSession.sparkContext.broadcast(self.cells)
-        mine = metric.blocks_of(asked.select("id", "v"), self.pivots, n, self.block)
+        mine = dealt = metric.blocks_of(asked.select("id", "v"), self.pivots, n, self.block)
         limits = mine.select("b", F.explode("ids").alias("id")).join(asked.select("id", "found"), "id")
         limits = limits.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("found", F.lit(-2 * MILLION)).alias("found")))).alias("s"))
         mine = self.with_labels(mine, labels).join(limits.select("b", F.col("s.found").alias("found")), "b")
@@ -188,7 +194,9 @@ class Searcher:
         by = F.struct((-F.col("reach")).alias("minus"), "a", "b", "reach", "ga", "gb")
         groups = open_.select("grp").distinct()
         each = found.select(F.col("ga").alias("grp"), by.alias("e")).unionByName(found.select(F.col("gb").alias("grp"), by.alias("e"))).join(groups, "grp", "left_semi")
-        return staged(each.groupBy("grp").agg(F.min("e").alias("e")).select("e.a", "e.b", "e.reach", "e.ga", "e.gb").distinct(), "density-found")
+        made = staged(each.groupBy("grp").agg(F.min("e").alias("e")).select("e.a", "e.b", "e.reach", "e.ga", "e.gb").distinct(), "density-found")
+        dropped(asked, dealt, left, right)
+        return made
 
 
 def level_ranges(tree: DataFrame, most: int) -> list[tuple[int, int, int]]:
