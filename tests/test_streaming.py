@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import pandas as pd
+
 from tracequarry.streaming import ordered, runs
 
 
@@ -112,3 +114,18 @@ def test_ordered_count_windows(spark, tmp_path):
     batches = [[("p", i, at(i), f"E{i}") for i in (5, 1, 3)], [("p", i, at(i), f"E{i}") for i in (4, 0, 2)], [("q", 9, at(90), "x")]]
     got = in_batches(spark, tmp_path, batches, schema, lambda s: ordered.count_windows(s, "pool", "ts", 4, "20 minutes"))
     assert [(r.pool, r.window, r.evidence_ids) for r in got.collect()] == [("p", 0, ["E0", "E1", "E2", "E3"])]
+
+
+def test_rows_of_a_key_cost_two_messages():
+    calls = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return lambda *args: calls.append(name) or self
+
+    made = ordered.Lifecycle("ts", 2, None)
+    made.init(Counted())
+    calls.clear()
+    rows = pd.DataFrame({"ts": [at(1), at(2)], "ord": [1, 2], "outcome": ["reject", "accept"]})
+    assert list(made.handleInputRows(("e",), iter([rows]), None)) == []
+    assert calls == ["appendList", "registerTimer"]

@@ -48,42 +48,45 @@ class Ordered(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh, last = [], self.seen.get()[0] if self.seen.exists() else 0
+        # each call of the state is a message to the JVM, for every key of every batch: none without need
+        fresh = []
         for pdf in rows:
             at = pdf[self.time].astype("datetime64[us]").astype("int64") // 1000
             fresh += list(zip(at.tolist(), pdf["ord"].tolist(), pdf[self.what].tolist(), strict=True))
         if fresh:
             self.waiting.appendList(fresh)
-            self.seen.update((max(last, *(a for a, *_ in fresh)),))
+            if self.idle is not None:
+                seen = self.seen.get()
+                self.seen.update((max(seen[0] if seen else 0, *(a for a, *_ in fresh)),))
             self.handle.registerTimer(min(a for a, *_ in fresh) + 1)
-        yield self.none()
+        return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted(self.waiting.get())
         due, rest = [r for r in rows if r[0] < now], [r for r in rows if r[0] >= now]
-        state, out = tuple(self.kept.get()) if self.kept.exists() else self.START, []
-        for at, order, what in due:
-            state, made = self.count(key, state, at, order, what)
-            out += made
+        out = []
         if due:
+            kept = self.kept.get()
+            state = tuple(kept) if kept else self.START
+            for at, order, what in due:
+                state, made = self.count(key, state, at, order, what)
+                out += made
             self.kept.update(state)
         if rest:
-            self.waiting.put(rest)
+            if due:
+                self.waiting.put(rest)
             self.handle.registerTimer(rest[0][0] + 1)
         else:
-            self.waiting.clear()
-            if self.idle is not None:
-                last = self.seen.get()[0]
-                if last + self.idle < now:
+            if due:
+                self.waiting.clear()
+            if self.idle is not None and (seen := self.seen.get()):
+                if seen[0] + self.idle < now:
                     self.kept.clear()
                     self.seen.clear()
                 else:
-                    self.handle.registerTimer(last + self.idle + 1)
-        yield pd.DataFrame(out, columns=self.columns()) if out else self.none()
-
-    def none(self) -> pd.DataFrame:
-        return pd.DataFrame(columns=self.columns())
+                    self.handle.registerTimer(seen[0] + self.idle + 1)
+        return iter([pd.DataFrame(out, columns=self.columns())] if out else ())
 
     def close(self) -> None:
         pass
